@@ -55,3 +55,49 @@ def settings(spark: SparkSession, **conf: str):
 
 def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers wherever they run."""
+    import os
+    import zipfile
+
+    context = spark.sparkContext
+    if getattr(context, "_lograft_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "lograft.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "lograft")):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, root))
+    context.addPyFile(path)
+    context._lograft_shipped = True
+
+
+def runs(batches, key: list[str]):
+    """Complete groups of rows that stand together under one key, as Arrow tables; the input is sorted by key."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        if not table.num_rows:
+            continue
+        cut = np.zeros(table.num_rows - 1, bool)
+        for k in key:
+            col = table[k].to_numpy(zero_copy_only=False)
+            cut |= col[1:] != col[:-1]
+        ends = np.flatnonzero(cut) + 1
+        start = 0
+        for end in ends:
+            yield table.slice(start, end - start)
+            start = end
+        held = table.slice(start)
+    if held is not None and held.num_rows:
+        yield held
