@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import exact_dedup, licenses, simhash
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_license_scan": licenses.op6_license_scan,
     "op10_simhash": simhash.op10_simhash,
 }
 
