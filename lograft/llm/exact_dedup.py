@@ -35,6 +35,7 @@ def keyed_state(signatures: DataFrame, path: str, files_per_batch: int) -> DataF
         spark,
         spark__sql__streaming__stateStore__providerClass=ROCKSDB,
         spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
+        spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",  # many small stores: no preallocated files
         spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
         spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="128",
     ):
