@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, simhash
+from . import exact_dedup, licenses, packing, simhash, token_files
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_packing": packing.op4_packing,
+    "op5_token_files": token_files.op5_token_files,
     "op6_license_scan": licenses.op6_license_scan,
     "op10_simhash": simhash.op10_simhash,
 }
