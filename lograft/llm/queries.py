@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, packing, simhash, token_files
+from . import bpe, exact_dedup, licenses, packing, simhash, token_files
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_packing": packing.op4_packing,
     "op5_token_files": token_files.op5_token_files,
     "op6_license_scan": licenses.op6_license_scan,
+    "op8_bpe": bpe.op8_bpe,
     "op10_simhash": simhash.op10_simhash,
 }
 
