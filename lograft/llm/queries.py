@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, packing, simhash, token_files
+from . import bpe, exact_dedup, licenses, packing, simhash, token_files, topk
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
@@ -10,9 +10,11 @@ QUERIES = {
     "op5_token_files": token_files.op5_token_files,
     "op6_license_scan": licenses.op6_license_scan,
     "op8_bpe": bpe.op8_bpe,
+    "op9_topk": topk.op9_topk,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op9_topk": topk.OP9_SQL,
 }
