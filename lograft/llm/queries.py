@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, packing, simhash, token_files, topk
+from . import bpe, exact_dedup, licenses, packing, quality, simhash, token_files, topk
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_packing": packing.op4_packing,
     "op5_token_files": token_files.op5_token_files,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_quality": quality.op2_quality,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op9_topk": topk.OP9_SQL,
 }
