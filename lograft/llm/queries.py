@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, packing, quality, simhash, token_files, topk
+from . import bpe, exact_dedup, licenses, packing, quality, simhash, suffix_dedup, token_files, topk
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_quality": quality.op2_quality,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_packing": packing.op4_packing,
