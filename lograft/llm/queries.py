@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, packing, quality, simhash, suffix_dedup, token_files, topk
+from . import bpe, chat_tools, exact_dedup, licenses, packing, quality, simhash, suffix_dedup, token_files, topk
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_token_files": token_files.op5_token_files,
     "op6_license_scan": licenses.op6_license_scan,
+    "op7_chat_tools": chat_tools.op7_chat_tools,
     "op8_bpe": bpe.op8_bpe,
     "op9_topk": topk.op9_topk,
     "op10_simhash": simhash.op10_simhash,
@@ -19,5 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_quality": quality.op2_quality,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op7_chat_tools": chat_tools.OP7_SQL,
     "op9_topk": topk.OP9_SQL,
 }
