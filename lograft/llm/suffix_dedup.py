@@ -349,7 +349,7 @@ def _sorted(window: int):
 
 def _kept(columns: int):
     """Documents with their intervals -> what is left."""
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed", "kept_text"]
 
     def run(batches):
         import zstandard
@@ -368,16 +368,17 @@ def _kept(columns: int):
                     kept.append(text[at:a])
                     at = b
                 left = b"".join([*kept, text[at:]])
-                out.append((doc, len(text), len(text) - len(left), len(removed), hashlib.sha256(left).hexdigest(), left, removed))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.list_(pa.int64()))]
-            cols = [pa.array([r[k] for r in out], kinds[k]) for k in range(7)]
+                out.append((doc, len(text), len(text) - len(left), len(removed), hashlib.sha256(left).hexdigest(), left, removed, left.decode("utf-8", "ignore")))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.list_(pa.int64())), pa.string()]
+            cols = [pa.array([r[k] for r in out], kinds[k]) for k in range(8)]
             yield pa.RecordBatch.from_arrays([*cols, *(batch.column(k) for k in range(3, columns))], [*names, *batch.schema.names[3:]])
 
     return run
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), removed (array of [from, to)), and the columns carry.
+    """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), removed (array of [from, to)), kept_text (kept
+    without characters that lost some of their bytes), and the columns carry.
 
     Texts are UTF-8 bytes, null ones empty; matches never cross documents. Null doc_ids are documents of their own, told
     apart by their texts. Repeated rows repeat each other, so all their bytes within windows go; shorter texts stay as
@@ -419,7 +420,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) ->
     gone = gone.groupBy("doc_id", "check").agg(F.collect_list(F.struct("from", "to")).alias("gone"))
     final = rest.mapInArrow(_packed(2 + len(carry)), "doc_id long, check long, packed binary" + extra)
     final = final.join(gone, same(final, gone), "left").select(final["doc_id"], "packed", "gone", *[final[c] for c in carry])
-    return final.mapInArrow(_kept(3 + len(carry)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<array<long>>" + extra)
+    return final.mapInArrow(_kept(3 + len(carry)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<array<long>>, kept_text string" + extra)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
