@@ -50,25 +50,24 @@ def tokens(sql: Column, words: list[str]) -> Column:
     """array<struct<type, text, start, end>> that covers the text; words: the keywords, of which one before ( is a function."""
     whole = "(?s)" + "|".join(f"(?:{p})" for _, p in TOKENS)
     parts = F.regexp_extract_all(sql, F.lit(whole), F.lit(0))
-    kind = F.lit("unknown")
-    for name, p in reversed(TOKENS[:-1]):
-        kind_of = (lambda p, name, rest: lambda t: F.when(t.rlike(f"(?s)^(?:{p})$"), name).otherwise(rest(t)))(p, name, kind if callable(kind) else (lambda t: F.lit("unknown")))
-        kind = kind_of
-    placed = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<type:string,text:string,start:int,end:int>>").alias("out")),
-        lambda a, t: F.struct(
-            (a["at"] + F.length(t)).alias("at"),
-            F.concat(a["out"], F.array(F.struct(kind(t).alias("type"), t.alias("text"), a["at"].alias("start"), (a["at"] + F.length(t)).alias("end")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
     known = F.array(*[F.lit(w) for w in words])
 
-    def word(t, i):
-        after = F.get(placed, i + 1)["text"]
-        called = F.coalesce(after == "(", F.lit(False))
-        key = F.array_contains(known, F.upper(t["text"]))
-        return F.when(t["type"] == "word", t.withField("type", F.when(called, "function").when(key, "keyword").otherwise("identifier"))).otherwise(t)
+    def kind(t, after):
+        word = F.when(after == "(", "function").when(F.array_contains(known, F.upper(t)), "keyword").otherwise("identifier")
+        # The first characters tell the kind, as the patterns are tried in order.
+        return (
+            F.when(t.rlike(r"^\s"), "whitespace").when(t.rlike(r"^(?:/\*.|--)"), "comment").when(t.rlike(r"(?s)^(?:\$.+\$|'.*')$"), "string")
+            .when(t.rlike('(?s)^".*"$'), "quoted_identifier").when(t.rlike("^[0-9]"), "number").when(t.rlike("^[a-zA-Z_]"), word)
+            .when(t.rlike(r"^(?:[=<>+\-*/%!|:&^~]{1,2})$"), "operator").when(t.rlike(r"^[(),;.\[\]]$"), "punctuation").otherwise("unknown")
+        )
 
-    return F.transform(placed, word)
+    none = F.array().cast("array<struct<type:string,text:string,start:int,end:int>>")
+    pairs = F.arrays_zip(parts.alias("t"), F.concat(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), F.array(F.lit(""))).alias("next"))
+
+    def step(a, x):
+        end = a["at"] + F.length(x["t"])
+        one = F.struct(kind(x["t"], F.coalesce(x["next"], F.lit(""))).alias("type"), x["t"].alias("text"), a["at"].alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+
+    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    return F.filter(found, lambda x: x["text"].isNotNull())

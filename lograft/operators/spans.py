@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import once
 from ..functions.sql import region
 from ..functions.text import duration_severity
 
@@ -148,10 +149,8 @@ def spans(text: Column, e: Extractor, ordinal: int = 0, shift: Column | None = N
     return F.when(text.isNotNull() & likely, found).otherwise(none)
 
 
-def chain(message: Column, extractors: tuple[Extractor, ...] = EXTRACTORS) -> Column:
-    """Matches of all extractors without overlaps: by place, then priority; what begins before the last end is dropped."""
-    text = F.substring(message, 1, DEPTH)
-    sql = region(text)
+def chain(text: Column, sql: Column, extractors: tuple[Extractor, ...] = EXTRACTORS) -> Column:
+    """Matches of all extractors without overlaps: by place, then priority; what begins before the last end is dropped. sql: the text's region of SQL."""
     shift = F.length(sql["prefix"])
     found = [spans(sql["sql"], e, k, shift) if e.in_sql else spans(text, e, k) for k, e in enumerate(extractors)]
     start = F.struct(F.lit(0).alias("last"), F.array().cast(SPAN).alias("out"))
@@ -159,16 +158,21 @@ def chain(message: Column, extractors: tuple[Extractor, ...] = EXTRACTORS) -> Co
     return F.aggregate(F.array_sort(F.concat(*found)), start, step, lambda a: a["out"])
 
 
+def with_region(logs: DataFrame) -> DataFrame:
+    """seq with the part of the message that is looked at and its SQL."""
+    df = once(logs.select("seq", "message"), "_text", F.substring("message", 1, DEPTH))
+    return once(df, "_sql", region(F.col("_text")))
+
+
 def annotated(logs: DataFrame, extractors: tuple[Extractor, ...] = EXTRACTORS) -> DataFrame:
     """One row per span: seq, entity, start, end, text, class, priority."""
-    return logs.select("seq", F.explode(chain(F.col("message"), extractors)).alias("s")).select("seq", "s.entity", "s.start", "s.end", "s.text", "s.class", "s.priority")
+    found = with_region(logs).select("seq", F.explode(chain(F.col("_text"), F.col("_sql"), extractors)).alias("s"))
+    return found.select("seq", "s.entity", "s.start", "s.end", "s.text", "s.class", "s.priority")
 
 
 def texts_of(logs: DataFrame, name: str) -> DataFrame:
     """One row per match of one extractor alone."""
     e = BY_NAME[name]
-    text = region(F.col("message"))["sql"] if e.in_sql else F.col("message")
-    shift = F.length(region(F.col("message"))["prefix"]) if e.in_sql else None
-    return logs.select("seq", F.explode(spans(text, e, 0, shift)).alias("s")).select("seq", "s.start", "s.end", "s.text", "s.class")
-
-
+    df = with_region(logs) if e.in_sql else logs.withColumn("_text", F.col("message"))
+    found = spans(F.col("_sql.sql"), e, 0, F.length("_sql.prefix")) if e.in_sql else spans(F.col("_text"), e)
+    return df.select("seq", F.explode(found).alias("s")).select("seq", "s.start", "s.end", "s.text", "s.class")

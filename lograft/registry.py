@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import levels, sqlstate, text
 from .functions import sql as sqltext
+from .functions.once import once
 from .operators import alerts, connections, durations, errors, render, spans, windows
 from .plans.spec import FilterSpec, Pattern, export_condition
 from .sources import logs as source
@@ -36,7 +37,7 @@ def at(col="timestamp"):
 AT = "strftime(ts, '%Y-%m-%d %H:%M:%S.%g')"
 ALL_LEVELS = "(CASE level WHEN 'PANIC' THEN 0 WHEN 'FATAL' THEN 1 WHEN 'ERROR' THEN 2 WHEN 'WARNING' THEN 3 ELSE 5 END)"
 RAW = f"({AT} || ' UTC [' || pid || '] ' || level || ':  ' || message)"
-KEPT = f"SELECT seq, level, pid, message FROM lg WHERE "
+KEPT = "SELECT seq, level, pid, message FROM lg WHERE "
 TRACKED = "level IN ('PANIC', 'FATAL', 'ERROR', 'WARNING')"
 
 
@@ -427,7 +428,7 @@ def _(spark, d):
 
 @query("c18_sql_region", "SELECT seq, message[1:strpos(message, 'SELECT') - 1] AS prefix, 'SELECT * FROM app.t' || k || ' WHERE id = ' || user_id AS sql, '' AS suffix FROM lg WHERE event_type = 'view'")
 def _(spark, d):
-    found = text_logs(spark, d).select("seq", sqltext.region(F.col("message")).alias("r")).where("r is not null")
+    found = once(text_logs(spark, d).select("seq", "message"), "r", sqltext.region(F.col("message"))).where("r is not null")
     return found.select("seq", "r.prefix", "r.sql", "r.suffix")
 
 
@@ -439,7 +440,7 @@ def _(spark, d):
 
 @query("c20_sql_tokens", "SELECT t.type, t.text, count(*) AS cnt FROM (SELECT unnest([struct_pack(type := 'keyword', text := 'SELECT'), struct_pack(type := 'operator', text := '*'), struct_pack(type := 'keyword', text := 'FROM'), struct_pack(type := 'identifier', text := 'app'), struct_pack(type := 'punctuation', text := '.'), struct_pack(type := 'identifier', text := 't' || k), struct_pack(type := 'keyword', text := 'WHERE'), struct_pack(type := 'identifier', text := 'id'), struct_pack(type := 'operator', text := '='), struct_pack(type := 'number', text := CAST(user_id AS VARCHAR))]) AS t FROM lg WHERE event_type = 'view') GROUP BY ALL")
 def _(spark, d):
-    sql = text_logs(spark, d).select(sqltext.region(F.col("message"))["sql"].alias("sql")).where("sql is not null")
+    sql = once(text_logs(spark, d).select("message"), "sql", sqltext.region(F.col("message"))["sql"]).where("sql is not null")
     found = sql.select(F.explode(sqltext.tokens(F.col("sql"), sqltext.keywords(spark))).alias("t")).where("t.type <> 'whitespace'")
     return found.groupBy("t.type", "t.text").agg(F.count("*").alias("cnt"))
 
@@ -464,7 +465,7 @@ extracted("identifier", r'"(?:[^"\\]|""|\\.)*"')
 extracted("relation", r'(?i)\b(?:relation|table|index|sequence|constraint|view)\s+"?([a-zA-Z_][a-zA-Z0-9_]*)"?', 1)
 extracted("schema", r'\b[a-zA-Z_][a-zA-Z0-9_]*\.(?:"[^"]+"|[a-zA-Z_][a-zA-Z0-9_]*)')
 extracted("connection", r'(?i)\b(?:host|port|user|database|application_name)=(?:"[^"]*"|[^\s,]+)')
-extracted("ip", r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)(?:/\d{1,2})?\b", 0, "event_type = 'purchase'")
+extracted("ip", f"(?:{spans.IPV4})|(?:{spans.IPV6})", 0, "event_type = 'purchase'")
 extracted("checkpoint", r"(?i)\b(?:checkpoint|wrote|sync|time)\b", 0, "event_type IN ('click', 'purchase')")
 extracted("boolean", r"(?i)\b(?:on|off|true|false|yes|no)\b")
 

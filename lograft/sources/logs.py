@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.levels import LEVELS, known, normalised, rank
+from ..functions.once import once
 from ..functions.timestamps import log_timestamp, plain_timestamp
 
 #: Columns of a CSV log in order; fixed values.
@@ -36,9 +39,11 @@ FIELDS = (
 )
 _AT = r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?)"
 #: Text lines with a process id, in brackets, and without one; tried in this order. Groups: time, zone, pid, level, message.
-WITH_PID = rf"(?Us)^{_AT}\s+(\w+)?\s*\[(\d+)\]\s+(\w+):\s*(.*)$"
-BRACKETED = rf"(?Us)^\[{_AT}\s+(\w+)\]\s+\[(\d+)\]\s+(?:\[[^\]]*\]\s+)?(\w+):\s*(.*)$"
-NO_PID = rf"(?Us)^{_AT}\s+(\w+)\s+(\w+):\s+(.*)$"
+TEXT_LINE = (
+    rf"(?Us)^(?:{_AT}\s+(\w+)?\s*\[(\d+)\]\s+(\w+):\s*(.*)"
+    rf"|\[{_AT}\s+(\w+)\]\s+\[(\d+)\]\s+(?:\[[^\]]*\]\s+)?(\w+):\s*(.*)"
+    rf"|{_AT}\s+(\w+)\s+(\w+):\s+(.*))$"
+)
 CUT = "\u0001"
 
 
@@ -83,19 +88,11 @@ def sticky_formats(lines: DataFrame) -> DataFrame:
     return lines.join(first.select("source_file", line_format(F.col("first")).alias("format")), "source_file")
 
 
-def _text_row(value: Column) -> Column:
-    """One pass of each pattern: the groups come out joined by a separator."""
-    null = F.lit(None).cast("string")
-    one = F.regexp_replace(value, WITH_PID, f"$1{CUT}$2{CUT}$3{CUT}$4{CUT}$5")
-    two = F.regexp_replace(value, BRACKETED, f"$1{CUT}$2{CUT}$3{CUT}$4{CUT}$5")
-    three = F.regexp_replace(value, NO_PID, f"$1{CUT}$2{CUT}{CUT}$3{CUT}$4")
-    hit = F.when(one != value, one).when(two != value, two).when(three != value, three)
-    p = F.split(hit, CUT, 5)
-    part = lambda k: F.get(p, F.lit(k))
-    return F.struct(
-        plain_timestamp(F.regexp_replace(part(0), r"\s+", " ")).alias("timestamp"), F.nullif(part(1), F.lit("")).alias("zone"), part(2).try_cast("int").alias("pid"),
-        F.when(hit.isNotNull(), part(3)).otherwise(null).alias("level"), F.coalesce(part(4), value).alias("message"),
-    )
+def _with_text(df: DataFrame) -> DataFrame:
+    """df with the array _p of a text line's time, zone, pid, level and message: one pass joins the groups of the form that fits, the others are empty."""
+    joined = F.regexp_replace("raw", TEXT_LINE, CUT.join(("$1$6$11", "$2$7$12", "$3$8", "$4$9$13", "$5$10$14")))
+    df = once(df, "_h", joined)
+    return once(df, "_p", F.when(F.col("_h") != F.col("raw"), F.split("_h", CUT, 5))).drop("_h")
 
 
 def _typed(value: Column, kind: str) -> Column:
@@ -115,22 +112,30 @@ def parse(lines: DataFrame, fmt: str | None = None) -> DataFrame:
     df = lines.withColumn("raw", value)
     df = df.withColumn("format", F.lit(fmt)) if fmt else df
     text, csv, js = ((F.col("format") == f) if fmt is None else F.lit(f == fmt) for f in ("text", "csv", "json"))
-    df = df.withColumn("_c", F.when(csv & (csv_fields(F.col("raw")) >= 14), _csv(F.col("raw")))).withColumn("_j", F.when(js & _is_object(F.trim("raw")), _json(F.col("raw"))))
-    df = df.withColumn("_t", F.when(text, _text_row(F.col("raw"))))
-    ok_c, ok_j = F.col("_c").isNotNull(), F.col("_j").isNotNull()
-    word = F.coalesce(F.when(ok_c, F.col("_c.error_severity")), F.when(ok_j, F.col("_j.error_severity")), F.col("_t.level"))
-    message = F.when(ok_c, F.coalesce("_c.message", F.lit(""))).when(ok_j, F.coalesce("_j.message", F.lit(""))).otherwise(F.coalesce("_t.message", "raw"))
+    if fmt in (None, "csv"):
+        df = once(df, "_c", F.when(csv & (csv_fields(F.col("raw")) >= 14), _csv(F.col("raw"))))
+    if fmt in (None, "json"):
+        df = once(df, "_j", F.when(js & _is_object(F.trim("raw")), _json(F.col("raw"))))
+    if fmt in (None, "text"):
+        df = _with_text(df)
+    none = F.lit(None).cast("string")
+    pick = lambda c, j, k: F.coalesce(*[F.col(f"_c.{c}")] * (fmt in (None, "csv")), *[F.col(f"_j.{j}")] * (fmt in (None, "json")), *[F.when(text, F.get("_p", F.lit(k)))] * (fmt in (None, "text")))
+    word, said = pick("error_severity", "error_severity", 3), pick("message", "message", 4)
+    parsed = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c, f in (("_c", "csv"), ("_j", "json")) if fmt in (None, f)], F.lit(False))
+    message = F.coalesce(said, F.when(parsed, "").otherwise(none), F.col("raw"))
+    own = {"timestamp": plain_timestamp(F.regexp_replace(F.get("_p", F.lit(0)), r"\s+", " ")), "pid": F.get("_p", F.lit(2)).try_cast("int")}
     # Strings of either format first, so that each is converted once.
     columns = []
     for name, kind, c, j in FIELDS:
         parts = [F.col(f"_c.{c}")] * bool(c and fmt in (None, "csv")) + [F.col(f"_j.{j}")] * bool(j and fmt in (None, "json"))
         typed = _typed(F.coalesce(*parts) if len(parts) > 1 else parts[0], kind) if parts else F.lit(None).cast(kind)
         if name in ("timestamp", "pid") and fmt in (None, "text"):
-            typed = F.coalesce(typed, F.col(f"_t.{name}")) if parts else F.col(f"_t.{name}")
+            typed = F.coalesce(typed, F.when(text, own[name])) if parts else own[name]
         columns.append(typed.alias(name))
     rest = [F.col(c) for c in lines.columns if c not in ("value", "format", "raw")]
     level = normalised(word)
-    utc = F.when(ok_c | ok_j, F.lit(True)).otherwise(F.coalesce(F.upper(F.col("_t.zone")) == "UTC", F.lit(False)))
+    zone = F.get("_p", F.lit(1)) if fmt in (None, "text") else none
+    utc = parsed | F.coalesce(F.upper(zone) == "UTC", F.lit(False))
     out = df.select(*rest, utc.alias("ts_is_utc"), level.alias("level"), message.alias("message"), "raw", "format", *columns)
     return out.withColumn("level_rank", rank(F.col("level")))
 
