@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,7 @@ def java_regex(pattern: str, case_sensitive: bool = False) -> str:
     for unknown in ("(?P>", "(?(", r"\Z"):
         if unknown in pattern:
             raise ValueError(f"{unknown} is not supported")
-    pattern = pattern.replace("(?P<", "(?<").replace("(?P=", "\\k<")
+    pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
     return ("(?U)" if case_sensitive else "(?iuU)") + pattern
 
 
