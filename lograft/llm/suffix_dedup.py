@@ -30,9 +30,10 @@ from .common import load, runs, ship, whole_text, written
 
 GRAM = 32
 #: Bytes hashed at once; bytes sorted at once; different zones of an anchor that are sorted in one task at most.
-CHUNK, SORTED, CROWD = 1 << 20, 1 << 19, 2048
+CHUNK, SORTED, CROWD = 1 << 19, 1 << 18, 2048
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 WINDOW = 200
+MASK, HALF = (1 << 64) - 1, 1 << 63
 
 
 def powers(n: int, base: int) -> np.ndarray:
@@ -129,7 +130,7 @@ def chunks(docs, texts, window: int):
 def _zones(window: int, with_place: bool):
     def run(batches):
         for batch in batches:
-            texts = (t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist())
+            texts = (t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(1))
             for buf, rows in chunks(batch.column(0).to_pylist(), texts, window):
                 data = np.frombuffer(buf, np.uint8)
                 begin = np.array([r[2] for r in rows])
@@ -296,8 +297,8 @@ def _zone_bytes(window: int):
                         continue
                     data = np.frombuffer(part, np.uint8)
                     one, two = (mixed(aligned(prefix_hashes(data, b), window, b)).view(np.int64).tolist() for b in (BASE, BASE2))
-                    # Spread by the window: these rows pass the sort untouched.
-                    out += [(h ^ k, doc, check, (at + k) << 16 | (offset - k) << 8 | 1, z["alone"], None, h, g) for k, (h, g) in enumerate(zip(one, two, strict=True))]
+                    # These rows pass the sort untouched, so they are spread evenly, equal windows too.
+                    out += [(((h ^ (check + at + k) * BASE) & MASK) - HALF, doc, check, (at + k) << 16 | (offset - k) << 8 | 1, z["alone"], None, h, g) for k, (h, g) in enumerate(zip(one, two, strict=True))]
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
                     out = []
