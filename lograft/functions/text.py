@@ -75,3 +75,34 @@ def in_quiet_hours(at: Column, start: str, end: str) -> Column:
     now = F.date_format(at, "HH:mm:ss.SSSSSS")
     a, b = f"{start}:00.000000", f"{end}:00.000000"
     return (now >= a) & (now <= b) if a <= b else (now >= a) | (now <= b)
+
+
+def suggestion(word: str, names: list[str], cutoff: float = 0.6) -> str | None:
+    """The known name closest to a mistyped one."""
+    import difflib
+
+    found = difflib.get_close_matches(word, names, n=1, cutoff=cutoff)
+    return found[0] if found else None
+
+
+def completion(prefix: str, names: list[str]) -> str | None:
+    """The first name in order that begins with prefix, whatever the case."""
+    low = prefix.lower()
+    return next((n for n in sorted(names) if n.lower().startswith(low)), None)
+
+
+def ago(seconds: Column) -> Column:
+    """An age in words: 5s ago, 3m 5s ago, 2h 3m ago, 4d 2h ago."""
+    s = seconds.cast("bigint")
+    part = lambda n, unit: F.concat((n).cast("string"), F.lit(unit))
+    text = (
+        F.when(s < 60, part(s, "s")).when(s < 3600, F.concat_ws(" ", part(F.floor(s / 60), "m"), part(s % 60, "s")))
+        .when(s < 86400, F.concat_ws(" ", part(F.floor(s / 3600), "h"), part(F.floor(s % 3600 / 60), "m"))).otherwise(F.concat_ws(" ", part(F.floor(s / 86400), "d"), part(F.floor(s % 86400 / 3600), "h")))
+    )
+    return F.concat(text, F.lit(" ago"))
+
+
+def time_range(since: Column, until: Column) -> Column:
+    """A time filter in words."""
+    a, b = F.date_format(since, "yyyy-MM-dd HH:mm:ss"), F.date_format(until, "yyyy-MM-dd HH:mm:ss")
+    return F.when(a.isNotNull() & b.isNotNull(), F.concat(F.lit("between "), a, F.lit(" and "), b)).when(a.isNotNull(), F.concat(F.lit("since "), a)).when(b.isNotNull(), F.concat(F.lit("until "), b)).otherwise("all time")

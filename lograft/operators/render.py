@@ -88,3 +88,15 @@ def server(logs: DataFrame, first: int = 50) -> DataFrame:
     port = F.coalesce(F.nullif(F.regexp_extract(m, r"listening on .*port (\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(m, r"\.s\.PGSQL\.(\d+)", 1), F.lit("")))
     found = head.select("seq", version.alias("version"), port.try_cast("int").alias("port"))
     return found.agg(F.expr("min_by(version, seq) FILTER (WHERE version IS NOT NULL)").alias("version"), F.expr("min_by(port, seq) FILTER (WHERE port IS NOT NULL)").alias("port"))
+
+
+def highlighted(slow: Column, marked: Column, plain: Column) -> Column:
+    """What a line is shown as: as a slow query if it is one, else with the user's marks if it has any, else plainly."""
+    return F.coalesce(slow, marked, plain)
+
+
+def marked(message: Column, spans: Column) -> Column:
+    """A message with its spans (array of start, end, ... in order, without overlaps) in double angle brackets."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(message, a["at"] + 1, x["start"] - a["at"]), F.lit("«"), F.substring(message, x["start"] + 1, x["end"] - x["start"]), F.lit("»")).alias("out"))
+    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(message, a["at"] + 1, F.length(message))))

@@ -111,6 +111,14 @@ EXTRACTORS = (
 BY_NAME = {e.name: e for e in EXTRACTORS}
 
 
+def enabled(names: set[str] | None = None, disabled: set[str] = frozenset(), more: tuple[Extractor, ...] = ()) -> tuple[Extractor, ...]:
+    """The built-in extractors of these names (all without names), but for disabled ones, and more."""
+    unknown = ((names or set()) | set(disabled)) - set(BY_NAME)
+    if unknown:
+        raise ValueError(f"unknown extractors: {', '.join(sorted(unknown))}")
+    return tuple(e for e in EXTRACTORS if (names is None or e.name in names) and e.name not in disabled) + more
+
+
 def sql_keyword(words: list[str]) -> Extractor:
     """The extractor of SQL keywords, which come from functions.sql.keywords."""
     return Extractor("sql_keyword", 710, keyword_pattern(words), in_sql=True)

@@ -77,6 +77,10 @@ class FilterSpec:
             raise ValueError("since is after until")
         return dataclasses.replace(self, since=a, until=b)
 
+    def cleared(self, anchor: FilterSpec | None = None) -> FilterSpec:
+        """Back to the filter that a session began with, or to none."""
+        return anchor or FilterSpec()
+
     def condition(self) -> Column:
         terms = []
         if self.since is not None:

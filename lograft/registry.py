@@ -472,7 +472,8 @@ extracted("boolean", r"(?i)\b(?:on|off|true|false|yes|no)\b")
 
 @query("x1_chain_counts")
 def _(spark, d):
-    found = spans.annotated(text_logs(spark, d))
+    words = spans.sql_keyword(sqltext.keywords(spark))
+    found = spans.annotated(text_logs(spark, d), spans.enabled(more=(words,)))
     return found.groupBy("entity", "class").agg(F.count("*").alias("cnt"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
@@ -504,3 +505,51 @@ def _(spark, d):
 @query("r9_limited_alerts")
 def _(spark, d):
     return alerts.alerts(text_logs(spark, d), alerts.Rules().on("fatal"), "source_file", 600).select("seq", "source_file", "rule", "body")
+
+
+# -- more of the above
+
+
+@query("f18_connection_filter", f"SELECT seq, pid FROM lg WHERE event_type = 'signup' AND database_name = 'db2' AND k % 5 = 3")
+def _(spark, d):
+    return connections.matching(connections.events(text_logs(spark, d)), database="db2", application="app3").select("seq", "pid")
+
+
+@query("f19_events_since", f"SELECT seq, level FROM lg WHERE {TRACKED} AND ts >= TIMESTAMP '2024-01-10 12:00:00'")
+def _(spark, d):
+    return errors.events(errors.tracked(text_logs(spark, d), since=F.lit("2024-01-10 12:00:00").cast("timestamp"))).select("seq", "level")
+
+
+@query("p3_present_values", "SELECT seq, application_name, sql_state FROM lg WHERE application_name IS NOT NULL AND sql_state IS NOT NULL")
+def _(spark, d):
+    j = once(csv_logs(spark, d), "j", render.as_json()).select("seq", "j").where(F.col("j").contains('"application_name"') & F.col("j").contains('"sql_state"'))
+    return j.select("seq", F.get_json_object("j", "$.application_name").alias("application_name"), F.get_json_object("j", "$.sql_state").alias("sql_state"))
+
+
+@query("p10_marked", "SELECT seq, replace(message, 'pk_' || k, '«pk_' || k || '»') AS line FROM lg WHERE level IN ('ERROR', 'WARNING')")
+def _(spark, d):
+    rows = text_logs(spark, d).where("level in ('ERROR', 'WARNING')").select("seq", "message")
+    found = once(rows, "s", spans.spans(F.col("message"), spans.custom("key", r"pk_\d+")))
+    return found.select("seq", render.marked(F.col("message"), F.col("s")).alias("line"))
+
+
+@query("p9_precedence", f"SELECT CASE WHEN event_type = 'view' AND {MS} > 40 THEN 'slow' WHEN event_type = 'error' AND k % 5 > 0 THEN 'marked' ELSE 'plain' END AS shown, count(*) AS cnt FROM lg GROUP BY ALL")
+def _(spark, d):
+    m = F.col("message")
+    slow = F.when(text.duration_ms(m) > 40, "slow")
+    rows = text_logs(spark, d).select(render.highlighted(slow, F.when(m.contains("pk_"), "marked"), F.lit("plain")).alias("shown"))
+    return rows.groupBy("shown").agg(F.count("*").alias("cnt"))
+
+
+@query("a4b_levels_by_count", f"SELECT level, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, level) AS place FROM lg WHERE {TRACKED} GROUP BY level")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    return errors.by_level(text_logs(spark, d)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("cnt"), "level")).cast("bigint"))
+
+
+@query("c15_age_in_words", "SELECT k, CASE WHEN k * 97 < 60 THEN (k * 97) || 's' WHEN k * 97 < 3600 THEN (k * 97 // 60) || 'm ' || (k * 97 % 60) || 's' ELSE (k * 97 // 3600) || 'h ' || (k * 97 % 3600 // 60) || 'm' END || ' ago' AS age FROM (SELECT DISTINCT k FROM lg)")
+def _(spark, d):
+    from .testlog import _base
+
+    return _base(spark, d).select("k").distinct().select("k", text.ago(F.col("k") * 97).alias("age"))
