@@ -24,68 +24,80 @@ BLOCK = 4096
 #: Blocks coded side by side; bounds the memory of the tables.
 LANES = 2048
 #: First id of each class of the order-0 predictor; ids below LIMIT can be coded.
-EDGES = np.array([0, 16, 64, 128, 192, 256, 320, 448, 640, 1024, 1536, 2560, 4096, 8192, 16384, 32768], np.int64)
+EDGES = np.array([0, 16, 64, 128, 192, 256, 320, 448, 640, 1024, 1536, 2560, 4096, 8192, 16384, 32768], np.int32)
 LIMIT = 1 << 20
-SIZES = np.append(EDGES[1:], LIMIT) - EDGES
+SIZES = np.append(EDGES[1:], LIMIT).astype(np.int32) - EDGES
 K = len(EDGES)
-CLASS = np.searchsorted(EDGES, np.arange(1 << 16), side="right") - 1
-SLOTS1, SLOTS2 = 512, 1024
-#: What the class bounds move towards when a class is seen; every class keeps some width.
+CLASS = (np.searchsorted(EDGES, np.arange(1 << 16), side="right") - 1).astype(np.int32)
+SLOTS1, SLOTS2 = 256, 512
+#: Bounds of the classes, of 32768. A seen class pulls them so that it would have all but FLOOR for each other class.
 FLOOR = 128
-AIM = np.array([[j * FLOOR + (32768 - K * FLOOR) * (j > c) for j in range(K)] for c in range(K)], np.int32)
+RISE = (np.arange(K) * FLOOR).astype(np.int16)[:, None]
+SPAN = np.int16(32768 - K * FLOOR)
+STEPS = np.arange(K, dtype=np.int32)[:, None]
+ONE = np.uint64(1)
 MASK48 = np.uint64((1 << 48) - 1)
 U16, U32, U48 = np.uint64(16), np.uint64(32), np.uint64(48)
 LOW32 = np.uint64(1 << 32)
 
 
 class Mixer:
-    """The predictors of some blocks, from their common first state."""
+    """The predictors of some blocks, from their common first state; class bounds have a row for each class."""
 
     def __init__(self, lanes: int):
-        self.n = lanes
+        self.n = self.wide = lanes
         self.rows = np.arange(lanes)
-        self.t1, self.t2 = np.zeros(lanes * SLOTS1, np.uint32), np.zeros(lanes * SLOTS2, np.uint32)
+        self.t1, self.t2 = np.zeros(lanes * SLOTS1, np.int32), np.zeros(lanes * SLOTS2, np.int32)
         self.w2, self.w1 = np.full(lanes * 64, 12000, np.int32), np.full(lanes * 64, 6000, np.int32)
-        self.cdf = np.tile((np.arange(K) * (32768 // K)).astype(np.int32), (lanes, 1))
-        self.before = self.last = np.zeros(lanes, np.int64)
-        self.base1, self.base2, self.basew, self.basec = self.rows * SLOTS1, self.rows * SLOTS2, self.rows * 64, self.rows * K
+        self.cdf = np.repeat((np.arange(K) * (32768 // K)).astype(np.int16)[:, None], lanes, axis=1)
+        self.flat, self.bounds = self.cdf.reshape(-1), self.cdf
+        self.before = self.last = np.zeros(lanes, np.uint32)
+        self.base1, self.base2, self.basew = self.rows * SLOTS1, self.rows * SLOTS2, self.rows * 64
 
     def look(self):
         """Predicted ids and the widths of their parts of 65536."""
-        last = self.last
-        self.at1 = self.base1 + ((last * 40503 >> 7) & SLOTS1 - 1)
-        self.at2 = self.base2 + (((last * 40503 + self.before * 30011) >> 5) & SLOTS2 - 1)
+        here = self.last * np.uint32(40503)
+        self.at1 = self.base1 + (here >> 7 & SLOTS1 - 1)
+        here += self.before * np.uint32(30011)
+        self.at2 = self.base2 + (here >> 5 & SLOTS2 - 1)
         self.e1, self.e2 = self.t1[self.at1], self.t2[self.at2]
+        self.c1, self.c2 = self.e1 & 7, self.e2 & 7
         self.p1, self.p2 = self.e1 >> 3, self.e2 >> 3
-        self.atw = self.basew + ((self.e2 & 7) << 3 | (self.e1 & 7))
+        self.atw = self.basew + (self.c2 << 3 | self.c1)
         self.v2, self.v1 = self.w2[self.atw], self.w1[self.atw]
         return self.v2 - (self.v2 >> 3) + 16, self.v1 - (self.v1 >> 3) + 16
 
+    def part(self, cls, f0):
+        """From where to where the classes lie in the last part, which is f0 wide."""
+        at = cls * self.wide + self.rows
+        upper = np.where(cls == K - 1, 32768, self.flat[np.minimum(at + self.wide, len(self.flat) - 1)].astype(np.int32))
+        return f0 * self.flat[at].astype(np.int32) >> 15, np.minimum((f0.astype(np.int64) * upper >> 15).astype(np.int32), f0)
+
     def learn(self, ids, hit2, hit1, cls):
-        e1, e2, new = self.e1, self.e2, (ids << 3 | 1).astype(np.uint32)
-        same1 = self.p1 == ids
-        self.t1[self.at1] = np.where(same1, e1 + ((e1 & 7) < 7), np.where((e1 & 7) > 1, e1 - 1, new))
-        self.t2[self.at2] = np.where(hit2, e2 + ((e2 & 7) < 7), np.where((e2 & 7) > 1, e2 - 1, new))
-        self.w2[self.atw] = self.v2 + ((hit2 * 65535 - self.v2) >> 5)
-        self.w1[self.atw] = self.v1 + ((hit1 * 65535 - self.v1) >> 5)
-        step = AIM[cls]
-        step -= self.cdf
+        new = ids << 3 | 1
+        for table, at, e, c, same in ((self.t1, self.at1, self.e1, self.c1, self.p1 == ids), (self.t2, self.at2, self.e2, self.c2, hit2)):
+            # A prediction gains confidence when it holds and loses some when not; without any it is replaced.
+            table[at] = np.where(same, e + (c < 7), np.where(c > 1, e - 1, new))
+        self.w2[self.atw] = self.v2 + ((hit2 * np.int32(65535) - self.v2) >> 5)
+        self.w1[self.atw] = self.v1 + ((hit1 * np.int32(65535) - self.v1) >> 5)
+        step = (STEPS > cls) * SPAN
+        step += RISE
+        step -= self.bounds
         step >>= 5
-        self.cdf += step
-        self.before, self.last = self.last, ids
+        self.bounds += step
+        self.before, self.last = self.last, ids.view(np.uint32)
 
     def narrow(self, keep):
         """Only the first keep blocks go on."""
-        self.__dict__.update(
-            n=keep, rows=self.rows[:keep], base1=self.base1[:keep], base2=self.base2[:keep], basew=self.basew[:keep], basec=self.basec[:keep],
-            cdf=self.cdf[:keep], before=self.before[:keep], last=self.last[:keep],
-        )
+        self.n = keep
+        self.rows, self.base1, self.base2, self.basew = self.rows[:keep], self.base1[:keep], self.base2[:keep], self.basew[:keep]
+        self.bounds, self.before, self.last = self.cdf[:, :keep], self.before[:keep], self.last[:keep]
 
 
 def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     """Words of blocks that are in descending order of length."""
     lengths = np.array([len(b) for b in blocks])
-    ids = np.zeros((lengths[0], len(blocks)), np.int64)
+    ids = np.zeros((lengths[0], len(blocks)), np.int32)
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
     n = len(blocks)
@@ -110,11 +122,8 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
         hit2 = mix.p2 == sym
         hit1 = (mix.p1 == sym) & ~hit2
         cls = CLASS[np.minimum(sym, 65535)]
-        at = mix.basec + cls
-        cdf = mix.cdf.reshape(-1)
-        f0, two = 65536 - f2 - f1, f2 + f1
-        a = f0 * cdf[at] >> 15
-        b = np.where(cls == K - 1, f0, f0 * cdf[np.minimum(at + 1, len(cdf) - 1)] >> 15)
+        two = f2 + f1
+        a, b = mix.part(cls, 65536 - two)
         start = np.where(hit2, 0, np.where(hit1, f2, two + a))
         freq = np.where(hit2, f2, np.where(hit1, f1, b - a))
         miss = ~(hit2 | hit1)
@@ -153,7 +162,7 @@ def _decode_lanes(words: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
     flat, pos = src.reshape(-1), np.arange(n) * width + 4
     code = ((flat[pos - 4] << U48) + (flat[pos - 3] << U32) + (flat[pos - 2] << U16) + flat[pos - 1]) & MASK48
     rng = np.full(n, (1 << 48) - 1, np.uint64)
-    ids = np.zeros((int(lengths[0]), n), np.int64)
+    ids = np.zeros((int(lengths[0]), n), np.int32)
     mix = Mixer(n)
     for t in range(int(lengths[0])):
         m = int(np.searchsorted(-lengths, -t, side="left"))
@@ -162,27 +171,26 @@ def _decode_lanes(words: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
         cd, rg = code[:m], rng[:m]
         f2, f1 = mix.look()
         r = rg >> U16
-        v = np.minimum(cd // r, 65535).astype(np.int64)
+        v = np.minimum(cd // r, 65535).astype(np.int32)
         two = f2 + f1
         hit2 = v < f2
-        hit1 = (v < two) & ~hit2
         miss = v >= two
+        hit1 = ~(hit2 | miss)
         f0 = 65536 - two
-        bounds = f0[:, None] * mix.cdf >> 15
-        cls = np.maximum((bounds <= (v - two)[:, None]).sum(axis=1) - 1, 0)
-        at = mix.basec + cls
-        edge = bounds.reshape(-1)
-        a = edge[at]
-        b = np.where(cls == K - 1, f0, edge[np.minimum(at + 1, len(edge) - 1)])
+        # The last class whose bound is not above v: bound * f0 >> 15 <= u just if bound <= ((u + 1 << 15) - 1) / f0.
+        u = np.maximum(v - two, 0).astype(np.int64)
+        most = np.minimum(((u + 1 << 15) - 1) // f0, 32767).astype(np.int16)
+        cls = np.add.reduce(mix.bounds <= most, axis=0, dtype=np.int8).astype(np.int32) - 1
+        a, b = mix.part(cls, f0)
         start = np.where(hit2, 0, np.where(hit1, f2, two + a))
         freq = np.where(hit2, f2, np.where(hit1, f1, b - a))
         size = np.where(miss, SIZES[cls], 1).astype(np.uint64)
         rr = r * freq.astype(np.uint64) // size
         cd -= r * start.astype(np.uint64)
-        off = np.minimum(cd // rr, size - np.uint64(1))
+        off = np.minimum(cd // rr, size - ONE)
         cd -= rr * off
         rg[:] = rr
-        sym = np.where(hit2, mix.p2, np.where(hit1, mix.p1, EDGES[cls] + off.astype(np.int64))).astype(np.int64)
+        sym = np.where(hit2, mix.p2, np.where(hit1, mix.p1, EDGES[cls] + off.astype(np.int32)))
         ids[t, :m] = sym
         for _ in range(3):
             short = np.flatnonzero(rg < LOW32)
