@@ -28,8 +28,8 @@ HOME, VISITORS, STRIP = 4096, 16384, 64
 PIECE = 1 << 22
 
 
-def pieces(data: bytes):
-    """Lists of the words of data; each list but the first begins with its predecessor's last words."""
+def pieces(data: bytes, width: int = 3):
+    """Lists of the words of data; each list but the first begins with its predecessor's last width - 1 words."""
     if len(data) <= PIECE:
         yield data.split()
         return
@@ -40,13 +40,13 @@ def pieces(data: bytes):
             end += 1
         words = last + data[start:end].split()
         yield words
-        last, start = words[-2:], end
+        last, start = words[max(0, len(words) - width + 1) :], end
 
 
 def fingerprint(text: str, width: int = 3) -> int:
     """64 bits, each set if it is set in more than half of the hashes of the word shingles; 0 without words."""
     ones, n, few = np.zeros(64, np.int64), 0, []
-    for words in pieces(text.encode("utf-8", "surrogatepass").translate(LOWER)):
+    for words in pieces(text.encode("utf-8", "surrogatepass").translate(LOWER), width):
         if width != 3:
             shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
         else:
@@ -177,7 +177,12 @@ def near_dedup(docs: DataFrame, radius: int = 2) -> DataFrame:
     """
     rows = written(fingerprints(docs), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-ids")
-    roots = components(near_links(distinct, radius)).withColumnRenamed("node", "fp")
+    return named(rows, distinct, near_links(distinct, radius))
+
+
+def named(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (doc_id, fp) with component_id: the least id among the fingerprints (distinct: fp, least) that links join."""
+    roots = components(links).withColumnRenamed("node", "fp")
     named = written(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "fingerprint-roots")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "root").select("fp", "component_id")
