@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,14 +36,27 @@ def age_of_last(rows: DataFrame, as_of: Column) -> DataFrame:
 def allowed(rows: DataFrame, by: str, seconds: float = 5) -> DataFrame:
     """Rows that a limiter lets pass: at least so many seconds after the last that passed, in each group, by arrival.
 
-    The decision depends on earlier ones, so a group is folded in order; groups are independent.
+    The decision depends on earlier ones, so a group's sorted rows go through one task, which holds no more than a batch
+    and the last time that passed; groups are independent.
     """
-    start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.array().cast("array<struct<seq:bigint,timestamp:timestamp>>").alias("out"))
-    gap = int(seconds * 1_000_000)
-
-    def step(acc, x):
-        go = acc["last"].isNull() | (F.unix_micros(x["timestamp"]) - F.unix_micros(acc["last"]) >= gap)
-        return F.when(go, F.struct(x["timestamp"].alias("last"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc)
-
-    folded = rows.where("timestamp is not null").groupBy(by).agg(F.array_sort(F.collect_list(F.struct("seq", "timestamp"))).alias("all"))
-    return folded.select(by, F.explode(F.aggregate("all", start, step, lambda a: a["out"])).alias("x")).select(by, "x.seq", "x.timestamp")
+    found = rows.where("timestamp is not null").select(by, "seq", "timestamp", F.unix_micros("timestamp").alias("_at"))
+    found = found.repartition(by).sortWithinPartitions(by, "seq", "timestamp")
+    return found.mapInArrow(_passing(by, int(seconds * 1_000_000)), found.select(by, "seq", "timestamp").schema)
+
+
+def _passing(by: str, gap: int):
+    def run(batches):
+        group, last = None, None
+        for batch in batches:
+            keep = []
+            for key, at in zip(batch[by].to_pylist(), batch["_at"].to_pylist()):
+                if last is None or key != group:
+                    go = True
+                else:
+                    go = at - last >= gap
+                keep.append(go)
+                if go:
+                    group, last = key, at
+            yield batch.filter(pa.array(keep, pa.bool_())).select([by, "seq", "timestamp"])
+
+    return run
