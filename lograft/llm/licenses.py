@@ -62,6 +62,8 @@ LICENSES = (
     ("sspl", "server side public license", ("sspl-1.0",), "mongodb.com/licensing/server-side-public-license"),
     ("elastic", "elastic license", ("elastic-2.0",), "elastic.co/licensing/elastic-license"),
 )
+#: Labels that are published identifiers themselves: they count where a text declares them or grants under them, not as bare words.
+DECLARED = ("mit", "isc", "zlib", "unlicense", "wtfpl", "postgresql", "openssl")
 #: No rule can match a text that has none of these.
 GATE = ("licen", "dedication", "spdx", "creative", "cc0", "cc by", "cc-by") + tuple(sorted({i for _, _, ids, _ in LICENSES for i in ids} | {page for *_, page in LICENSES} | {t for _, t, *_ in LICENSES if "licen" not in t}))
 
@@ -77,11 +79,12 @@ def rules() -> list[tuple[int, int, str, str, str]]:
     made = []
     for label, title, ids, page in LICENSES:
         key = title.split()[1 if title.startswith(("gnu ", "the ", "do ")) else 0]
-        for i in ids:
+        for i in (*ids, *[label] * (label in DECLARED)):
             esc = i.replace(".", r"\.")
             made.append((0, label, i, rf"spdx-license-identifier:\s*{esc}(?:-only|-or-later|\+)?{end}"))
             made.append((1, label, i, rf"licen[sc]ed?{GAP}(?:under|as|:){GAP}(?:the{GAP})?{esc}(?:-only|-or-later|\+)?{end}"))
-            made.append((3, label, i, rf"{edge}{esc}(?:-only|-or-later|\+)?{end}"))
+            if i in ids:
+                made.append((3, label, i, rf"{edge}{esc}(?:-only|-or-later|\+)?{end}"))
         t = _words(title)
         version = rf"(?:{GAP}(?:version|v){GAP}?[0-9](?:\.[0-9])?)?"
         made.append((1, label, key, rf"(?:licensed|released|distributed|available|published|redistributed){GAP}under{GAP}(?:the{GAP}|a{GAP}|an{GAP})?(?:terms{GAP}of{GAP}(?:the{GAP})?)?{t}{version}"))
