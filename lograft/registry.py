@@ -94,6 +94,11 @@ def _(spark, d):
     return first.select("seq", "source_file", F.row_number().over(Window.orderBy(F.col("timestamp").asc_nulls_first(), "source_file", "seq")).cast("bigint").alias("place"))
 
 
+@query("s4_interleave_whole", "SELECT seq, source_file, row_number() OVER (ORDER BY ts, source_file, seq) AS place FROM lg")
+def _(spark, d):
+    return source.placed(text_logs(spark, d)).select("seq", "source_file", "place")
+
+
 @query("s7_conf_values", "SELECT 'app.p' || k AS name, CAST(max_by(cents, seq) AS VARCHAR) AS setting FROM lg GROUP BY k")
 def _(spark, d):
     from .testlog import _base

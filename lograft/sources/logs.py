@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -152,6 +155,24 @@ def interleaved(logs: DataFrame) -> DataFrame:
     return logs.orderBy(F.col("timestamp").asc_nulls_first(), "source_file", "seq")
 
 
+def placed(logs: DataFrame) -> DataFrame:
+    """All rows with place, from 1, in the order of interleaved: a range-partitioned sort and the offsets of its partitions."""
+    spark = logs.sparkSession
+    order = [F.col("timestamp").asc_nulls_first(), F.col("source_file").asc(), F.col("seq").asc()]
+    ranged = logs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not (spark.sparkContext.master or "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{root or tempfile.mkdtemp(prefix='spark-')}/placed-{uuid.uuid4().hex[:12]}"
+    ranged.write.parquet(path)  # read twice, and a second sort may cut its ranges elsewhere
+    rows = spark.read.schema(ranged.schema).parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    # As many rows as the sort has partitions.
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()
+    starts = list(itertools.accumulate((r.n for r in sizes), initial=0))
+    offsets = spark.createDataFrame([(r[0], at) for r, at in zip(sizes, starts)], "_part bigint, _start bigint")
+    return rows.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_part", "_start")
+
+
 def conf_values(lines: DataFrame, last: bool = True) -> DataFrame:
     """(name, setting) of a server's configuration file: the last (or first) line of a name counts."""
     pattern = r"^\s*([A-Za-z_][A-Za-z0-9_.]*)\s*=\s*(?:'((?:[^']|'')*)'|([^#\s]*))"
