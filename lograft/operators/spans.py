@@ -14,8 +14,6 @@ from ..functions.sql import region
 from ..functions.text import duration_severity
 
 SPAN = "array<struct<start:int,priority:int,ordinal:int,end:int,entity:string,text:string,class:string>>"
-#: Characters of a message that are looked at.
-DEPTH = 10_240
 
 
 @dataclasses.dataclass(frozen=True)
@@ -166,15 +164,15 @@ def chain(text: Column, sql: Column, extractors: tuple[Extractor, ...] = EXTRACT
     return F.aggregate(F.array_sort(F.concat(*found)), start, step, lambda a: a["out"])
 
 
-def with_region(logs: DataFrame) -> DataFrame:
-    """seq with the part of the message that is looked at and its SQL."""
-    df = once(logs.select("seq", "message"), "_text", F.substring("message", 1, DEPTH))
+def with_region(logs: DataFrame, depth: int | None = None) -> DataFrame:
+    """seq with the message and its SQL; only so many characters of it are looked at, where depth is given."""
+    df = once(logs.select("seq", "message"), "_text", F.substring("message", 1, depth) if depth else F.col("message"))
     return once(df, "_sql", region(F.col("_text")))
 
 
-def annotated(logs: DataFrame, extractors: tuple[Extractor, ...] = EXTRACTORS) -> DataFrame:
+def annotated(logs: DataFrame, extractors: tuple[Extractor, ...] = EXTRACTORS, depth: int | None = None) -> DataFrame:
     """One row per span: seq, entity, start, end, text, class, priority."""
-    found = with_region(logs).select("seq", F.explode(chain(F.col("_text"), F.col("_sql"), extractors)).alias("s"))
+    found = with_region(logs, depth).select("seq", F.explode(chain(F.col("_text"), F.col("_sql"), extractors)).alias("s"))
     return found.select("seq", "s.entity", "s.start", "s.end", "s.text", "s.class", "s.priority")
 
 

@@ -484,10 +484,16 @@ def _(spark, d):
 
 @query("x31_paths_in_pages", r"SELECT page_id, unnest(regexp_extract_all(substr(html, 1, 10240), '\$\d+')) AS text FROM pages", lg=False)
 def _(spark, d):
-    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.substring("html", 1, 10240).alias("html"))
+    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
     return p.select("page_id", F.explode(spans.spans(F.col("html"), spans.custom("price", r"\$\d+"))).alias("s")).select("page_id", "s.text")
 
 
+@query("x31_paths_in_whole_pages", r"SELECT page_id, unnest(regexp_extract_all(html, '\B/(?:[\w.-]+/)+[\w.-]+\b')) AS text FROM pages", lg=False)
+def _(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
+    return p.select("page_id", F.explode(spans.spans(F.col("html"), spans.BY_NAME["path"])).alias("s")).select("page_id", "s.text")
+
+
 # -- alerts
 
 
