@@ -18,7 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op2_quality": quality.op2_quality,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op7_chat_tools": chat_tools.OP7_SQL,
     "op9_topk": topk.OP9_SQL,
