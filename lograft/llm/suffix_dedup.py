@@ -5,20 +5,20 @@ move it hundreds of times over, so only suffixes that can meet are sorted:
 
 1. Every window is named by an anchor, the 32-byte gram in it with the least hash. Equal windows have equal anchors at
    equal offsets. Successive windows with one anchor form a zone, about one per 85 bytes. Anchors that occur once are
-   dropped. Equal zones (anchor hash and an independent digest of all their bytes agree) are counted together before
-   anything else; two such zones repeat each other as a whole.
-2. The zones that differ but share an anchor are brought together with their bytes, and the suffixes at their window
-   starts are sorted by a mergesort. Two suffixes are compared by the longest common extension, found by binary search
-   over prefix polynomial hashes, and the byte after it. Neighbours with a common extension of a whole window repeat each
-   other, after their bytes have been compared; if a hash collision shows up, the class is sorted again by its bytes.
-3. An anchor with very many different zones is not brought to one task: its windows are counted by two independent
-   polynomial hashes, with partial sums before the shuffle.
+   dropped. Spark groups the other zones by all their bytes: two equal zones repeat each other as a whole. Rows find
+   their group by a digest; digests that stand for different bytes are looked up by the bytes instead.
+2. The different zones that share an anchor are brought together, and the suffixes at their window starts are sorted by
+   a mergesort. Two suffixes are compared by the longest common extension, found by binary search over prefix polynomial
+   hashes, and the byte after it. Neighbours with a common extension of a whole window repeat each other, after their
+   bytes have been compared; if a hash collision shows up, the class is sorted again by its bytes.
+3. Where very many different zones share an anchor, they are dealt further before the sort: the offsets of the anchor are
+   halved, and all windows with an offset in one half share more bytes than the anchor, so zones that differ there
+   part company. Halves that are equal in all their bytes are grouped as in 1. After eight halvings a half is one window.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +29,10 @@ from pyspark.sql import functions as F
 from .common import load, runs, ship, whole_text, written
 
 GRAM = 32
-#: Bytes hashed at once; bytes sorted at once; different zones of an anchor that are sorted in one task at most.
+#: Bytes hashed at once; bytes sorted at once; different zones above which a group is dealt further before its sort.
 CHUNK, SORTED, CROWD = 1 << 19, 1 << 18, 2048
-BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+BASE = 0x9E3779B97F4A7C15
 WINDOW = 200
-MASK, HALF = (1 << 64) - 1, 1 << 63
 
 
 def powers(n: int, base: int) -> np.ndarray:
@@ -108,17 +107,16 @@ def zones_of(data: np.ndarray, last_start: np.ndarray, window: int):
     return grams[a].view(np.int64), first, counts, a - first
 
 
-def chunks(docs, texts, window: int):
-    """(buffer, [(doc_id, checksum, start of the text in the buffer, offset within the text, bytes)]): whole texts together, long ones in overlapping parts."""
+def chunks(rids, texts, window: int):
+    """(buffer, [(rid, start of the text in the buffer, offset within the text, bytes)]): whole texts together, long ones in overlapping parts."""
     held, rows, size = [], [], 0
-    for doc, data in zip(docs, texts, strict=True):
-        check = zlib.crc32(data)
+    for rid, data in zip(rids, texts, strict=True):
         for at in range(0, max(1, len(data) - window + 1), CHUNK):
             part = data[at : at + CHUNK + window - 1] if len(data) > CHUNK else data
             if size and size + len(part) > CHUNK + window:
                 yield b"".join(held), rows
                 held, rows, size = [], [], 0
-            rows.append((doc, check, size, at, len(part)))
+            rows.append((rid, size, at, len(part)))
             held.append(part)
             size += len(part)
             if part is data:
@@ -127,28 +125,34 @@ def chunks(docs, texts, window: int):
         yield b"".join(held), rows
 
 
-def _zones(window: int, with_place: bool):
+def zone_digest(part: bytes, shape: int) -> int:
+    return xxhash.xxh3_64_intdigest(part, seed=shape)
+
+
+def _zones(window: int, digest=None):
+    """Texts -> the anchors of their zones, and with a digest also the places: at, and shape (offset of the anchor, windows)."""
+
     def run(batches):
         for batch in batches:
-            texts = (t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(1))
-            for buf, rows in chunks(batch.column(0).to_pylist(), texts, window):
+            for buf, rows in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), window):
                 data = np.frombuffer(buf, np.uint8)
-                begin = np.array([r[2] for r in rows])
+                begin = np.array([r[1] for r in rows])
                 ok = np.zeros(len(data), bool)
-                for _, _, s, _, n in rows:
+                for _, s, _, n in rows:
                     ok[s : max(s, s + n - window + 1)] = True
                 key, first, count, offset = zones_of(data, ok, window)
                 if not len(key):
                     continue
-                if not with_place:
+                if digest is None:
                     yield pa.RecordBatch.from_arrays([pa.array(key)], ["akey"])
                     continue
-                row = np.searchsorted(begin, first, side="right") - 1
                 # Texts of no bytes share their start with the next one, which is the last with that start.
-                digest = np.array([xxhash.xxh3_64_intdigest(buf[s : s + c + window - 1], seed=c << 8 | x) for s, c, x in zip(first.tolist(), count.tolist(), offset.tolist(), strict=True)], np.uint64)
-                place = first - begin[row] + np.array([r[3] for r in rows])[row]
-                cols = [pa.array(key), pa.array(digest.view(np.int64)), pa.array([rows[k][0] for k in row.tolist()], pa.int64()), pa.array(np.array([r[1] for r in rows])[row]), pa.array(place << 16 | offset << 8 | count)]
-                yield pa.RecordBatch.from_arrays(cols, ["akey", "digest", "doc_id", "check", "meta"])
+                row = np.searchsorted(begin, first, side="right") - 1
+                shape = offset << 8 | count
+                digests = np.array([digest(buf[s : s + c + window - 1], x) for s, c, x in zip(first.tolist(), count.tolist(), shape.tolist(), strict=True)], np.uint64)
+                at = first - begin[row] + np.array([r[2] for r in rows])[row]
+                cols = [pa.array(key), pa.array(digests.view(np.int64)), pa.array([rows[k][0] for k in row.tolist()], pa.int64()), pa.array(at), pa.array(shape.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["akey", "digest", "rid", "at", "shape"])
 
     return run
 
@@ -263,45 +267,24 @@ def spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _packed(columns: int):
-    def run(batches):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            data = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            cols = [batch.column(0), pa.array([zlib.crc32(t) for t in data], pa.int64()), pa.array([pack(t) for t in data], pa.binary()), *(batch.column(k) for k in range(2, columns))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "check", "packed", *batch.schema.names[2:]])
-
-    return run
-
-
-def _zone_bytes(window: int):
-    """A document with its zones -> rows for the sort, and for crowded anchors a row for each window."""
-    names = ["akey", "doc_id", "check", "meta", "alone", "bytes", "h1", "h2"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64()]
+def _halved(window: int):
+    """Zones whose anchors have offsets in low..high -> their parts in each half of these, keyed by what all windows of that half share."""
+    names = [c.split()[0] for c in ITEMS.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for doc, check, packed, zones in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                text = unpack(packed)
-                for z in zones:
-                    at, offset, count = z["meta"] >> 16, z["meta"] >> 8 & 255, z["meta"] & 255
-                    part = text[at : at + count + window - 1]
-                    if not z["crowded"]:
-                        out.append((z["akey"], doc, check, z["meta"], z["alone"], part, None, None))
+            for gkey, low, high, shape, rid, at, alone, part in zip(*(batch[c].to_pylist() for c in names), strict=True):
+                offset, count, mid = shape >> 8, shape & 255, (low + high) // 2
+                for a, b in ((low, mid), (mid + 1, high)):
+                    most, least = min(b, offset), max(a, offset - count + 1)  # window j has its anchor at offset - j
+                    if least > most:
                         continue
-                    data = np.frombuffer(part, np.uint8)
-                    one, two = (mixed(aligned(prefix_hashes(data, b), window, b)).view(np.int64).tolist() for b in (BASE, BASE2))
-                    # These rows pass the sort untouched, so they are spread evenly, equal windows too.
-                    out += [(((h ^ (check + at + k) * BASE) & MASK) - HALF, doc, check, (at + k) << 16 | (offset - k) << 8 | 1, z["alone"], None, h, g) for k, (h, g) in enumerate(zip(one, two, strict=True))]
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
-                    out = []
+                    j, n = offset - most, most - least + 1
+                    shared = part[offset - a : offset - b + window]
+                    key = xxhash.xxh3_64_intdigest(shared + gkey.to_bytes(8, "little", signed=True), seed=a << 8 | b) - (1 << 63)
+                    out.append((key, a, b, most << 8 | n, rid, at + j, alone, part[j : j + n + window - 1]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
@@ -309,17 +292,16 @@ def _zone_bytes(window: int):
 
 
 def _sorted(window: int):
-    names = ["doc_id", "check", "from", "to", "h1", "h2", "alone"]
-    kinds = [pa.int64()] * 6 + [pa.bool_()]
+    names, kinds = ["rid", "from", "to"], [pa.int64()] * 3
 
     def run(batches):
         held, rows, size, out = [], [], 0, []
 
         def flush():
             nonlocal held, rows, size
-            for (doc, check, at, alone), flags in zip(rows, repeats(held, window), strict=True):
+            for (rid, at, alone), flags in zip(rows, repeats(held, window), strict=True):
                 if alone:
-                    out.extend((doc, check, at + a, at + b - 1 + window, None, None, True) for a, b in spans(flags))
+                    out.extend((rid, at + a, at + b - 1 + window) for a, b in spans(flags))
             held, rows, size = [], [], 0
 
         def result():
@@ -327,14 +309,11 @@ def _sorted(window: int):
             made, out = out, []
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), kinds)], names=names)
 
-        for k, group in enumerate(runs(batches, ["akey"])):
-            found = list(zip(*(group[c].to_pylist() for c in ("doc_id", "check", "meta", "alone", "bytes", "h1", "h2")), strict=True))
-            here = [r for r in found if r[4] is not None]
-            out += [(doc, check, meta >> 16, (meta >> 16) + window, h1, h2, alone) for doc, check, meta, alone, part, h1, h2 in found if part is None]
-            if len(here) > 1:
-                for doc, check, meta, alone, part, _, _ in here:
-                    held.append((k, meta & 255, meta >> 8 & 255, part))
-                    rows.append((doc, check, meta >> 16, alone))
+        for k, group in enumerate(runs(batches, ["gkey"])):
+            if group.num_rows > 1:
+                for rid, at, alone, shape, part in zip(*(group[c].to_pylist() for c in ("rid", "at", "alone", "shape", "bytes")), strict=True):
+                    held.append((k, shape & 255, shape >> 8, part))
+                    rows.append((rid, at, alone))
                     size += len(part)
             if size > SORTED:
                 flush()
@@ -348,81 +327,113 @@ def _sorted(window: int):
     return run
 
 
-def _kept(columns: int):
+def _kept(texts: tuple[str, ...], columns: int):
     """Documents with their intervals -> what is left."""
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed", "kept_text"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = []
-            for doc, packed, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                text, kept, at, removed = unpack(packed), [], 0, []
-                for i in sorted((i["from"], i["to"]) for i in found or ()):
+            out, more = [], {c: [] for c in texts}
+            for doc, data, found in zip(*(batch.column(k) for k in range(3)), strict=True):
+                data, kept, at, removed = data.as_py(), [], 0, []
+                for i in sorted((i["from"], i["to"]) for i in found.as_py() or ()):
                     if removed and i[0] <= removed[-1][1]:
                         removed[-1][1] = max(removed[-1][1], i[1])
                     else:
                         removed.append([*i])
                 for a, b in removed:
-                    kept.append(text[at:a])
+                    kept.append(data[at:a])
                     at = b
-                left = b"".join([*kept, text[at:]])
-                out.append((doc, len(text), len(text) - len(left), len(removed), hashlib.sha256(left).hexdigest(), left, removed, left.decode("utf-8", "ignore")))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.list_(pa.int64())), pa.string()]
-            cols = [pa.array([r[k] for r in out], kinds[k]) for k in range(8)]
-            yield pa.RecordBatch.from_arrays([*cols, *(batch.column(k) for k in range(3, columns))], [*names, *batch.schema.names[3:]])
+                left = b"".join([*kept, data[at:]]) if removed else data
+                out.append((doc.as_py(), len(data), len(data) - len(left), len(removed), hashlib.sha256(left).hexdigest()))
+                for c, rows in more.items():
+                    rows.append(left if c == "kept" else removed if c == "removed" else left.decode("utf-8", "ignore"))
+            cols = [pa.array([r[k] for r in out], kinds[k]) for k in range(5)] + [pa.array(more[c], ARROW[c]) for c in texts]
+            yield pa.RecordBatch.from_arrays([*cols, *(batch.column(k) for k in range(3, columns))], [*names, *texts, *batch.schema.names[3:]])
 
     return run
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), removed (array of [from, to)), kept_text (kept
-    without characters that lost some of their bytes), and the columns carry.
-
-    Texts are UTF-8 bytes, null ones empty; matches never cross documents. Null doc_ids are documents of their own, told
-    apart by their texts. Repeated rows repeat each other, so all their bytes within windows go; shorter texts stay as
-    they are. Columns named like those of the result cannot be carried; others are not looked at. An empty table gives an
-    empty result. The window is 33 to 255 bytes.
+#: What dedup can return beside the digest columns.
+TEXTS = {"kept": "binary", "removed": "array<array<long>>", "kept_text": "string"}
+ARROW = {"kept": pa.binary(), "removed": pa.list_(pa.list_(pa.int64())), "kept_text": pa.string()}
+
+
+#: Zones for the sort: only windows whose anchor has an offset in low..high, in groups that share gkey; alone: 1 if the zone's own windows are in question.
+ITEMS = "gkey long, low int, high int, shape int, rid long, at long, alone int, bytes binary"
+
+
+def _dealt(items: DataFrame, window: int, crowd: int) -> tuple[DataFrame, DataFrame | None]:
+    """items (ITEMS), different within a gkey -> groups for the sort of crowd rows at most (more only where hashes of single windows
+    collide), and (rid, from, to) of what proved repeated on the way. Eight rounds at most, as each halves the offsets."""
+    columns, key, ready, gone = [c.split()[0] for c in ITEMS.split(", ")], ["gkey", "low", "high", "shape", "bytes"], None, None
+    while True:
+        big = items.where("low < high").groupBy("gkey").agg(F.count("*").alias("kinds")).where(F.col("kinds") > crowd).select("gkey")
+        big = written(big, "crowded")
+        if big.isEmpty():
+            return items if ready is None else ready.unionByName(items), gone
+        small = items.join(big, "gkey", "left_anti").select(*columns)
+        ready = small if ready is None else ready.unionByName(small)
+        split = written(items.join(big, "gkey", "left_semi").select(*columns).mapInArrow(_halved(window), ITEMS), "halves")
+        kinds = split.groupBy(*key).agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min("at").alias("at"), F.min("alone").alias("alone"))
+        kinds = written(kinds, "half-kinds")
+        equal = split.where("alone = 1").join(kinds.where("n > 1").select(*key), key)
+        equal = equal.select("rid", F.col("at").alias("from"), (F.col("at") + F.col("shape").bitwiseAND(255) + (window - 1)).alias("to"))
+        gone = equal if gone is None else gone.union(equal)
+        # A kind that several zones share is only compared with from here on; its own windows are settled.
+        items = kinds.withColumn("alone", F.when(F.col("n") == 1, F.col("alone")).otherwise(0)).select(*columns)
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), texts: tuple[str, ...] = ("kept", "removed", "kept_text"), crowd: int = CROWD, digest=zone_digest) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, those of kept (binary), removed (array of [from, to)) and
+    kept_text (kept without characters that lost some of their bytes) that texts names, and the columns carry.
+
+    Texts are UTF-8 bytes, null ones empty; matches never cross documents. Every row is a document of its own, whatever
+    its doc_id. Repeated rows repeat each other, so all their bytes within windows go; shorter texts stay as they are, and
+    long ones are read in overlapping parts. Columns named like those of the result cannot be carried; others are not
+    looked at. An empty table gives an empty result. The window is 33 to 200 bytes. crowd: different zones of a group above
+    which it is dealt further; digest: (bytes, shape) to 64 bits; both change the work only.
     """
-    if not GRAM < window <= 255:
-        raise ValueError("the window is 33 to 255 bytes")
-    spark = docs.sparkSession
-    ship(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    shared = texts.mapInArrow(_zones(window, False), "akey long").groupBy("akey").agg(F.count("*").alias("n")).where("n > 1").select("akey")
+    if not GRAM < window <= 200:
+        raise ValueError("the window is 33 to 200 bytes")
+    ship(docs.sparkSession)
+    rows = written(docs.select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("_data"), *carry), "texts")
+    data = rows.select(F.col("_rid").alias("rid"), F.col("_data").alias("data"))
+    shared = data.mapInArrow(_zones(window), "akey long").groupBy("akey").agg(F.count("*").alias("n")).where("n > 1").select("akey")
     shared = written(shared, "anchors")
-    zones = texts.mapInArrow(_zones(window, True), "akey long, digest long, doc_id long, check long, meta long")
+    zones = data.mapInArrow(_zones(window, digest), "akey long, digest long, rid long, at long, shape int")
     zones = written(zones.join(shared, "akey"), "zones")
 
-    # Different zones and how often each occurs; anchors with one zone only need no sort.
-    apart = zones.groupBy("akey", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "check", "meta")).alias("one"))
-    apart = written(apart, "zone-counts")
-    anchors = apart.groupBy("akey").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = zones.join(apart.where("n > 1").select("akey", "digest"), ["akey", "digest"])
-    whole = several.select("doc_id", "check", F.shiftright("meta", 16).alias("from"), (F.shiftright("meta", 16) + F.col("meta").bitwiseAND(255) + (window - 1)).alias("to"))
-
-    picked = apart.join(anchors, "akey").select("one.doc_id", "one.check", F.struct("akey", F.col("one.meta").alias("meta"), (F.col("n") == 1).alias("alone"), (F.col("kinds") > CROWD).alias("crowded")).alias("zone"))
-    picked = picked.groupBy("doc_id", "check").agg(F.collect_list("zone").alias("zones"))
-    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), *carry)
-    types = {f.name: f.dataType.simpleString() for f in rest.schema.fields}
-    extra = "".join(f", `{c}` {types[c]}" for c in carry)
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["check"] == b["check"])
-    packed = texts.mapInArrow(_packed(2), "doc_id long, check long, packed binary")
-    near = packed.join(picked, same(packed, picked)).select(packed["doc_id"], packed["check"], "packed", "zones")
-    near = near.mapInArrow(_zone_bytes(window), "akey long, doc_id long, check long, meta long, alone boolean, bytes binary, h1 long, h2 long")
-    schema = "doc_id long, check long, `from` long, `to` long, h1 long, h2 long, alone boolean"
-    found = written(near.repartition("akey").sortWithinPartitions("akey").mapInArrow(_sorted(window), schema), "repeats")
-    crowded = found.where("h1 is not null")
-    twice = crowded.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    crowded = crowded.where("alone").join(twice, ["h1", "h2"]).select("doc_id", "check", "from", "to")
-    gone = whole.union(found.where("h1 is null").select("doc_id", "check", "from", "to")).union(crowded)
-    gone = gone.groupBy("doc_id", "check").agg(F.collect_list(F.struct("from", "to")).alias("gone"))
-    final = rest.mapInArrow(_packed(2 + len(carry)), "doc_id long, check long, packed binary" + extra)
-    final = final.join(gone, same(final, gone), "left").select(final["doc_id"], "packed", "gone", *[final[c] for c in carry])
-    return final.mapInArrow(_kept(3 + len(carry)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<array<long>>, kept_text string" + extra)
+    # The bytes of the zones: a row's list is bounded by its own text.
+    lists = zones.groupBy("rid").agg(F.collect_list(F.struct("akey", "digest", "at", "shape")).alias("zones"))
+    size = lambda shape: shape.bitwiseAND(255) + F.lit(window - 1)
+    part = lambda z: F.substring(F.col("data"), (z["at"] + 1).cast("int"), size(z["shape"]))
+    cut = data.join(lists, "rid").select("rid", F.transform("zones", lambda z: F.struct(z["akey"], z["digest"], z["shape"], z["at"], part(z).alias("bytes"))).alias("z"))
+    cut = cut.select("rid", F.inline("z").alias("akey", "digest", "shape", "at", "bytes"))
+    key = ["akey", "digest", "shape", "bytes"]
+    kinds = written(cut.groupBy(*key).agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min("at").alias("at")), "zone-kinds")
+
+    # Zones that occur more than once as a whole; a digest of several kinds says nothing.
+    span = lambda df: df.select("rid", F.col("at").alias("from"), (F.col("at") + size(F.col("shape"))).alias("to"))
+    by_digest = kinds.groupBy("akey", "digest").agg(F.count("*").alias("kinds"), F.max("n").alias("n"))
+    gone = span(zones.join(by_digest.where("kinds = 1 and n > 1").select("akey", "digest"), ["akey", "digest"]))
+    unclear = by_digest.where("kinds > 1").select("akey", "digest")
+    if not unclear.isEmpty():
+        unclear = written(unclear, "unclear")
+        gone = gone.union(span(cut.join(unclear, ["akey", "digest"], "left_semi").join(kinds.where("n > 1").select(*key), key)))
+
+    anchors = kinds.groupBy("akey").agg(F.count("*").alias("kinds")).where("kinds > 1").select("akey")
+    items = kinds.join(anchors, "akey").select(F.col("akey").alias("gkey"), F.lit(0).alias("low"), F.lit(window - GRAM).alias("high"), "shape", "rid", "at", (F.col("n") == 1).cast("int").alias("alone"), "bytes")
+    ready, settled = _dealt(written(items, "items"), window, crowd)
+    found = ready.repartition("gkey").sortWithinPartitions("gkey").mapInArrow(_sorted(window), "rid long, `from` long, `to` long")
+    gone = gone.union(found) if settled is None else gone.union(found).union(settled)
+    gone = gone.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("from", "to")).alias("_gone"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    extra = "".join(f", {c} {TEXTS[c]}" for c in texts) + "".join(f", `{c}` {types[c]}" for c in carry)
+    final = rows.join(gone, "_rid", "left").select("doc_id", "_data", "_gone", *carry)
+    return final.mapInArrow(_kept(tuple(texts), 3 + len(carry)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup(load(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return dedup(load(spark, sf_dir, "documents"), texts=()).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -53,25 +53,45 @@ def repeated(texts, w):
     return out
 
 
-@pytest.mark.parametrize("crowd", [2048, 1])
-def test_suffix_dedup(spark, monkeypatch, crowd):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
-    found = suffix_dedup.dedup(table(spark, AWKWARD)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+@pytest.mark.parametrize(("crowd", "digest"), [(2048, suffix_dedup.zone_digest), (1, suffix_dedup.zone_digest), (2048, lambda part, shape: shape % 3)])
+def test_suffix_dedup(spark, crowd, digest):
+    """Few and many zones to a group, and a digest that collides."""
+    found = suffix_dedup.dedup(table(spark, AWKWARD), crowd=crowd, digest=digest).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     want = repeated([text_of(t).encode() for _, t in AWKWARD], 200)
     assert sorted(map(repr, map(tuple, found))) == sorted(repr((i, *w)) for (i, _), w in zip(AWKWARD, want))
     assert suffix_dedup.dedup(table(spark, [])).count() == 0
 
 
-def test_suffix_dedup_long_text(monkeypatch):
+def test_suffix_dedup_crowded_anchor(spark):
+    """More different surroundings of one line than a group may hold, some of them twice."""
+    line = "the quick brown fox jumps over the lazy dog, as every typist knows by heart " * 2
+    rows = [(k, words(k % 90, 12) + line + words(1000 + k % 60, 40)) for k in range(200)]
+    found = suffix_dedup.dedup(table(spark, rows), crowd=8, texts=()).collect()
+    want = repeated([t.encode() for _, t in rows], 200)
+    assert sorted(map(tuple, found)) == sorted((i, *w) for (i, _), w in zip(rows, want))
+
+
+def test_suffix_dedup_long_and_repeated_rows(spark, monkeypatch):
+    """A text over several chunks (the real size), and rows that repeat often."""
+    text = words(9, 160_000)
+    assert len(text) > suffix_dedup.CHUNK
+    rows = [(1, text), (2, text[300_000:530_000]), (3, words(8, 100))] + [(4, words(7, 120))] * 40 + [(None, words(6, 100)), (None, words(5, 100))]
+    found = suffix_dedup.dedup(table(spark, rows), texts=("removed",)).collect()
+    by = {r.doc_id: r for r in found if r.doc_id is not None}
+    assert by[1].removed == [[300_000, 530_000]] and by[2].n_removed == 230_000 and by[3].n_removed == 0
+    assert [r.n_removed for r in found if r.doc_id == 4] == [len(words(7, 120))] * 40 and all(r.n_removed == 0 for r in found if r.doc_id is None)
+
+
+def test_suffix_dedup_chunks(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 1500)
     text = words(9, 3000).encode()
     got = set()
     for buf, rows in suffix_dedup.chunks([1, 2], [text, b""], 200):
         data, ok = np.frombuffer(buf, np.uint8), np.zeros(len(buf), bool)
-        for _, _, s, _, n in rows:
+        for _, s, _, n in rows:
             ok[s : max(s, s + n - 199)] = True
         _, first, count, _ = suffix_dedup.zones_of(data, ok, 200)
-        begin = {s: at for _, _, s, at, n in rows if n}
+        begin = {s: at for _, s, at, n in rows if n}
         for f, c in zip(first.tolist(), count.tolist()):
             s = max(x for x in begin if x <= f)
             got |= set(range(f - s + begin[s], f - s + begin[s] + c))
