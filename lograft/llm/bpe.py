@@ -22,7 +22,7 @@ from .common import load, ship, whole_text
 from .tokens import BETWEEN, OTHER_SPACE, PLAIN, SPLIT, byte_chars, default_path
 
 #: Chunks kept per worker, in each of two generations; bytes of text handled at once.
-KEEP, BATCH = 250_000, 24 << 20
+KEEP, BATCH = 150_000, 8 << 20
 
 
 class Vocabulary:

@@ -57,11 +57,18 @@ def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to a Python worker at once, unless the session says otherwise: whole texts stand in them.
+BATCH_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers wherever they run."""
+    """Makes this package importable in Python workers wherever they run, and keeps their batches small."""
     import os
     import zipfile
 
+    if spark.conf.get(ROWS) == "10000":  # Spark's default
+        spark.conf.set(ROWS, BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_lograft_shipped", False):
         return

@@ -14,7 +14,7 @@ import re
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks kept per worker, in each of two generations.
-KEEP = 450_000
+KEEP = 200_000
 #: Blanks with no white space on either side.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Bytes that may begin white space other than blanks and line feeds.
