@@ -7,6 +7,8 @@ a bounded sample of the labelled rows; scoring uses every document.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,16 +20,20 @@ from .common import load, ship, whole_text
 MAX_LABELS, PAIRS = 20_000, 16
 #: The score that the threshold maps to.
 CUT = 0.3
-PIECE = 1 << 22
+#: Bytes of a text whose words are held at once; the features are the same for any number.
+PIECE = 1 << 20
 #: Bytes counted together.
 KINDS = {
-    "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digit": bytes(range(48, 58)), "stop": b".,;:?'\"()-", "bang": b"!", "bar": b"|",
-    "symbol": b"#$%&*+/<=>@[\\]^_`{}~", "high": bytes(range(128, 256)), "control": bytes([*range(9), *range(14, 32), 127]), "line": b"\n",
+    "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digit": bytes(range(48, 58)), "stop": b".,;:?'\"()-", "bang": b"!",
+    "symbol": b"#$%&*+/<=>@[\\]^_`{|}~", "high": bytes(range(128, 256)), "control": bytes([*range(9), *range(14, 32), 127]), "line": b"\n",
 }
 GROUP = np.zeros((256, len(KINDS)))
 for _k, _bytes in enumerate(KINDS.values()):
     GROUP[list(_bytes), _k] = 1
 NAMES = [*KINDS, "length", "word_length", "distinct", "repeats", "short", "bare_symbols", "capitals", "line_repeats", "long"]
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Words without any letter or digit.
+BARE = re.compile(rb"(?<![^\x20\x09-\x0D])[!-/:-@\[-`{-~]+(?![^\x20\x09-\x0D])")
 
 
 def features(text: str) -> np.ndarray:
@@ -36,33 +42,37 @@ def features(text: str) -> np.ndarray:
     if not data:
         return np.zeros(len(NAMES))
     counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ GROUP / len(data)
-    n = distinct = repeats = short = bare = capitals = long = size = at = 0
+    n = repeats = short = bare = capitals = long = size = at = 0
+    seen, last = set(), None
     while at < len(data):
-        end = min(at + PIECE, len(data))
-        while end < len(data) and data[end] not in b" \n\t":
-            end += 1
-        words = data[at:end].split()
+        cut = SPACE.search(data, at + PIECE) if at + PIECE < len(data) else None
+        end = cut.start() if cut else len(data)
+        piece = data[at:end]
+        words = piece.split()
         at = end
+        if not words:
+            continue
         n += len(words)
-        distinct += len(set(words))
-        repeats += sum(map(bytes.__eq__, words, words[1:]))
+        seen.update(words)
+        repeats += sum(map(bytes.__eq__, words, words[1:])) + (words[0] == last)
+        last = words[-1]
         lengths = list(map(len, words))
         size += sum(lengths)
         short += sum(map((4).__gt__, lengths))
         long += sum(map((25).__lt__, lengths))
-        bare += words.count(b"|") + words.count(b"-") + words.count(b"*")
+        bare += len(BARE.findall(piece))
         capitals += sum(map(bytes.isupper, words))
     lines = data.split(b"\n")
     w = max(n, 1)
     # The share of distinct words falls with the length of good texts too; against its usual course.
-    usual = distinct / w**0.8 if n else 0
+    usual = len(seen) / w**0.8
     rest = [np.log1p(n), size / w / 10, usual, repeats / w, short / w, bare / w, capitals / w, 1 - len(set(lines)) / len(lines), long / w]
     return np.concatenate([counts, rest])
 
 
 def _features(batches):
     for batch in batches:
-        found = np.array([features(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(NAMES))
+        found = np.array([features(t.as_py()) for t in batch.column(1)]).reshape(-1, len(NAMES))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found), pa.list_(pa.float64()))], ["doc_id", "f"])
 
 
@@ -126,12 +136,11 @@ def fold(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def _scores(model: Model):
+def _scores(model: Model, names: list[str], text: int):
     def run(batches):
         for batch in batches:
-            f = np.array([features(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(NAMES))
-            rest = [batch.column(k) for k in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(model.score(f)), *rest], ["score", *batch.schema.names[1:]])
+            f = np.array([features(t.as_py() or "") for t in batch.column(text)]).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([pa.array(model.score(f)), *(batch[c] for c in names)], ["score", *names])
 
     return run
 
@@ -139,12 +148,14 @@ def _scores(model: Model):
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep of docs with score (0 to 1) and predicted (1 if score >= 0.3).
 
-    Null texts count as empty, which have a score too. Every row is scored alone. An empty table gives an empty result.
+    Null texts count as empty, which have a score too. Every row is scored alone, from its whole text however long, of
+    which only the distinct words and one piece's words are held. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = "score double" + "".join(f", `{c}` {fields[c]}" for c in keep)
-    found = docs.select(whole_text().alias("_text"), *keep).mapInArrow(_scores(model), schema)
+    sent = list(dict.fromkeys([*keep, "text"]))  # the text goes once, as text or as a column to keep
+    found = docs.select(*sent).mapInArrow(_scores(model, list(keep), sent.index("text")), schema)
     return found.withColumn("predicted", F.when(F.col("score") >= CUT, 1).otherwise(0))
 
 
