@@ -3,7 +3,8 @@
 The stream's keyed state is on disk (RocksDB) and never expires. For each digest of a normalised text it
 keeps the smallest identifier seen, the number of rows and the locator of the file that holds the keeper.
 A hit, a row whose digest is in the state already, counts as a copy only after its full text has been compared
-with the keeper's; rows whose texts differ in spite of one digest are grouped again by the text itself.
+with the keeper's, which is opened by its locator; rows whose texts differ in spite of one digest are grouped again by
+the text itself.
 """
 
 from __future__ import annotations
@@ -22,6 +23,12 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACES, " ")
 
 
+#: Batches that a table is read in at least, if it has as many files.
+BATCHES = 3
+#: Rows above which a group's texts are dealt by a salt, or rows over this number if that is more; and the parts they are dealt in.
+HOT, SALTS = 1000, 64
+
+
 def keyed_state(signatures: DataFrame, path: str, files_per_batch: int) -> DataFrame:
     """One row per digest, after signatures (a table written at path) has run through the stream."""
     spark = signatures.sparkSession
@@ -54,13 +61,14 @@ def keyed_state(signatures: DataFrame, path: str, files_per_batch: int) -> DataF
     )
 
 
-def dedup(docs: DataFrame, digest=lambda text: F.sha2(text, 256), files_per_batch: int = 100_000) -> DataFrame:
+def dedup(docs: DataFrame, digest=lambda text: F.sha2(text, 256), files_per_batch: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, digest, keep_locator.
 
     Null texts count as empty. Of equal texts the smallest doc_id stays; null ids are larger than all others, and if a
-    group has no other id, its rows stay. Rows that repeat the keeper's doc_id and text stay with it. Other columns are
-    not looked at. An empty table gives an empty result. digest: text column to string column; a weak one costs
-    time only.
+    group has no other id, its rows stay. Rows that repeat the keeper's doc_id and text stay with it. Texts of any length
+    are compared whole. Other columns are not looked at. An empty table gives an empty result. digest: text column to
+    string column; a weak one costs time only. files_per_batch: files of signatures that one batch of the stream takes;
+    unless it is given, a batch has work for each of the cluster's cores a few times over, and a small table BATCHES batches.
     """
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(whole_text()).alias("norm"), F.input_file_name().alias("locator"))
@@ -71,19 +79,29 @@ def dedup(docs: DataFrame, digest=lambda text: F.sha2(text, 256), files_per_batc
     signatures = spark.read.schema(signatures.schema).parquet(path)
     if signatures.isEmpty():
         return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, digest string, keep_locator string")
+    if files_per_batch is None:
+        files_per_batch = min(-(-len(signatures.inputFiles()) // BATCHES), 8 * spark.sparkContext.defaultParallelism)
     state = written(keyed_state(signatures, path, files_per_batch), "dedup-groups")
 
-    # Full bytes of the hits against those of their keeper.
-    hits = written(text.join(state.where("group_size > 1").select("digest", "keep_id"), "digest").select("digest", "doc_id", "keep_id", "norm"), "dedup-hits")
-    keepers = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("keep_norm"))
-    unlike = hits.join(keepers, "digest").where(F.col("norm") != F.col("keep_norm")).select("digest").distinct()
+    # Full texts of each group against its keeper's, which is the row of that id behind its locator. Rows of very large groups
+    # are dealt by a salt; there are at most HOT such groups, so their list may be broadcast.
+    several = state.where("group_size > 1")
+    large = F.col("group_size") > max(HOT, signatures.count() // HOT)
+    hot = several.where(large)
+    salts = F.when(large, SALTS).otherwise(1)
+    several = several.select("digest", "keep_id", "keep_locator", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    dealt = text.join(F.broadcast(hot.select("digest", F.lit(SALTS).alias("salts"))), "digest", "left")
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int")).join(several, ["digest", "salt"])
+    own = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("locator").eqNullSafe(F.col("keep_locator"))
+    contents = dealt.groupBy("digest", "salt", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max(own).alias("own"))
+    contents = contents.groupBy("digest", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.max("own").alias("own"))
+    contents = written(contents, "dedup-contents")
+    unlike = contents.where("not own").select("digest").distinct()
     rows = signatures.join(state, "digest")
     if not unlike.isEmpty():
         unlike = written(unlike, "dedup-unlike")
-        apart = hits.join(unlike, "digest", "left_semi")
-        again = apart.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        ids = apart.select("digest", "norm", "doc_id")
-        fixed = ids.join(again, ["digest", "norm"]).select("doc_id", "keep_id", "group_size", "digest", F.lit(None).cast("string").alias("keep_locator"))
+        ids = text.join(unlike, "digest", "left_semi").select("digest", "norm", "doc_id")
+        fixed = ids.join(contents, ["digest", "norm"]).select("doc_id", "keep_id", "group_size", "digest", F.lit(None).cast("string").alias("keep_locator"))
         rows = rows.join(unlike, "digest", "left_anti").select("doc_id", "keep_id", "group_size", "digest", "keep_locator").unionByName(fixed)
     return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "keep_locator")
 
