@@ -36,8 +36,8 @@ def _cut(path: str, capacity: int):
         encode = encoder(path).encode
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text) + b"\0\0\0\0"
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = encode(text.as_py()) + b"\0\0\0\0"
                 start = 0
                 for k, n in enumerate(piece_lengths(len(ids) // 4, capacity)):
                     nth = seen.get(n, 0)
@@ -123,7 +123,7 @@ def _place(table: dict[int, np.ndarray]):
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048) -> DataFrame:
     """One row per piece of each row of docs (doc_id, text), with its sequence and its offset there.
 
-    Null texts count as empty: the end id alone. Documents longer than capacity are cut into full pieces, the first may
+    Null texts count as empty: the end id alone. Texts of any length are encoded whole; documents longer than capacity are cut into full pieces, the first may
     be shorter. Repeated rows are packed as often as they occur, null doc_ids too; other columns are not looked at; an
     empty table gives an empty result. Sequences are numbered from 0.
     """
@@ -134,7 +134,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048) ->
     first = by_task.withColumn("first", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)))
     first = written(first.select("length", "task", "n", F.coalesce("first", F.lit(0)).alias("first")), "piece-counts")
     counts = {r["length"]: r["n"] for r in first.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    numbered = pieces.join(first.select("length", "task", "first"), ["length", "task"]).withColumn("number", F.col("first") + F.col("nth"))
+    # A row per task and length: it grows with the corpus, so it is not broadcast.
+    numbered = pieces.join(first.select("length", "task", "first").hint("merge"), ["length", "task"]).withColumn("number", F.col("first") + F.col("nth"))
     table = slots(plan(counts, capacity))
     columns = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number")
     return columns.mapInArrow(_place(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
