@@ -125,6 +125,34 @@ def test_quality(spark):
     assert quality.score(table(spark, []), model).count() == 0
 
 
+def test_quality_features_do_not_depend_on_pieces(monkeypatch):
+    for t in ("a | b || c\x0bd\x0cd --", words(1, 3000) + " " + words(1, 3000), "x" * 5000, " \n\t ", "WORD! " * 700):
+        whole = quality.features(t)
+        for piece in (1, 7, 100, 1 << 20):
+            monkeypatch.setattr(quality, "PIECE", piece)
+            assert np.allclose(quality.features(t), whole)
+
+
+def test_quality_fit_against_gradient_descent():
+    """The weights minimise the pairs' logistic loss: plain gradient steps on the same pairs, written down apart, end at the same place."""
+    r = np.random.default_rng(5)
+    f = r.normal(0, 1, (60, len(quality.NAMES)))
+    label = (f[:, 0] - f[:, 3] + r.normal(0, 0.7, 60) > -0.5).astype(int)
+    model = quality.fit(f, label, penalty=1e-2)
+    good, bad = [x for x in range(60) if label[x]], [x for x in range(60) if not label[x]]
+    z = [[min(8, max(-8, (v - m) / (s + 1e-9))) for v, m, s in zip(row, f.mean(axis=0), f.std(axis=0))] for row in f]
+    losers = [b for b in bad for _ in range(quality.PAIRS)]
+    winners = np.random.default_rng(0).choice(good, len(losers))
+    w = np.zeros(len(quality.NAMES))
+    diff = np.array(z)[winners] - np.array(z)[losers]
+    for _ in range(6000):
+        w += 0.3 * ((diff / (1 + np.exp(diff @ w))[:, None]).mean(axis=0) - 1e-2 * w)
+    assert np.allclose(w, model.weights, atol=1e-3)
+    above = model.score(f) >= 0.3
+    errors = lambda cut: sum((s >= cut) != bool(y) for s, y in zip(np.array(z) @ w, label))
+    assert sum(above != (label == 1)) == min(errors(c) for c in [-99, 99, *(np.array(z) @ w + 1e-9), *(np.array(z) @ w - 1e-9)])
+
+
 # 3
 
 
@@ -141,6 +169,20 @@ def test_exact_dedup(spark, digest):
     assert exact_dedup.dedup(table(spark, [])).count() == 0
 
 
+def test_exact_dedup_batches_and_hot_group(spark, monkeypatch, tmp_path):
+    """Files of their own in several batches, a group that is dealt by a salt, and keepers of different files."""
+    monkeypatch.setattr(exact_dedup, "HOT", 20)
+    rows = [(k, "one  text" if k % 3 else words(k % 50, 30)) for k in range(1, 400)]
+    table(spark, rows).repartition(8).write.parquet(str(tmp_path / "docs"))
+    found = exact_dedup.dedup(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t) for i, t in rows}
+    ids = {}
+    for i, t in norm.items():
+        ids.setdefault(t, []).append(i)
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found) == [(i, ids[t][0], len(ids[t]), i == ids[t][0]) for i, t in norm.items()]
+    assert len({r.keep_locator for r in found}) > 1
+
+
 # 4, 5, 8
 
 
