@@ -53,7 +53,18 @@ def valid(value, schema: dict) -> bool:
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys, no blanks, unescaped Unicode, and equal numbers written alike: 1 for 1.0."""
+    return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _plain(value):
+    if isinstance(value, float) and value.is_integer():
+        return int(value)
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return value
 
 
 def _refuse(text):
@@ -61,7 +72,7 @@ def _refuse(text):
 
 
 def _parsed(text: str | None):
-    """(value, whether text is JSON without repeated keys, NaN and infinities)"""
+    """(value, whether text is JSON without repeated keys, NaN, infinities, lone surrogates and nesting beyond DEPTH)"""
 
     def pairs(found):
         out = dict(found)
@@ -70,31 +81,46 @@ def _parsed(text: str | None):
         return out
 
     try:
-        return json.loads(text or "", object_pairs_hook=pairs, parse_constant=_refuse), True
-    except (ValueError, RecursionError):
+        value = json.loads(text or "", object_pairs_hook=pairs, parse_constant=_refuse)
+        if _depth(value) > DEPTH:
+            return None, False
+        canonical(value).encode()
+        return value, True
+    except (ValueError, RecursionError):  # UnicodeEncodeError is a ValueError
         return None, False
 
 
+#: Levels of arrays and objects that arguments may have.
+DEPTH = 100
+
+
+def _depth(value) -> int:
+    level, n = [value], 0
+    while level := [x for v in level if isinstance(v, (list, dict)) for x in [*(v.values() if isinstance(v, dict) else v), None]]:
+        n += 1
+    return n
+
+
+def _clean(text: str | None) -> str | None:
+    """Text that UTF-8 can hold: U+FFFD for lone surrogates."""
+    return None if text is None else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def _serialised(schemas: dict[str, dict]):
     def run(batches):
         for batch in batches:
             ok, out = [], []
             for kind, role, call_id, name, arguments, content in zip(*(batch[c].to_pylist() for c in ("kind", "role", "call_id", "name", "arguments", "content")), strict=True):
+                ok.append(None)
                 if kind == "call":
                     value, readable = _parsed(arguments)
-                    ok.append(readable and name in schemas and valid(value, schemas[name]))
-                    row = {"type": "call", "id": call_id, "name": name, "arguments": value if readable else arguments}
+                    ok[-1] = readable and name in schemas and valid(value, schemas[name])
+                    row = {"type": "call", "id": call_id, "name": name, "arguments": value if readable else _clean(arguments)}
                 elif kind == "result":
-                    ok.append(None)
                     row = {"type": "result", "id": call_id, "content": content}
                 else:
-                    ok.append(None)
                     row = {"type": "message", "role": role, "content": content}
-                try:
-                    out.append(canonical(row))
-                except ValueError:  # a number beyond JSON's range
-                    ok[-1] = False
-                    out.append(canonical(row | {"arguments": arguments}))
+                out.append(canonical(row))
             keep = [n for n in batch.schema.names if n not in ("role", "arguments", "content")]
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in keep), pa.array(ok, pa.bool_()), pa.array(out, pa.string())], [*keep, "valid", "json"])
 
@@ -104,25 +130,37 @@ def _serialised(schemas: dict[str, dict]):
 def _ordered(calls: DataFrame) -> DataFrame:
     """calls (conv_id, call_id, turn, after), one row per id -> (conv_id, call_id, at_turn, at_step): behind all that they depend on.
 
-    Only calls that stand before something they depend on are moved, round by round. A call on a cycle would move for ever;
-    it is left where it is once its step exceeds the number of calls of its conversation.
+    Calls that wait for none are placed first and set those free that wait for them only, round by round: as many rounds as
+    the longest chain. What is left at the end stands on a cycle or behind one, and keeps its own place.
     """
-    now = calls.select("conv_id", "call_id", F.col("turn").alias("at_turn"), F.lit(0).cast("long").alias("at_step"))
+    columns = ["conv_id", "call_id", "at_turn", "at_step"]
+    calls = calls.select("conv_id", "call_id", F.col("turn").alias("at_turn"), F.lit(0).cast("long").alias("at_step"), "after")
     edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("on")).where("on is not null and on <> call_id")
+    edges = written(edges.join(calls.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"]), "call-edges")  # unknown identifiers bind nobody
     if edges.isEmpty():
-        return now
-    edges = written(edges, "call-edges")
-    most = calls.groupBy("conv_id").agg(F.count("*").alias("most"))
+        return calls.select(*columns)
+    key = ["conv_id", "call_id"]
+    waiting = written(calls.select(*columns).join(edges.groupBy(*key).agg(F.count("*").alias("missing")), key), "calls-waiting")
+    ready = written(calls.select(*columns).join(edges.select(*key), key, "left_anti"), "calls-ready")
+    placed = ready
     while True:
-        before = now.select("conv_id", F.col("call_id").alias("on"), F.struct("at_turn", "at_step").alias("theirs"))
-        late = edges.join(now, ["conv_id", "call_id"]).join(before, ["conv_id", "on"]).where(F.col("theirs") >= F.struct("at_turn", "at_step"))
-        moved = written(late.groupBy("conv_id", "call_id").agg(F.max("theirs").alias("behind")).join(most, "conv_id").where("behind.at_step < most"), "call-moves")
-        if moved.isEmpty():
-            return now
-        now = now.join(moved, ["conv_id", "call_id"], "left").select(
-            "conv_id", "call_id", F.coalesce("behind.at_turn", "at_turn").alias("at_turn"), F.coalesce(F.col("behind.at_step") + 1, "at_step").alias("at_step")
+        # What the calls placed last mean to those that wait for them.
+        freed = edges.join(ready.select("conv_id", F.col("call_id").alias("on"), F.struct("at_turn", "at_step").alias("theirs")), ["conv_id", "on"])
+        freed = freed.groupBy(*key).agg(F.count("*").alias("met"), F.max("theirs").alias("behind"))
+        now = waiting.join(freed, key, "left")
+        later = F.col("behind") >= F.struct("at_turn", "at_step")
+        now = written(
+            now.select(
+                *key, F.when(later, F.col("behind.at_turn")).otherwise(F.col("at_turn")).alias("at_turn"), F.when(later, F.col("behind.at_step") + 1).otherwise(F.col("at_step")).alias("at_step"),
+                (F.col("missing") - F.coalesce("met", F.lit(0))).alias("missing"),
+            ),
+            "calls-waiting",
         )
-        now = written(now, "call-order")
+        ready, waiting = now.where("missing = 0").select(*columns), now.where("missing > 0")
+        if ready.isEmpty():
+            stuck = waiting.select(*key).join(calls.select(*columns), key)
+            return placed.unionByName(stuck)
+        placed = placed.unionByName(ready)
 
 
 def link(items: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -130,9 +168,10 @@ def link(items: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
     items has the columns of ITEMS; kind is call, result or message. A call links to the earliest result with its id, a
     result to the earliest call; null ids or conversations never link. Of several calls with one id the earliest counts for
-    links, and the others keep their places. valid is null but for calls; a name without schema, text that is no
-    JSON, repeated keys and numbers out of range are not valid, and such text is kept as a string. Repeated rows give
-    repeated rows; an empty table gives an empty result.
+    links, and the others keep their places. Calls on a cycle of dependences, or behind one, keep theirs. valid is null but
+    for calls; a name without schema, text that is no JSON, repeated keys, lone surrogates, numbers out of range and
+    nesting beyond DEPTH levels are not valid, and such text is kept as a string. Long texts are kept whole. Repeated rows
+    give repeated rows; an empty table gives an empty result.
     """
     spark = items.sparkSession
     ship(spark)
@@ -185,26 +224,36 @@ ASK = {"ask": {"type": "object", "required": ["chars", "text"], "additionalPrope
 
 
 def op7_chat_tools(spark, sf_dir: str) -> DataFrame:
-    """conversations as tool use: a user's turn calls the tool ask, after the call two turns before; the assistant's next turn is its result."""
+    """conversations as tool use, read from messages: a user's turn calls the tool ask, the assistant's next turn is its result.
+
+    A call needs the one two turns later unless conversation and turn sum to a multiple of 3, so it moves behind that one, or behind a chain.
+    """
     t = load(spark, sf_dir, "conversations")
-    name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), (turn).cast("string"))
-    turn, user, assistant = F.col("turn"), F.col("role") == "user", F.col("role") == "assistant"
+    name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    turn, user, assistant = F.col("turn").cast("long"), F.col("role") == "user", F.col("role") == "assistant"
     text = F.coalesce("text", F.lit(""))
-    items = t.select(
-        "conv_id", "turn", F.when(user, "call").when(assistant, "result").otherwise("message").alias("kind"), "role",
-        F.when(user, name(turn)).when(assistant, name(turn - 1)).alias("call_id"), F.when(user, F.lit("ask")).alias("name"),
-        F.when(user, F.to_json(F.struct(text.alias("text"), F.length(text).alias("chars")))).alias("arguments"), text.alias("content"), F.when(user, F.array(name(turn - 2))).alias("after"),
+    needs = F.when((F.col("conv_id") + turn) % 3 != 0, F.array(name(turn + 2)))
+    ask = F.struct(name(turn).alias("id"), F.lit("ask").alias("name"), F.to_json(F.struct(text.alias("text"), F.length(text).alias("chars"))).alias("arguments"), needs.alias("after"))
+    made = F.to_json(F.struct(F.array(ask).alias("tool_calls")))
+    said = F.to_json(F.struct(name(turn - 1).alias("tool_call_id"), text.alias("content")))
+    messages = t.select(
+        "conv_id", turn.alias("turn"), F.when(user, "assistant").when(assistant, "tool").otherwise(F.col("role")).alias("role"), F.when(user, made).when(assistant, said).otherwise(text).alias("text")
     )
-    return link(items, ASK)
+    return link(items_of(messages), ASK)
 
 
 OP7_SQL = """
 WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 i AS (SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS call_turn,
     CASE role WHEN 'user' THEN 'c' || conv_id || '-' || turn WHEN 'assistant' THEN 'c' || conv_id || '-' || (turn - 1) END AS call_id FROM t),
-l AS (SELECT i.*, CASE kind WHEN 'call' THEN (SELECT min(r.turn) FROM i r WHERE r.kind = 'result' AND r.call_id = i.call_id)
-    WHEN 'result' THEN (SELECT min(c.turn) FROM i c WHERE c.kind = 'call' AND c.call_id = i.call_id) END AS linked_turn FROM i)
-SELECT conv_id, turn, kind, call_id, CASE kind WHEN 'call' THEN 'ask' END AS name, linked_turn, turn AS order_turn, 0::BIGINT AS order_step,
+c AS (SELECT a.conv_id, a.turn, (a.conv_id + a.turn) % 3 <> 0 AND b.turn IS NOT NULL AS waits FROM t a LEFT JOIN t b ON b.role = 'user' AND b.conv_id = a.conv_id AND b.turn = a.turn + 2 WHERE a.role = 'user'),
+o AS (SELECT a.conv_id, a.turn, CASE WHEN NOT a.waits THEN 0 WHEN NOT b.waits THEN 1 ELSE 2 END AS k FROM c a LEFT JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2),
+l AS (SELECT i.*, o.k, CASE kind WHEN 'call' THEN (SELECT min(r.turn) FROM i r WHERE r.kind = 'result' AND r.call_id = i.call_id) WHEN 'result' THEN o.turn END AS linked_turn
+    FROM i LEFT JOIN o ON o.conv_id = i.conv_id AND o.turn = i.call_turn)
+SELECT conv_id, turn::BIGINT AS turn, kind, call_id, CASE kind WHEN 'call' THEN 'ask' END AS name, linked_turn::BIGINT AS linked_turn,
+    (CASE WHEN coalesce(k, 0) > 0 THEN call_turn + 2 * k ELSE turn END)::BIGINT AS order_turn,
+    (CASE WHEN coalesce(k, 0) = 0 THEN 0 WHEN kind = 'call' THEN k ELSE k + 1 END)::BIGINT AS order_step,
     CASE kind WHEN 'call' THEN length(text) BETWEEN 1 AND 400 END AS valid,
     CASE kind WHEN 'call' THEN '{"arguments":{"chars":' || length(text) || ',"text":' || to_json(text) || '},"id":"' || call_id || '","name":"ask","type":"call"}'
         WHEN 'result' THEN '{"content":' || to_json(text) || ',"id":"' || call_id || '","type":"result"}'

@@ -345,10 +345,40 @@ def test_chat_tools(spark):
     assert by[1, 1, "x"].linked_turn == 3 and by[1, 4, "x"].linked_turn == 1 and by[1, 5, "w"].linked_turn is None
     assert (by[1, 1, "x"].order_turn, by[1, 1, "x"].order_step) == (2, 1) and by[1, 1, "z"].order_turn == 1
     assert [by[1, 1, "x"].valid, by[1, 1, "z"].valid, by[1, 2, "y"].valid, by[3, 0, "p"].valid, by[3, 0, "q"].valid] == [True, False, True, False, False]
-    assert by[1, 2, "y"].json == '{"arguments":{"a":2.0,"b":["é"]},"id":"y","name":"add","type":"call"}'
+    assert by[1, 2, "y"].json == '{"arguments":{"a":2,"b":["é"]},"id":"y","name":"add","type":"call"}'
     assert chat_tools.link(items.limit(0), schema).count() == 0
 
 
+def chat(spark, calls):
+    rows = [(1, t, "call", "assistant", i, "any", a, None, after) for t, i, a, after in calls]
+    return spark.createDataFrame(rows, "conv_id long, turn long, kind string, role string, call_id string, name string, arguments string, content string, after array<string>")
+
+
+def test_chat_arguments_that_break_readers(spark):
+    deep = "[" * 600 + "]" * 600
+    texts = [deep, "{" * 5000, '"\\ud800"', "[" * 90 + "]" * 90, '{"a":1.0}', '{"a":1}', '{"a":1e400}', "1e22", None, "", '{"a":1,"a":2}', "NaN"]
+    found = chat_tools.link(chat(spark, [(k, f"c{k}", t, None) for k, t in enumerate(texts)]), {"any": {}}).collect()
+    by = {r.call_id: r for r in found}
+    assert [by[f"c{k}"].valid for k in range(len(texts))] == [False, False, False, True, True, True, False, True, False, False, False, False]
+    assert by["c4"].json.replace("c4", "c5") == by["c5"].json
+
+
+def test_chat_order_is_topological(spark):
+    """Chains, diamonds, cycles and calls behind a cycle, against a plain walk."""
+    r = random.Random(2)
+    calls = [(k, f"n{k}", "{}", [f"n{j}" for j in r.sample(range(k + 1, 40), min(2, 39 - k))] if k % 3 else None) for k in range(40)]
+    calls += [(50, "p", "{}", ["q"]), (51, "q", "{}", ["p", "gone"]), (52, "s", "{}", ["p"]), (53, "self", "{}", ["self", None])]
+    found = {x.call_id: (x.order_turn, x.order_step) for x in chat_tools.link(chat(spark, calls), {}).collect()}
+    after = {i: [x for x in a or [] if x in found and x != i] for _, i, _, a in calls}
+    turn, want = {i: t for t, i, _, _ in calls}, {}
+    for k in range(39, -1, -1):
+        i = f"n{k}"
+        last = max((want[x] for x in after[i]), default=(-1, 0))
+        want[i] = (last[0], last[1] + 1) if last >= (turn[i], 0) else (turn[i], 0)
+    assert all(found[i] == want[i] for i in want)
+    assert [found[i] for i in ("p", "q", "s", "self")] == [(50, 0), (51, 0), (52, 0), (53, 0)]
+
+
 # 9
 
 
