@@ -2,31 +2,41 @@
 
 Candidates are cut into blocks of neighbouring identifiers. A block keeps its vectors as a forward index and the largest and
 smallest weight of each term, whose sum over a query's terms bounds the score of everything in the block. Each query
-visits blocks in descending order of that bound and stops when the next bound is below its k-th best score. Blocks and
-queries meet in cells of bounded size: a group of blocks and a batch of queries.
+visits blocks in descending order of that bound and stops when the next bound is below its k-th best score.
+
+Spark moves groups of neighbouring blocks, which have bounds of their own. Each query first meets the group with the highest
+bound, then the next few, then the rest; its k-th best score so far goes along, and a query is sent only to groups
+whose bound reaches that score.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import load, ship, written
 
-#: Vectors in a block, blocks in a group, queries in a batch, queries scored together.
-BLOCK, GROUP, BATCH, TILE = 1024, 48, 4096, 256
-#: Weights saturate here, so that sums of products stay within 64 bits.
-LARGEST = 1 << 27
+#: Vectors in a block, blocks in a group, queries that meet a group in one task, queries scored together.
+BLOCK, GROUP, BATCH, TILE = 256, 32, 4096, 256
+#: Groups in one task when bounds are computed.
+BOUNDS = 256
+#: Groups that a query may have met after each round but the last.
+ROUNDS = (1, 6)
 NONE = np.iinfo(np.int64).min
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, q array<long>): floor(scale * x) of each component; without null ids, vectors and components, and non-finite ones."""
+    """(vec_id, q array<long>): floor(scale * x) of each component; without null ids, vectors and components, and non-finite ones.
+
+    A component beyond 64 bits is an error, as no score could hold it."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    q = F.transform("embedding", lambda x: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.floor(F.lit(float(scale)) * x.cast("double")))).cast("long"))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad).select(F.col("vec_id").cast("long").alias("vec_id"), q.alias("q"))
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    whole = lambda x: F.when(F.abs(scaled(x)) < 2.0**63, F.floor(scaled(x))).otherwise(F.raise_error(F.lit("a component is beyond 64 bits")).cast("long"))
+    found = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad)
+    return found.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", whole).alias("q"))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -43,74 +53,72 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return out
 
 
-def _pack(size: int):
-    """Rows in order of vec_id -> packed rows of up to size vectors."""
+def _wide(m: np.ndarray, width: int) -> np.ndarray:
+    return m if m.shape[1] == width else np.pad(m, ((0, 0), (0, width - m.shape[1])))
 
-    def run(batches):
-        held = None
 
-        def row(t):
-            m = matrix(t["q"])
-            ids = t["vec_id"].to_numpy()
-            cols = [pa.array([x], k) for x, k in ((int(ids[0]), pa.int64()), (len(ids), pa.int32()), (m.shape[1], pa.int32()), (ids.astype("<i8").tobytes(), pa.binary()), (m.astype("<i4").tobytes(), pa.binary()))]
-            return pa.RecordBatch.from_arrays(cols, ["first", "n", "width", "ids", "weights"])
+def _largest(m: np.ndarray) -> int:
+    return max(int(m.max()), -int(m.min())) if m.size else 0
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            while held.num_rows >= size:
-                yield row(held.slice(0, size))
-                held = held.slice(size)
-        if held is not None and held.num_rows:
-            yield row(held)
 
-    return run
+def _kind(a: np.ndarray, b: np.ndarray):
+    """A type in which all inner products of rows of a and b are exact."""
+    top = _largest(a) * _largest(b) * max(a.shape[1], 1)
+    return np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else np.int64 if top < 1 << 63 else object
 
 
-def _unpack(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [
-        (np.frombuffer(ids, "<i8"), np.frombuffer(w, "<i4").reshape(n, width).astype(np.int64))
-        for ids, w, n, width in zip(*(table[c].to_pylist() for c in ("ids", "weights", "n", "width")), strict=True)
-    ]
+def _bounds(tile: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """What no score of a row of tile can exceed, by block; in 64 bits, larger ones at the limit."""
+    zero = tile * 0
+    bound = np.maximum(tile, zero) @ most.T + np.minimum(tile, zero) @ least.T
+    if bound.dtype == object:
+        bound = np.array([[max(NONE + 1, min(int(x), -(NONE + 1))) for x in row] for row in bound]).reshape(bound.shape)
+    return bound.astype(np.int64)
 
 
-def _wide(m: np.ndarray, width: int) -> np.ndarray:
-    return m if m.shape[1] == width else np.pad(m, ((0, 0), (0, width - m.shape[1])))
+def _scores(tile: np.ndarray, block: np.ndarray) -> np.ndarray:
+    score = tile @ block.T
+    if score.dtype == object:
+        found = [[int(x) for x in row] for row in score]
+        if any(not NONE < x < -NONE for row in found for x in row):
+            raise OverflowError("a score is beyond 64 bits")
+        score = np.array(found).reshape(score.shape)
+    return score.astype(np.int64)
 
 
-def search(queries: list, blocks: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of the k best of these blocks for each query: unpacked rows on both sides."""
-    width = max(m.shape[1] for _, m in [*queries, *blocks])
-    blocks = [(ids, _wide(m, width)) for ids, m in blocks]
-    ids, q = np.concatenate([x for x, _ in queries]), np.concatenate([_wide(m, width) for _, m in queries])
-    top = max(int(np.abs(m).max(initial=0)) for _, m in blocks) * int(np.abs(q).max(initial=0)) * max(width, 1)
-    kind = np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else np.int64
+def search(q_ids: np.ndarray, q: np.ndarray, kth: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int):
+    """(query_id, vec_id, score) of the k best of the vectors m (ids ascending) for each query, without what is known to be below its kth score;
+    and how many pairs of query and block were scored."""
+    width = max(q.shape[1], m.shape[1])
+    q, m = _wide(q, width), _wide(m, width)
+    kind = _kind(q, m)
+    blocks = [(ids[at : at + BLOCK], m[at : at + BLOCK].astype(kind)) for at in range(0, len(ids), BLOCK)]
     q = q.astype(kind)
-    forward = [m.astype(kind) for _, m in blocks]
-    most, least = np.array([m.max(axis=0) for m in forward]), np.array([m.min(axis=0) for m in forward])
-    out = []
+    most, least = np.array([b.max(axis=0) for _, b in blocks], kind), np.array([b.min(axis=0) for _, b in blocks], kind)
+    out, scored = [], 0
     for at in range(0, len(q), TILE):
-        tile, own = q[at : at + TILE], ids[at : at + TILE]
-        bound = (np.maximum(tile, 0) @ most.T + np.minimum(tile, 0) @ least.T).astype(np.int64)
+        tile, own, floor = q[at : at + TILE], q_ids[at : at + TILE], kth[at : at + TILE]
+        bound = _bounds(tile, most, least)
         order = np.argsort(-bound, axis=1, kind="stable")
         best, best_id = np.full((len(tile), k), NONE), np.full((len(tile), k), np.iinfo(np.int64).max)
         going = np.arange(len(tile))
         for turn in range(len(blocks)):
             block = order[going, turn]
             # A bound equal to the k-th score may hide a smaller identifier.
-            still = bound[going, block] >= best[going, k - 1]
+            still = bound[going, block] >= np.maximum(best[going, k - 1], floor[going])
             going, block = going[still], block[still]
             if not len(going):
                 break
+            scored += len(going)
             for b in np.unique(block):
                 some = going[block == b]
-                score = (tile[some] @ forward[b].T).astype(np.int64)
+                score = _scores(tile[some], blocks[b][1])
                 names = blocks[b][0]
                 score[names[None, :] == own[some, None]] = NONE
                 _take(best, best_id, some, score, names, k)
-        n, j = np.nonzero(best != NONE)
+        n, j = np.nonzero((best != NONE) & (best >= floor[:, None]))
         out.append((own[n], best_id[n, j], best[n, j]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    return *(np.concatenate(x) for x in zip(*out, strict=True)), scored
 
 
 def _take(best, best_id, some, score, names, k) -> None:
@@ -132,39 +140,105 @@ def _take(best, best_id, some, score, names, k) -> None:
     best[some], best_id[some] = np.take_along_axis(s, by, 1), np.take_along_axis(i, by, 1)
 
 
+def _groups(batches):
+    """Rows in order of vec_id -> groups of up to BLOCK * GROUP vectors, with the largest and smallest weight of each term."""
+    task, nth, held, size = TaskContext.get().partitionId(), 0, None, BLOCK * GROUP
+
+    def row(t):
+        nonlocal nth
+        m = matrix(t["q"])
+        ids = t["vec_id"].to_numpy()
+        nth += 1
+        cells = ((task << 32 | nth, pa.int64()), (m.shape[1], pa.int32()), (ids.astype("<i8").tobytes(), pa.binary()), (m.astype("<i8").tobytes(), pa.binary()))
+        edges = ((m.max(axis=0, initial=NONE).tolist(), pa.list_(pa.int64())), (m.min(axis=0, initial=-NONE - 1).tolist(), pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in (*cells, *edges)], ["group", "width", "ids", "weights", "most", "least"])
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        while held.num_rows >= size:
+            yield row(held.slice(0, size))
+            held = held.slice(size)
+    if held is not None and held.num_rows:
+        yield row(held)
+
+
+def _bound_cell(queries: pa.Table, groups: pa.Table) -> pa.Table:
+    """query_id, group, bound for all queries and groups of a cell."""
+    names = ["query_id", "group", "bound"]
+    if not queries.num_rows or not groups.num_rows:
+        return pa.table([pa.array([], pa.int64())] * 3, names)
+    q, most, least = matrix(queries["q"]), matrix(groups["most"]), matrix(groups["least"])
+    width = max(q.shape[1], most.shape[1])
+    q, most, least = (_wide(x, width) for x in (q, most, least))
+    kind = _kind(q, np.concatenate([most, least]))
+    bound = _bounds(q.astype(kind), most.astype(kind), least.astype(kind))
+    ids, group = queries["vec_id"].to_numpy(), groups["group"].to_numpy()
+    return pa.table([pa.array(np.repeat(ids, len(group))), pa.array(np.tile(group, len(ids))), pa.array(bound.reshape(-1))], names)
+
+
 def _cell(k: int):
-    def run(blocks: pa.Table, queries: pa.Table) -> pa.Table:
+    def run(queries: pa.Table, groups: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
-        if not blocks.num_rows or not queries.num_rows:
+        if not queries.num_rows or not groups.num_rows:
             return pa.table([pa.array([], pa.int64())] * 3, names)
-        return pa.table([pa.array(c) for c in search(_unpack(queries), _unpack(blocks), k)], names)
+        row = groups.slice(0, 1)
+        width = row["width"][0].as_py()
+        ids = np.frombuffer(row["ids"][0].as_py(), "<i8")
+        m = np.frombuffer(row["weights"][0].as_py(), "<i8").reshape(len(ids), width)
+        found = search(queries["query_id"].to_numpy(), matrix(queries["q"]), queries["kth"].to_numpy(), ids, m, k)
+        return pa.table([pa.array(c) for c in found[:3]], names)
 
     return run
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, report: dict | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of each query, ties to the smaller vec_id.
 
     Both tables have vec_id and q (array<long>), none null. A candidate with the query's own vec_id is never returned.
     Repeated candidate rows count as often as they occur, repeated queries once; a shorter vector counts as ending in
-    zeros. An empty table on either side gives an empty result; other columns are not looked at.
+    zeros. Scores beyond 64 bits are an error. An empty table on either side gives an empty result; other columns are not
+    looked at. report gets the pairs of query and group that were searched, and all of them.
     """
     spark = candidates.sparkSession
     ship(spark)
-    schema = "first long, n int, width int, ids binary, weights binary"
-    packed = lambda df, size: df.select("vec_id", "q").repartitionByRange("vec_id").sortWithinPartitions("vec_id").mapInArrow(_pack(size), schema)
-    blocks = written(packed(candidates, BLOCK), "blocks")
-    tiles = written(packed(queries.select("vec_id", "q").distinct(), TILE), "tiles")
-    groups = -(-blocks.count() // GROUP)
-    batches = -(-tiles.count() // (BATCH // TILE))
-    if not groups or not batches:
+    ordered = candidates.select("vec_id", "q").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
+    groups = written(ordered.mapInArrow(_groups, "group long, width int, ids binary, weights binary, most array<long>, least array<long>"), "groups")
+    queries = written(queries.select("vec_id", "q").distinct(), "queries")
+    if groups.isEmpty() or queries.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    deal = lambda df, n, own, other, m: df.withColumn(own, F.pmod(F.xxhash64("first"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    left = deal(blocks, groups, "group", "batch", batches).groupBy("group", "batch")
-    right = deal(tiles, batches, "batch", "group", groups).groupBy("group", "batch")
-    found = left.cogroup(right).applyInArrow(_cell(k), "query_id long, vec_id long, score long")
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(place).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    parts, sides = -(-queries.count() // BATCH), -(-groups.count() // BOUNDS)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("side", every(sides)).groupBy("part", "side")
+    right = groups.select("group", "most", "least").withColumn("side", F.pmod(F.xxhash64("group"), F.lit(sides)).cast("int")).withColumn("part", every(parts)).groupBy("part", "side")
+    bounds = left.cogroup(right).applyInArrow(_bound_cell, "query_id long, group long, bound long")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "group"))
+    bounds = written(bounds.withColumn("place", place), "bounds")
+
+    best, before = None, 0
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    for upto in (*ROUNDS, None):
+        now = bounds.where(F.col("place") > before) if upto is None else bounds.where(F.col("place").between(before + 1, upto))
+        if best is None:
+            now = now.withColumn("kth", F.lit(NONE))
+        else:
+            kth = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+            now = now.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(NONE))).where("bound >= kth")
+        now = written(now.select("query_id", "group", "kth"), "visits")
+        if report is not None:
+            report["searched"] = report.get("searched", 0) + now.count()
+            report["all"] = bounds.count()
+        # A group meets its queries in cells of about BATCH each, however many want it.
+        cells = now.groupBy("group").agg(F.ceil(F.count("*") / BATCH).cast("int").alias("cells"))
+        asked = now.join(cells, "group").withColumn("cell", F.pmod(F.xxhash64("query_id"), "cells").cast("int")).join(queries.select(F.col("vec_id").alias("query_id"), "q"), "query_id")
+        met = groups.select("group", "width", "ids", "weights").join(cells, "group").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+        found = asked.select("group", "cell", "query_id", "q", "kth").groupBy("group", "cell").cogroup(met.select("group", "cell", "width", "ids", "weights").groupBy("group", "cell"))
+        found = found.applyInArrow(_cell(k), "query_id long, vec_id long, score long")
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        best = written(found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k), "best")
+        before = upto
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op9_topk(spark, sf_dir: str) -> DataFrame:

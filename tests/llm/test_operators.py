@@ -399,6 +399,40 @@ def test_topk(spark):
     assert topk.top_k(q.limit(0), q).count() == 0 and topk.top_k(q, q.limit(0)).count() == 0
 
 
+def test_topk_large_components_and_overflow(spark):
+    """Exact where products pass 53 and 63 bits on the way; an error where a score does not fit."""
+    vecs = [(0, [4e6, 1.0]), (20, [3e6, 2.0]), (1, [4e6, 0.0]), (2, [3e6, 0.0]), (3, [-4e6, 5.0]), (4, [2.0**29, 1.0]), (5, [2.0**29, -1.0])]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    q = topk.quantised(df)
+    rows = {i: [int(64 * x) for x in v] for i, v in vecs}
+    found = topk.top_k(q.where("vec_id in (0, 20)"), q, 3).collect()
+    for i in (0, 20):
+        want = sorted((-sum(a * b for a, b in zip(rows[i], v)), j) for j, v in rows.items() if j != i)[:3]
+        assert sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == i) == [(n + 1, j, -s) for n, (s, j) in enumerate(want)]
+    over = spark.createDataFrame([(0, [2.0**40, 1.0]), (1, [2.0**40, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(topk.quantised(over), topk.quantised(over), 3).collect()
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.quantised(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_topk_prunes(spark, monkeypatch):
+    """On vectors that lie in clusters by identifier, most groups and blocks are never searched, and nothing is lost."""
+    monkeypatch.setattr(topk, "ROUNDS", (1, 2))
+    r = np.random.default_rng(3)
+    m = np.floor(np.repeat(r.normal(0, 30, (6, 8)), 8000, axis=0) + r.normal(0, 1, (48_000, 8))).astype(np.int64)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(m.tolist())], "vec_id long, q array<long>")
+    report = {}
+    found = topk.top_k(df.where("vec_id % 300 = 0"), df, 5, report).collect()
+    assert report["all"] >= 160 * 6 and report["searched"] < report["all"] / 2
+    scores = m[::300] @ m.T
+    scores[np.arange(160), np.arange(160) * 300] = topk.NONE + 1
+    want = {(300 * i, n + 1, int(j), int(s[j])) for i, s in enumerate(scores) for n, j in enumerate(np.lexsort((np.arange(48_000), -s))[:5])}
+    assert {tuple(x) for x in found} == want
+    *_, scored = topk.search(np.arange(0, 48_000, 300), m[::300], np.full(160, topk.NONE), np.arange(48_000), m, 5)
+    assert scored < 160 * 188 / 2
+
+
 # 10
 
 
