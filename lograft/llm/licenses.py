@@ -1,8 +1,9 @@
 """Licence scan: ordered signature rules over lower-cased text, with DataFrame and SQL functions only.
 
-Rules come from families of patterns applied to a table of licences. A rule's regular expression runs only on texts
-that hold the rule's keyword, and no rule runs on texts without any of the few gate words. Detections are intervals
-of the text; one that lies inside an interval of equal or better priority is suppressed.
+Rules are regular expressions in order of priority: declared identifiers, then clauses of the licence texts and pages, then
+titles, then short names. Those of clauses and short names are written one by one; those of titles and identifiers come from
+a table of licences. A rule runs only on texts that hold its keyword, and no rule runs on texts without any of the
+few gate words. Detections are intervals of the text; one inside an interval of equal or better priority is suppressed.
 """
 
 from __future__ import annotations
@@ -64,25 +65,157 @@ LICENSES = (
 )
 #: Labels that are published identifiers themselves: they count where a text declares them or grants under them, not as bare words.
 DECLARED = ("mit", "isc", "zlib", "unlicense", "wtfpl", "postgresql", "openssl")
-#: No rule can match a text that has none of these.
-GATE = ("licen", "dedication", "spdx", "creative", "cc0", "cc by", "cc-by") + tuple(sorted({i for _, _, ids, _ in LICENSES for i in ids} | {page for *_, page in LICENSES} | {t for _, t, *_ in LICENSES if "licen" not in t}))
+#: Keywords of clauses and titles: the first one that a phrase holds is its prefilter.
+KEYWORDS = ("licen", "software", "permission", "redistribut", "creative", "copyright", "public domain", "material", "source", "acceptance", "warrant", "network", "sections", "restrictions", "production", "change date", "contribution", "terms", "standard version", "cc0", "fuck", "mozilla")
+#: Sentences of the licence texts: (label, words). "~" stands for up to six words of any kind.
+CLAUSES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions"),
+    ("bsd", "neither the name of ~ nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("bsd", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties"),
+    ("bsd", "this software is provided by the regents and contributors as is and any express or implied warranties"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("apache", "you may not use this file except in compliance with the license"),
+    ("apache", "distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache", "any contribution intentionally submitted for inclusion in the work by you to the licensor"),
+    ("apache", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl", "either version ~ of the license or at your option any later version"),
+    ("gpl", "see the gnu general public license for more details"),
+    ("gpl", "you should have received a copy of the gnu general public license along with"),
+    ("gpl", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl", "under the terms of the gnu library general public license as published by the free software foundation"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with"),
+    ("agpl", "all users interacting with it remotely through a computer network"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "you can obtain one at ~ mozilla org mpl"),
+    ("mpl", "this source code form is incompatible with secondary licenses"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("epl", "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cpl", "this program and the accompanying materials are made available under the terms of the common public license"),
+    ("eupl", "licensed under the eupl ~ european union public licence"),
+    ("eupl", "you may not use this work except in compliance with the licence eupl"),
+    ("artistic", "you may distribute your modified version as source ~ in the form of the standard version"),
+    ("artistic", "you can redistribute it and or modify it under the terms of the artistic license"),
+    ("artistic", "redistribute it and or modify it under the same terms as perl itself"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("boost", "distributed under the boost software license"),
+    ("boost", "solely in the form of machine executable object code generated by a source language processor"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "dedicate any and all copyright interest in the software to the public domain"),
+    ("wtfpl", "you just do what the fuck you want to"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("python", "this license agreement is between the python software foundation psf and the individual or organization"),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ofl", "this font software is licensed under the sil open font license"),
+    ("ofl", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("ofl", "neither the font software nor any of its individual components ~ may be sold by itself"),
+    ("osl", "licensed under the open software license version"),
+    ("afl", "licensed under the academic free license version"),
+    ("ms-pl", "this license governs use of the accompanying software ~ microsoft public license"),
+    ("odbl", "made available under the open database license"),
+    ("odc-by", "made available under the open data commons attribution license"),
+    ("pddl", "made available under the public domain dedication and license"),
+    ("cc0", "has waived all copyright and related or neighboring rights"),
+    ("cc0", "cc0 1 0 universal public domain dedication"),
+    ("cc-by", "this work is licensed under a creative commons attribution ~ international license"),
+    ("cc-by", "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same license"),
+    ("cc-by-nc", "you may not use the material for commercial purposes"),
+    ("cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material"),
+    ("openrail", "the use restrictions ~ apply to the model and derivatives of the model"),
+    ("busl", "effective on the change date or the fourth anniversary of the first publicly available distribution"),
+    ("busl", "make non production use of the licensed work"),
+    ("sspl", "you must make the service source code available via network download to everyone at no charge"),
+    ("elastic", "you may not provide the software to third parties as a hosted or managed service"),
+)
+#: Short names as people write them, with or without a version: (label, keyword, pattern).
+SHORT = (
+    ("agpl", "gpl", r"(?:gnu )?agpl(?:[ -]?v?[13](?:\.0)?)?(?:\+|(?:-only|-or-later| or later))?"),
+    ("lgpl", "gpl", r"(?:gnu )?lgpl(?:[ -]?v?[23](?:\.[01])?)?(?:\+|(?:-only|-or-later| or later))?"),
+    ("gfdl", "gfdl", r"(?:gnu )?gfdl(?:[ -]?v?1\.[123])?(?:\+|(?:-only|-or-later| or later))?"),
+    ("gpl", "gpl", r"(?:gnu )?gpl(?:[ -]?v?[123](?:\.0)?)?(?:\+|(?:-only|-or-later| or later))?"),
+    ("apache", "apache", r"apache[ -]?(?:v|version )?(?:1\.[01]|2(?:\.0)?)(?: licen[sc]ed?)?"),
+    ("apache", "apache", r"apache(?: software)? licen[sc]ed?"),
+    ("apache", "asl 2", r"asl 2(?:\.0)?"),
+    ("mit", "licen", r"(?:mit|expat|x11)[ /-](?:style |type )?licen[sc]ed?"),
+    ("bsd", "licen", r"(?:new |modified |simplified |original )?bsd(?:[ -][234][ -]clause)?[ -](?:style |type )?licen[sc]ed?"),
+    ("bsd", "clause bsd", r"(?:two|three|four|[234])[ -]clause bsd"),
+    ("isc", "licen", r"isc[ -](?:style |type )?licen[sc]ed?"),
+    ("mpl", "mpl 2", r"mpl 2\.0"),
+    ("mpl", "mpl 1", r"mpl 1\.[01]"),
+    ("epl", "epl 2", r"epl 2\.0"),
+    ("epl", "epl 1", r"epl 1\.0"),
+    ("cddl", "cddl", r"cddl(?:[ -]?(?:v|version )?1\.[01])?"),
+    ("cpl", "cpl 1", r"cpl 1\.0"),
+    ("eupl", "eupl", r"eupl(?:[ -]?(?:v|version )?1\.[0-2])?"),
+    ("zlib", "licen", r"zlib(?:/libpng)? licen[sc]ed?"),
+    ("boost", "licen", r"boost licen[sc]e"),
+    ("unlicense", "licen", r"(?:under|by|the) (?:the )?unlicense"),
+    ("wtfpl", "wtfpl", r"wtfpl[ -]?v?2(?:\.0)?"),
+    ("postgresql", "licen", r"postgres(?:ql)? licen[sc]e"),
+    ("python", "licen", r"psf licen[sc]e"),
+    ("python", "licen", r"python(?: software foundation)? licen[sc]e"),
+    ("ofl", "ofl 1", r"(?:sil )?ofl 1\.[01]"),
+    ("ofl", "sil ofl", r"sil ofl"),
+    ("odbl", "odbl", r"odbl(?:[ -]?v?1\.0)?"),
+    ("pddl", "pddl", r"pddl(?:[ -]?v?1\.0)?"),
+    ("cc0", "cc0", r"cc0(?:[ -]1\.0)?"),
+    ("cc0", "cc zero", r"cc zero"),
+    ("cc-by-nc-nd", "by-nc", r"(?:cc[ -])?by-nc-nd(?:[ -]?[1-4]\.0)?"),
+    ("cc-by-nc-sa", "by-nc", r"(?:cc[ -])?by-nc-sa(?:[ -]?[1-4]\.0)?"),
+    ("cc-by-nc", "by-nc", r"(?:cc[ -])?by-nc(?:[ -]?[1-4]\.0)?"),
+    ("cc-by-nd", "by-nd", r"(?:cc[ -])?by-nd(?:[ -]?[1-4]\.0)?"),
+    ("cc-by-sa", "by-sa", r"(?:cc[ -])?by-sa(?:[ -]?[1-4]\.0)?"),
+    ("openrail", "openrail", r"(?:creativeml |bigscience )?openrail(?:\+\+)?(?:-m)?"),
+    ("busl", "busl", r"busl(?:[ -]?1\.1)?"),
+    ("sspl", "sspl", r"sspl(?:[ -]?v?1(?:\.0)?)?"),
+    ("public-domain", "public domain", r"(?:released|dedicated|placed|put) (?:in|into|to) the public domain"),
+    ("public-domain", "public domain", r"(?:this|the) (?:work|file|software|code|text|document) is (?:in )?(?:the )?public domain"),
+    ("proprietary", "all rights reserved", r"all rights reserved"),
+    ("proprietary", "proprietary", r"proprietary and confidential"),
+    ("proprietary", "confidential", r"confidential and proprietary"),
+    ("proprietary", "unauthorized", r"unauthorized (?:copying|use|reproduction|distribution)[a-z ,]{0,60}(?:is )?(?:strictly )?prohibited"),
+)
+def _words(phrase: str) -> str:
+    """The phrase's words with any non-word characters between them; ~ for up to six words."""
+    words = phrase.replace("-", " ").split()
+    parts = [rf"(?:{WORD}{GAP}){{0,6}}?" if w == "~" else "".join("\\" + c if not c.isalnum() else c for c in w) + (GAP if k + 1 < len(words) else "") for k, w in enumerate(words)]
+    return "".join(parts)
 
 
-def _words(phrase: str) -> str:
-    """The phrase's words with any non-word characters between them."""
-    return GAP.join("".join("\\" + c if not c.isalnum() else c for c in w) for w in phrase.replace("-", " ").split())
+def keyword(phrase: str) -> str:
+    return next(k for k in KEYWORDS if k in phrase)
 
 
 def rules() -> list[tuple[int, int, str, str, str]]:
-    """(priority, rank, label, keyword, pattern), best first. Priority 0: a declared identifier; 1: a grant or a page; 2: a title; 3: a bare identifier."""
+    """(priority, rank, label, keyword, pattern), best first. Priority 0: a declared identifier; 1: a clause, a grant or a page; 2: a title; 3: a short name."""
     edge, end = r"(?<![a-z0-9])", r"(?![a-z0-9])"
-    made = []
+    made = [(1, label, keyword(words), edge + _words(words) + end) for label, words in CLAUSES]
     for label, title, ids, page in LICENSES:
-        key = title.split()[1 if title.startswith(("gnu ", "the ", "do ")) else 0]
+        key = keyword(title)
         for i in (*ids, *[label] * (label in DECLARED)):
             esc = i.replace(".", r"\.")
-            made.append((0, label, i, rf"spdx-license-identifier:\s*{esc}(?:-only|-or-later|\+)?{end}"))
-            made.append((1, label, i, rf"licen[sc]ed?{GAP}(?:under|as|:){GAP}(?:the{GAP})?{esc}(?:-only|-or-later|\+)?{end}"))
+            made.append((0, label, "licen", rf"spdx-license-identifier:\s*{esc}(?:-only|-or-later|\+)?{end}"))
+            made.append((1, label, "licen", rf"licen[sc]ed?{GAP}(?:under|as|:){GAP}(?:the{GAP})?{esc}(?:-only|-or-later|\+)?{end}"))
             if i in ids:
                 made.append((3, label, i, rf"{edge}{esc}(?:-only|-or-later|\+)?{end}"))
         t = _words(title)
@@ -90,30 +223,49 @@ def rules() -> list[tuple[int, int, str, str, str]]:
         made.append((1, label, key, rf"(?:licensed|released|distributed|available|published|redistributed){GAP}under{GAP}(?:the{GAP}|a{GAP}|an{GAP})?(?:terms{GAP}of{GAP}(?:the{GAP})?)?{t}{version}"))
         made.append((1, label, page, rf"(?:https?://)?(?:www\.)?{page.replace('.', chr(92) + '.')}[a-z0-9/.#-]*"))
         made.append((2, label, key, rf"{edge}{t}{version}{end}"))
+    made += [(3, label, key, edge + pattern + end) for label, key, pattern in SHORT]
     made.sort(key=lambda r: r[0])
     return [(p, k, label, key, pattern) for k, (p, label, key, pattern) in enumerate(made)]
 
 
+def gate(table: list) -> list[str]:
+    """Words of which every rule's keyword holds one, so no rule can match a text without any of them."""
+    found: list[str] = []
+    for key in sorted({r[3] for r in table}, key=len):
+        if not any(g in key for g in found):
+            found.append(key)
+    return found
+
+
+#: Stand around a hit while a text is searched; in texts they become blanks before.
+OPEN, CLOSE = "\x01", "\x02"
+
+
 def _detections(text: Column, table: list) -> Column:
-    """array<struct<start, end, priority, label>> of all rules whose keyword the text holds, unsuppressed."""
-    rows = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(key).alias("key"), F.lit(pattern).alias("pattern")) for p, _, label, key, pattern in table])
+    """array<struct<start, end, priority, label>> of all rules whose keyword the text holds, unsuppressed.
+
+    Each rule is an expression of its own, compiled once a task, behind its keyword; it marks its hits, and places are read off the marks.
+    """
+    by_key: dict[str, list] = {}
+    for p, _, label, key, pattern in table:
+        by_key.setdefault(key, []).append((p, label, pattern))
+    none = F.array().cast("array<struct<priority:int,label:string,marked:string>>")
 
-    def found(r):
-        hits = F.regexp_extract_all(text, r["pattern"], F.lit(0))
-        gaps = F.split(text, r["pattern"], -1)
-        none = F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    def searched(key, rows):
+        one = [F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}")).alias("marked")) for p, label, pattern in rows]
+        return F.when(F.contains(text, F.lit(key)), F.array(*one)).otherwise(none)
 
-        def step(acc, x):
-            begin = acc["at"] + F.length(x["gap"])
-            end = begin + F.length(x["hit"])
-            here = F.struct(begin.alias("start"), end.alias("end"), r["priority"].alias("priority"), r["label"].alias("label"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
+    marked = F.filter(F.flatten(F.array(*[searched(k, rows) for k, rows in by_key.items()])), lambda r: F.contains(r["marked"], F.lit(OPEN)))
+    # Parts between hits and hits in turn; each begins where those before it end. One step a transform, so that each is computed once.
+    cut = F.transform(marked, lambda r: F.struct(r["priority"].alias("priority"), r["label"].alias("label"), F.split(F.translate(r["marked"], CLOSE, OPEN), OPEN, -1).alias("parts")))
+    add = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x)))
+    ended = F.transform(cut, lambda r: F.struct(r["priority"].alias("priority"), r["label"].alias("label"), F.aggregate(r["parts"], F.array(F.lit(0)), add).alias("ends")))
 
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def places(r):
+        hit = lambda k: F.struct(r["ends"][2 * k + 1].alias("start"), r["ends"][2 * k + 2].alias("end"), r["priority"].alias("priority"), r["label"].alias("label"))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(r["ends"]) - 4) / 2).cast("int")), hit)
 
-    return F.flatten(F.transform(F.filter(rows, lambda r: F.contains(text, r["key"])), found))
+    return F.flatten(F.transform(ended, places))
 
 
 def _unsuppressed(found: Column) -> Column:
@@ -136,12 +288,13 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Null texts count as empty: no words, no detections, null positions, score 0. Only A-Z are lower-cased. All columns
     of docs are kept as they are, but those with a name of the result, which give way. score is the share of the text's
-    characters inside detections and base phrases' words, at most 1. Each row is judged alone, repeated ones too.
+    characters inside detections and base phrases' words, at most 1. Each row is judged alone, repeated ones too, on its
+    whole text however long.
     """
     table = rules()
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     out = ("n_words", "n_base", "first_word", "last_word", "base_labels", "detections", "labels", "score")
-    df = docs.drop(*out).withColumn("_low", F.translate(whole_text(text_col), upper, lower))
+    df = docs.drop(*out).withColumn("_low", F.translate(whole_text(text_col), upper + OPEN + CLOSE, lower + "  "))
     df = df.withColumn("n_words", F.regexp_count("_low", F.lit(WORD)).cast("long"))
     # Base phrases: in texts that have one's words somewhere, over the words with single blanks between them.
     likely = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.contains("_low", F.lit(w)) for w in phrase.split()]) for phrase, _ in BASE])
@@ -158,10 +311,9 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("first_word", F.when(some, first)).withColumn("last_word", F.when(some, last))
     base = F.array_compact(F.array(*[F.when(F.col("_n")[k] > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]))
     df = df.withColumn("base_labels", F.array_sort(F.array_distinct(base)))
-    gated = reduce(lambda a, b: a | b, [F.contains("_low", F.lit(w)) for w in ("licen", *(g for g in GATE if "licen" not in g))])
+    gated = reduce(lambda a, b: a | b, [F.contains("_low", F.lit(w)) for w in gate(table)])
     nothing = F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")
     df = df.withColumn("detections", F.when(gated, _unsuppressed(_detections(F.col("_low"), table))).otherwise(nothing))
-    df = df.withColumn("labels", F.array_sort(F.array_union("base_labels", F.transform("detections", lambda d: d["label"]))))
     # Overlapping detections count once: by start, what each adds beyond the furthest end so far.
     covered = F.aggregate(
         "detections", F.struct(F.lit(0).alias("to"), F.lit(0).alias("n")),
@@ -170,8 +322,9 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     based = F.aggregate(F.zip_with("_n", F.array(*[F.lit(len(p)) for p, _ in BASE]), lambda n, w: n * w), F.lit(0), lambda a, x: a + x)
     share = F.greatest(covered, based) / F.greatest(F.length("_low"), F.lit(1))
-    df = df.withColumn("score", F.least(F.lit(1.0), share))
-    return df.drop("_low", "_line", "_n")
+    labels = F.array_sort(F.array_union("base_labels", F.transform("detections", lambda d: d["label"])))
+    hidden = ("_low", "_line", "_n")
+    return df.select(*[c for c in df.columns if c not in hidden], labels.alias("labels"), F.least(F.lit(1.0), share).alias("score"))
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -140,27 +140,40 @@ def _take(best, best_id, some, score, names, k) -> None:
     best[some], best_id[some] = np.take_along_axis(s, by, 1), np.take_along_axis(i, by, 1)
 
 
-def _groups(batches):
-    """Rows in order of vec_id -> groups of up to BLOCK * GROUP vectors, with the largest and smallest weight of each term."""
-    task, nth, held, size = TaskContext.get().partitionId(), 0, None, BLOCK * GROUP
+GROUPS = "group long, n long, width int, ids binary, weights binary, most array<long>, least array<long>"
+
+
+def _group(number: int, ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+    """A row of GROUPS: vectors in order of their identifiers, with the largest and smallest weight of each term."""
+    cells = ((number, pa.int64()), (len(ids), pa.int64()), (m.shape[1], pa.int32()), (ids.astype("<i8").tobytes(), pa.binary()), (m.astype("<i8").tobytes(), pa.binary()))
+    edges = ((m.max(axis=0, initial=NONE).tolist(), pa.list_(pa.int64())), (m.min(axis=0, initial=-NONE - 1).tolist(), pa.list_(pa.int64())))
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in (*cells, *edges)], [c.split()[0] for c in GROUPS.split(", ")])
+
 
-    def row(t):
-        nonlocal nth
-        m = matrix(t["q"])
-        ids = t["vec_id"].to_numpy()
-        nth += 1
-        cells = ((task << 32 | nth, pa.int64()), (m.shape[1], pa.int32()), (ids.astype("<i8").tobytes(), pa.binary()), (m.astype("<i8").tobytes(), pa.binary()))
-        edges = ((m.max(axis=0, initial=NONE).tolist(), pa.list_(pa.int64())), (m.min(axis=0, initial=-NONE - 1).tolist(), pa.list_(pa.int64())))
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in (*cells, *edges)], ["group", "width", "ids", "weights", "most", "least"])
+def _vectors(row: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row["ids"][0].as_py(), "<i8")
+    return ids, np.frombuffer(row["weights"][0].as_py(), "<i8").reshape(len(ids), row["width"][0].as_py())
 
+
+def _groups(batches):
+    """Rows in order of vec_id -> groups of up to BLOCK * GROUP vectors, numbered in that order."""
+    task, nth, held, size = TaskContext.get().partitionId(), 0, None, BLOCK * GROUP
     for batch in batches:
         t = pa.Table.from_batches([batch])
         held = t if held is None else pa.concat_tables([held, t])
         while held.num_rows >= size:
-            yield row(held.slice(0, size))
-            held = held.slice(size)
+            yield _group(task << 32 | nth, held["vec_id"][:size].to_numpy(), matrix(held["q"][:size]))
+            held, nth = held.slice(size), nth + 1
     if held is not None and held.num_rows:
-        yield row(held)
+        yield _group(task << 32 | nth, held["vec_id"].to_numpy(), matrix(held["q"]))
+
+
+def _joined(parts: pa.Table) -> pa.Table:
+    """Neighbouring groups as one."""
+    parts = parts.sort_by("group")
+    found = [_vectors(parts.slice(k, 1)) for k in range(parts.num_rows)]
+    width = max(m.shape[1] for _, m in found)
+    return pa.Table.from_batches([_group(parts["bundle"][0].as_py(), np.concatenate([ids for ids, _ in found]), np.concatenate([_wide(m, width) for _, m in found]))])
 
 
 def _bound_cell(queries: pa.Table, groups: pa.Table) -> pa.Table:
@@ -182,10 +195,7 @@ def _cell(k: int):
         names = ["query_id", "vec_id", "score"]
         if not queries.num_rows or not groups.num_rows:
             return pa.table([pa.array([], pa.int64())] * 3, names)
-        row = groups.slice(0, 1)
-        width = row["width"][0].as_py()
-        ids = np.frombuffer(row["ids"][0].as_py(), "<i8")
-        m = np.frombuffer(row["weights"][0].as_py(), "<i8").reshape(len(ids), width)
+        ids, m = _vectors(groups)
         found = search(queries["query_id"].to_numpy(), matrix(queries["q"]), queries["kth"].to_numpy(), ids, m, k)
         return pa.table([pa.array(c) for c in found[:3]], names)
 
@@ -203,7 +213,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, report: dict |
     spark = candidates.sparkSession
     ship(spark)
     ordered = candidates.select("vec_id", "q").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
-    groups = written(ordered.mapInArrow(_groups, "group long, width int, ids binary, weights binary, most array<long>, least array<long>"), "groups")
+    small = written(ordered.mapInArrow(_groups, GROUPS), "groups")
+    # However the ranges were cut, groups are of one size: their numbers only (one for thousands of vectors) are added up in order.
+    before = F.sum("n").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1))
+    bundles = small.select("group", F.floor(F.coalesce(before, F.lit(0)) / (BLOCK * GROUP)).alias("bundle"))
+    groups = written(small.join(bundles, "group").groupBy("bundle").applyInArrow(_joined, GROUPS), "groups")
     queries = written(queries.select("vec_id", "q").distinct(), "queries")
     if groups.isEmpty() or queries.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

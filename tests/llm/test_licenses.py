@@ -18,3 +18,51 @@ def labels(spark):
 @pytest.mark.parametrize("k", range(len(NAMES)))
 def test_declared(labels, k):
     assert labels[k] == labels[10 + k] == [NAMES[k].lower()] and labels[20 + k] == []
+
+
+TEXTS = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining\n * a copy of this software and associated files",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+    "gpl": "released under GPLv3",
+    "gpl ": "The GPL applies.",
+    " gpl": "gpl v2 or later",
+    "lgpl": "see LGPLv2.1+ for this",
+    "apache": "Apache 2.0 licence",
+    "cc-by-nc-sa": "images: BY-NC-SA 4.0",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "zlib": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0.",
+    "": "the committee made a remark on quality, and nothing is permitted to grow",
+}
+
+
+def test_texts_of_licences(spark):
+    names = list(TEXTS)
+    found = {r.doc_id: r for r in licenses.scan(table(spark, list(enumerate(TEXTS.values())))).collect()}
+    for k, name in enumerate(names):
+        assert name.strip() in found[k].labels if name else found[k].labels == [], (name, found[k].labels)
+
+
+def test_every_clause_matches_its_own_words_and_has_a_gate():
+    import re
+
+    rules, gate = licenses.rules(), licenses.gate(licenses.rules())
+    assert len(rules) > 300 and all(any(g in key for g in gate) for *_, key, _ in rules)
+    patterns = [(label, re.compile(p), key) for _, _, label, key, p in rules]
+    for label, words in licenses.CLAUSES:
+        text = words.replace("~", "of any kind")
+        assert any(p.search(text) and key in text for found, p, key in patterns if found == label), words
+
+
+def test_score_is_the_share_of_what_is_detected(spark):
+    """Marks in a text change nothing; overlapping detections count once."""
+    texts = ["x\x01 SPDX-License-Identifier: MIT \x02 y", "apache license " * 3 + "and more", "mit license", "none"]
+    for r in licenses.scan(table(spark, list(enumerate(texts)))).collect():
+        low = r.text.lower()
+        inside = bytearray(len(low))
+        for d in r.detections:
+            inside[d.start : d.end] = b"\1" * (d.end - d.start)
+        base = sum(len(p) * low.count(p) for p, _ in licenses.BASE)
+        assert r.score == pytest.approx(min(1, max(sum(inside), base) / max(1, len(low)))), r.text
+        assert (r.doc_id == 3) == (r.score == 0)
