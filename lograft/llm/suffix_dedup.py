@@ -5,8 +5,8 @@ move it hundreds of times over, so only suffixes that can meet are sorted:
 
 1. Every window is named by an anchor, the 32-byte gram in it with the least hash. Equal windows have equal anchors at
    equal offsets. Successive windows with one anchor form a zone, about one per 85 bytes. Anchors that occur once are
-   dropped. Spark groups the other zones by all their bytes: two equal zones repeat each other as a whole. Rows find
-   their group by a digest; digests that stand for different bytes are looked up by the bytes instead.
+   dropped. The other zones are counted by a digest, and Spark groups them by all their bytes to check it: two equal
+   zones repeat each other as a whole. Digests that stand for different bytes are looked up by the bytes instead.
 2. The different zones that share an anchor are brought together, and the suffixes at their window starts are sorted by
    a mergesort. Two suffixes are compared by the longest common extension, found by binary search over prefix polynomial
    hashes, and the byte after it. Neighbours with a common extension of a whole window repeat each other, after their
@@ -129,8 +129,8 @@ def zone_digest(part: bytes, shape: int) -> int:
     return xxhash.xxh3_64_intdigest(part, seed=shape)
 
 
-def _zones(window: int, digest=None):
-    """Texts -> the anchors of their zones, and with a digest also the places: at, and shape (offset of the anchor, windows)."""
+def _zones(window: int, digest, with_place: bool):
+    """Texts -> the anchors and digests of their zones, and with_place also at and shape (offset of the anchor, windows)."""
 
     def run(batches):
         for batch in batches:
@@ -143,15 +143,16 @@ def _zones(window: int, digest=None):
                 key, first, count, offset = zones_of(data, ok, window)
                 if not len(key):
                     continue
-                if digest is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(key)], ["akey"])
+                shape = offset << 8 | count
+                digests = np.array([digest(buf[s : s + c + window - 1], x) for s, c, x in zip(first.tolist(), count.tolist(), shape.tolist(), strict=True)], np.uint64)
+                named = [pa.array(key), pa.array(digests.view(np.int64))]
+                if not with_place:
+                    yield pa.RecordBatch.from_arrays(named, ["akey", "digest"])
                     continue
                 # Texts of no bytes share their start with the next one, which is the last with that start.
                 row = np.searchsorted(begin, first, side="right") - 1
-                shape = offset << 8 | count
-                digests = np.array([digest(buf[s : s + c + window - 1], x) for s, c, x in zip(first.tolist(), count.tolist(), shape.tolist(), strict=True)], np.uint64)
                 at = first - begin[row] + np.array([r[2] for r in rows])[row]
-                cols = [pa.array(key), pa.array(digests.view(np.int64)), pa.array([rows[k][0] for k in row.tolist()], pa.int64()), pa.array(at), pa.array(shape.astype(np.int32))]
+                cols = [*named, pa.array([rows[k][0] for k in row.tolist()], pa.int64()), pa.array(at), pa.array(shape.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, ["akey", "digest", "rid", "at", "shape"])
 
     return run
@@ -400,10 +401,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), te
     ship(docs.sparkSession)
     rows = written(docs.select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("_data"), *carry), "texts")
     data = rows.select(F.col("_rid").alias("rid"), F.col("_data").alias("data"))
-    shared = data.mapInArrow(_zones(window), "akey long").groupBy("akey").agg(F.count("*").alias("n")).where("n > 1").select("akey")
-    shared = written(shared, "anchors")
-    zones = data.mapInArrow(_zones(window, digest), "akey long, digest long, rid long, at long, shape int")
-    zones = written(zones.join(shared, "akey"), "zones")
+    classes = written(data.mapInArrow(_zones(window, digest, False), "akey long, digest long").groupBy("akey", "digest").agg(F.count("*").alias("n")), "zone-classes")
+    shared = classes.groupBy("akey").agg(F.sum("n").alias("all")).where("all > 1").select("akey")
+    shared = written(classes.join(shared, "akey"), "shared-classes")
+    zones = data.mapInArrow(_zones(window, digest, True), "akey long, digest long, rid long, at long, shape int")
+    zones = written(zones.join(shared, ["akey", "digest"]), "zones")
 
     # The bytes of the zones: a row's list is bounded by its own text.
     lists = zones.groupBy("rid").agg(F.collect_list(F.struct("akey", "digest", "at", "shape")).alias("zones"))
@@ -416,11 +418,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), te
 
     # Zones that occur more than once as a whole; a digest of several kinds says nothing.
     span = lambda df: df.select("rid", F.col("at").alias("from"), (F.col("at") + size(F.col("shape"))).alias("to"))
-    by_digest = kinds.groupBy("akey", "digest").agg(F.count("*").alias("kinds"), F.max("n").alias("n"))
-    gone = span(zones.join(by_digest.where("kinds = 1 and n > 1").select("akey", "digest"), ["akey", "digest"]))
-    unclear = by_digest.where("kinds > 1").select("akey", "digest")
-    if not unclear.isEmpty():
+    several = zones.where("n > 1")
+    unclear = kinds.groupBy("akey", "digest").agg(F.count("*").alias("kinds")).where("kinds > 1").select("akey", "digest")
+    if unclear.isEmpty():
+        gone = span(several)
+    else:
         unclear = written(unclear, "unclear")
+        gone = span(several.join(unclear, ["akey", "digest"], "left_anti"))
         gone = gone.union(span(cut.join(unclear, ["akey", "digest"], "left_semi").join(kinds.where("n > 1").select(*key), key)))
 
     anchors = kinds.groupBy("akey").agg(F.count("*").alias("kinds")).where("kinds > 1").select("akey")
