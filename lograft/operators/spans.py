@@ -75,6 +75,7 @@ def _duration_class(text: Column) -> Column:
     return duration_severity(F.regexp_extract(text, r"^(\d+(?:\.\d+)?)", 1).try_cast("double"))
 
 
+#: The patterns decide what counts as an entity, so results depend on their every detail.
 EXTRACTORS = (
     Extractor("timestamp", 100, r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{3,6})?(?: ?(?:[A-Z]{2,4}|[+-]\d{2}:?\d{2}))?", needs=":"),
     Extractor("pid", 110, r"\[(\d+)(?:-\d+)?\]", needs="["),
@@ -131,54 +132,72 @@ def custom(name: str, pattern: str, priority: int = 1050) -> Extractor:
     return Extractor(name, max(priority, 1050), pattern)
 
 
-def spans(text: Column, e: Extractor, ordinal: int = 0, shift: Column | None = None) -> Column:
-    """All matches of one extractor: the gaps between matches and the matches themselves, folded into places."""
+#: Stand around a match, and between it and its group, while a text is searched.
+MARK, INNER = "\x01", "\x02"
+
+
+def plain(text: Column) -> Column:
+    """A text of the same length without marks."""
+    return F.translate(text, MARK + INNER, "\x03\x03")
+
+
+def spans(text: Column, e: Extractor, ordinal: int = 0, shift: Column | None = None, low: Column | None = None) -> Column:
+    """All matches of one extractor in a text without marks (plain): one pass marks them, and the parts between marks are folded into places.
+
+    low: the text in lower case, if it is there already."""
     none = F.array().cast(SPAN)
-    hits, gaps = F.regexp_extract_all(text, F.lit(e.pattern), F.lit(0)), F.split(text, e.pattern, -1)
-    inner = F.regexp_extract_all(text, F.lit(e.pattern), F.lit(e.group)) if e.group else hits
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), inner.alias("part"))
+    form = f"{MARK}$0{INNER}${e.group}{MARK}" if e.group else f"{MARK}$0{MARK}"
+    marked = F.regexp_replace(text, F.lit(e.pattern), F.lit(form))
+    if e.needs:
+        marked = F.when(F.contains(F.lower(text) if low is None else low, F.lit(e.needs)), marked)
 
     def step(acc, x):
-        begin = acc["at"] + F.length(x["gap"])
+        hit = F.substring_index(x, INNER, 1) if e.group else x
+        part = F.substring_index(x, INNER, -1) if e.group else x
         # A group that is not the whole match ends it, but for a closing quote.
-        inset = F.length(x["hit"]) - F.length(x["part"]) - F.when(x["hit"].endswith('"') & ~x["part"].endswith('"'), 1).otherwise(0) if e.group else F.lit(0)
-        at = begin + inset
-        start = at if shift is None else at + shift
+        inset = F.length(hit) - F.length(part) - F.when(hit.endswith('"') & ~part.endswith('"'), 1).otherwise(0) if e.group else F.lit(0)
+        start = acc["at"] + inset if shift is None else acc["at"] + inset + shift
         one = F.struct(
-            start.cast("int").alias("start"), F.lit(e.priority).alias("priority"), F.lit(ordinal).alias("ordinal"), (start + F.length(x["part"])).cast("int").alias("end"),
-            F.lit(e.name).alias("entity"), x["part"].alias("text"), (e.kind(x["part"]) if e.kind else F.lit(None).cast("string")).alias("class"),
+            start.cast("int").alias("start"), F.lit(e.priority).alias("priority"), F.lit(ordinal).alias("ordinal"), (start + F.length(part)).cast("int").alias("end"),
+            F.lit(e.name).alias("entity"), part.alias("text"), (e.kind(part) if e.kind else F.lit(None).cast("string")).alias("class"),
         )
-        return F.struct((begin + F.length(x["hit"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        out = F.when(acc["hit"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+        return F.struct((acc["at"] + F.length(F.when(acc["hit"], hit).otherwise(x))).alias("at"), (~acc["hit"]).alias("hit"), out.alias("out"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    likely = F.contains(F.lower(text), F.lit(e.needs)) if e.needs else F.lit(True)
-    return F.when(text.isNotNull() & likely, found).otherwise(none)
+    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), none.alias("out"))
+    fold = lambda m: F.aggregate(F.split(m, MARK, -1), begin, step, lambda a: a["out"])
+    # The array holds the marked text once; without a mark there is nothing to fold.
+    return F.flatten(F.transform(F.filter(F.array(marked), lambda m: F.coalesce(F.contains(m, F.lit(MARK)), F.lit(False))), fold))
 
 
-def chain(text: Column, sql: Column, extractors: tuple[Extractor, ...] = EXTRACTORS) -> Column:
+def chain(text: Column, sql: Column, extractors: tuple[Extractor, ...] = EXTRACTORS, low: Column | None = None) -> Column:
     """Matches of all extractors without overlaps: by place, then priority; what begins before the last end is dropped. sql: the text's region of SQL."""
     shift = F.length(sql["prefix"])
-    found = [spans(sql["sql"], e, k, shift) if e.in_sql else spans(text, e, k) for k, e in enumerate(extractors)]
+    found = [spans(sql["sql"], e, k, shift) if e.in_sql else spans(text, e, k, None, low) for k, e in enumerate(extractors)]
     start = F.struct(F.lit(0).alias("last"), F.array().cast(SPAN).alias("out"))
     step = lambda a, x: F.when((x["start"] >= a["last"]) & (x["end"] > x["start"]), F.struct(x["end"].alias("last"), F.concat(a["out"], F.array(x)).alias("out"))).otherwise(a)
     return F.aggregate(F.array_sort(F.concat(*found)), start, step, lambda a: a["out"])
 
 
 def with_region(logs: DataFrame, depth: int | None = None) -> DataFrame:
-    """seq with the message and its SQL; only so many characters of it are looked at, where depth is given."""
-    df = once(logs.select("seq", "message"), "_text", F.substring("message", 1, depth) if depth else F.col("message"))
-    return once(df, "_sql", region(F.col("_text")))
+    """seq with the message, its text without marks, that in lower case, and its SQL; only so many characters are looked at, where depth is given."""
+    df = once(logs.select("seq", "message"), "_text", plain(F.substring("message", 1, depth) if depth else F.col("message")))
+    return once(once(df, "_low", F.lower("_text")), "_sql", region(F.col("_text")))
 
 
 def annotated(logs: DataFrame, extractors: tuple[Extractor, ...] = EXTRACTORS, depth: int | None = None) -> DataFrame:
     """One row per span: seq, entity, start, end, text, class, priority."""
-    found = with_region(logs, depth).select("seq", F.explode(chain(F.col("_text"), F.col("_sql"), extractors)).alias("s"))
-    return found.select("seq", "s.entity", "s.start", "s.end", "s.text", "s.class", "s.priority")
+    found = with_region(logs, depth).select("seq", "message", F.explode(chain(F.col("_text"), F.col("_sql"), extractors, F.col("_low"))).alias("s"))
+    return found.select("seq", "s.entity", "s.start", "s.end", _own_text(), "s.class", "s.priority")
+
+
+def _own_text() -> Column:
+    return F.substring(F.col("message"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("text")
 
 
 def texts_of(logs: DataFrame, name: str) -> DataFrame:
     """One row per match of one extractor alone."""
     e = BY_NAME[name]
-    df = with_region(logs) if e.in_sql else logs.withColumn("_text", F.col("message"))
+    df = with_region(logs) if e.in_sql else once(logs, "_text", plain(F.col("message")))
     found = spans(F.col("_sql.sql"), e, 0, F.length("_sql.prefix")) if e.in_sql else spans(F.col("_text"), e)
-    return df.select("seq", F.explode(found).alias("s")).select("seq", "s.start", "s.end", "s.text", "s.class")
+    return df.select("seq", "message", F.explode(found).alias("s")).select("seq", "s.start", "s.end", _own_text(), "s.class")

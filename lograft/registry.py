@@ -68,6 +68,17 @@ def _(spark, d):
     return json_logs(spark, d).select("seq", at().alias("at"), "level", "pid", "message", "sql_state", "user_name", "database_name", "application_name", "remote_host", "remote_port")
 
 
+@query("s1_read_files", f"SELECT {AT} AS at, level, pid, message, CASE source_file WHEN 'log1' THEN 'csv' ELSE 'text' END AS format, 'logs-' || source_file AS folder, count(*) AS cnt FROM lg GROUP BY ALL")
+def _(spark, d):
+    """Log files of one name in several folders, text and CSV, written by Spark and read again."""
+    path = source.scratch(spark, "written-logs")
+    text_lines(spark, d).where("source_file <> 'log1'").select("value", F.concat(F.lit("logs-"), "source_file").alias("folder")).write.partitionBy("folder").text(f"{path}/a")
+    csv_lines(spark, d).where("source_file = 'log1'").select("value", F.concat(F.lit("logs-"), "source_file").alias("folder")).write.partitionBy("folder").text(f"{path}/b")
+    logs = source.parse_logs(source.read_lines(spark, [f"{path}/a/*/*", f"{path}/b/*/*"]))
+    folder = F.regexp_extract("source_path", "folder=([^/]*)/", 1).alias("folder")
+    return logs.select(at().alias("at"), "level", "pid", "message", "format", folder).groupBy("at", "level", "pid", "message", "format", "folder").agg(F.count("*").alias("cnt"))
+
+
 @query("s8_line_format", "SELECT CASE seq % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'csv' ELSE 'json' END AS format, source_file, count(*) AS cnt FROM lg GROUP BY ALL")
 def _(spark, d):
     return mixed_lines(spark, d).select(source.line_format(F.col("value")).alias("format"), "source_file").groupBy("format", "source_file").agg(F.count("*").alias("cnt"))
@@ -485,13 +496,13 @@ def _(spark, d):
 @query("x31_paths_in_pages", r"SELECT page_id, unnest(regexp_extract_all(substr(html, 1, 10240), '\$\d+')) AS text FROM pages", lg=False)
 def _(spark, d):
     p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
-    return p.select("page_id", F.explode(spans.spans(F.col("html"), spans.custom("price", r"\$\d+"))).alias("s")).select("page_id", "s.text")
+    return p.select("page_id", F.explode(spans.spans(spans.plain(F.col("html")), spans.custom("price", r"\$\d+"))).alias("s")).select("page_id", "s.text")
 
 
 @query("x31_paths_in_whole_pages", r"SELECT page_id, unnest(regexp_extract_all(html, '\B/(?:[\w.-]+/)+[\w.-]+\b')) AS text FROM pages", lg=False)
 def _(spark, d):
     p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
-    return p.select("page_id", F.explode(spans.spans(F.col("html"), spans.BY_NAME["path"])).alias("s")).select("page_id", "s.text")
+    return p.select("page_id", F.explode(spans.spans(spans.plain(F.col("html")), spans.BY_NAME["path"])).alias("s")).select("page_id", "s.text")
 
 
 # -- alerts
@@ -540,7 +551,7 @@ def _(spark, d):
 @query("p10_marked", "SELECT seq, replace(message, 'pk_' || k, '«pk_' || k || '»') AS line FROM lg WHERE level IN ('ERROR', 'WARNING')")
 def _(spark, d):
     rows = text_logs(spark, d).where("level in ('ERROR', 'WARNING')").select("seq", "message")
-    found = once(rows, "s", spans.spans(F.col("message"), spans.custom("key", r"pk_\d+")))
+    found = once(rows, "s", spans.spans(spans.plain(F.col("message")), spans.custom("key", r"pk_\d+")))
     return found.select("seq", render.marked(F.col("message"), F.col("s")).alias("line"))
 
 

@@ -40,20 +40,32 @@ FIELDS = (
     ("file_line_num", "int", None, "file_line_num"), ("application_name", "string", "application_name", "application_name"),
     ("backend_type", "string", "backend_type", "backend_type"), ("leader_pid", "int", "leader_pid", "leader_pid"), ("query_id", "bigint", "query_id", "query_id"),
 )
-_AT = r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?)"
-#: Text lines with a process id, in brackets, and without one; tried in this order. Groups: time, zone, pid, level, message.
-TEXT_LINE = (
-    rf"(?Us)^(?:{_AT}\s+(\w+)?\s*\[(\d+)\]\s+(\w+):\s*(.*)"
-    rf"|\[{_AT}\s+(\w+)\]\s+\[(\d+)\]\s+(?:\[[^\]]*\]\s+)?(\w+):\s*(.*)"
-    rf"|{_AT}\s+(\w+)\s+(\w+):\s+(.*))$"
+#: What a line prefix is made of; each part is one group.
+PARTS = {"time": r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?)", "word": r"(\w+)", "pid": r"\[(\d+)\]", "rest": "(.*)"}
+#: The forms of a text line, tried in this order: with a process id, all in brackets (a further bracket is skipped), without a
+#: process id. Groups: time, zone, pid, level, message; the last form has no pid.
+FORMS = (
+    r"{time}\s+{word}?\s*{pid}\s+{word}:\s*{rest}",
+    r"\[{time}\s+{word}\]\s+{pid}\s+(?:\[[^\]]*\]\s+)?{word}:\s*{rest}",
+    r"{time}\s+{word}\s+{word}:\s+{rest}",
 )
+
+
+def _form(form: str) -> str:
+    for name, part in PARTS.items():
+        form = form.replace("{" + name + "}", part)
+    return form
+
+
+TEXT_LINE = "(?Us)^(?:" + "|".join(map(_form, FORMS)) + ")$"
 CUT = "\u0001"
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(value, source_file, seq) of text files, globs or folders; seq orders the lines of a file. Invalid UTF-8 becomes U+FFFD."""
-    lines = spark.read.text(paths).select(F.make_valid_utf8("value").alias("value"), F.col("_metadata.file_name").alias("source_file"), "_metadata.file_block_start")
-    return lines.withColumn("seq", F.monotonically_increasing_id()).drop("file_block_start").where(F.col("value").rlike(r"\S"))
+    """(value, source_file, source_path, seq) of text files, globs or folders; seq orders the lines of a file. Invalid UTF-8 becomes U+FFFD."""
+    meta = F.col("_metadata")
+    lines = spark.read.text(paths).select(F.make_valid_utf8("value").alias("value"), meta["file_name"].alias("source_file"), meta["file_path"].alias("source_path"))
+    return lines.withColumn("seq", F.monotonically_increasing_id()).where(F.col("value").rlike(r"\S"))
 
 
 def csv_fields(value: Column) -> Column:
@@ -86,9 +98,10 @@ def line_format(value: Column) -> Column:
 
 
 def sticky_formats(lines: DataFrame) -> DataFrame:
-    """lines with the format of their file, which its first line that is not blank decides."""
-    first = lines.where(F.col("value").rlike(r"\S")).groupBy("source_file").agg(F.min_by("value", "seq").alias("first"))
-    return lines.join(first.select("source_file", line_format(F.col("first")).alias("format")), "source_file")
+    """lines with the format of their file, which its first line that is not blank decides; files are told apart by their paths, where lines have them."""
+    key = "source_path" if "source_path" in lines.columns else "source_file"
+    first = lines.where(F.col("value").rlike(r"\S")).groupBy(key).agg(F.min_by("value", "seq").alias("first"))
+    return lines.join(first.select(key, line_format(F.col("first")).alias("format")), key)
 
 
 def _with_text(df: DataFrame) -> DataFrame:
@@ -155,15 +168,20 @@ def interleaved(logs: DataFrame) -> DataFrame:
     return logs.orderBy(F.col("timestamp").asc_nulls_first(), "source_file", "seq")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own for an intermediate table, in the folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not (spark.sparkContext.master or "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def placed(logs: DataFrame) -> DataFrame:
     """All rows with place, from 1, in the order of interleaved: a range-partitioned sort and the offsets of its partitions."""
     spark = logs.sparkSession
     order = [F.col("timestamp").asc_nulls_first(), F.col("source_file").asc(), F.col("seq").asc()]
     ranged = logs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not (spark.sparkContext.master or "").startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{root or tempfile.mkdtemp(prefix='spark-')}/placed-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, "placed")
     ranged.write.parquet(path)  # read twice, and a second sort may cut its ranges elsewhere
     rows = spark.read.schema(ranged.schema).parquet(path).withColumn("_part", F.shiftright("_at", 33))
     # As many rows as the sort has partitions.

@@ -166,3 +166,24 @@ def test_export(spark, tmp_path):
 def test_empty(spark):
     empty = logs.parse(spark.createDataFrame([], "seq long, value string, source_file string"), "text")
     assert errors.by_code(empty).count() == 0 and connections.active(connections.events(empty)).count() == 0 and spans.annotated(empty).count() == 0
+
+
+def test_marks_in_a_message_change_nothing(spark):
+    """U+0001 and U+0002 stand in a message: spans keep their places and texts."""
+    from lograft.operators import spans
+
+    message = "a\x01b [12] \x02 took 3.5 ms for host=x\x01y and 10.0.0.1"
+    df = spark.createDataFrame([(1, message)], "seq long, message string")
+    found = spans.annotated(df).collect()
+    assert {r.entity for r in found} >= {"pid", "duration", "ip"} and all(message[r.start : r.end] == r.text for r in found)
+
+
+def test_files_of_one_name_have_formats_of_their_own(spark, tmp_path):
+    from lograft.sources import logs
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "x.log").write_text("2024-01-15 10:30:45.123 UTC [12] LOG:  text line\n")
+    (tmp_path / "b" / "x.log").write_text('{"timestamp":"2024-01-15 10:30:45.123 UTC","error_severity":"ERROR","message":"json line"}\n')
+    found = logs.parse_logs(logs.read_lines(spark, [str(tmp_path / "a"), str(tmp_path / "b")])).collect()
+    assert {(r.source_file, r.format, r.level, r.message) for r in found} == {("x.log", "text", "LOG", "text line"), ("x.log", "json", "ERROR", "json line")}
