@@ -1,15 +1,16 @@
 """A compressed file format for token ids: adaptive context mixing and a range coder, in independent blocks.
 
 For each id three predictors speak. The order-2 and the order-1 predictor name the id that last held out after the same
-two ids or the same id, with a confidence; the order-0 predictor gives a distribution over all ids, adaptive over classes
-and even within a class. The id's probability is the mixture
+two ids or the same id, with a confidence; the order-0 predictor is the file's distribution over ids, which its head holds.
+The id's probability is the mixture
     w2 [id = order 2] + w1 [id = order 1] + (1 - w2 - w1) P0(id),
 whose weights are learned for each pair of confidences. A range coder with carry takes it. Every block starts from
 the same state and has a checksum of its ids, so blocks are coded side by side: step t handles id t of all blocks at
 once, in numpy.
 
-File, little-endian: magic, u32 ids per block, u32 number of blocks, u64 number of ids, then a u32 word count for each
-block, a u32 CRC-32 of each block's ids (as u32), and each block's 16-bit words.
+File, little-endian: magic, u32 ids per block, u32 number of blocks, u64 number of ids, u32 bytes of the packed
+distribution, that (zlib; u32 shares of SCALE by id), then a u32 word count for each block, a u32 CRC-32 of each block's ids
+(as u32), and each block's 16-bit words.
 """
 
 from __future__ import annotations
@@ -19,82 +20,93 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"LGI1"
+MAGIC = b"LGI2"
 BLOCK = 4096
 #: Blocks coded side by side; bounds the memory of the tables.
 LANES = 2048
-#: First id of each class of the order-0 predictor; ids below LIMIT can be coded.
-EDGES = np.array([0, 16, 64, 128, 192, 256, 320, 448, 640, 1024, 1536, 2560, 4096, 8192, 16384, 32768], np.int32)
+#: Ids below LIMIT can be coded; the distribution's shares sum to SCALE.
 LIMIT = 1 << 20
-SIZES = np.append(EDGES[1:], LIMIT).astype(np.int32) - EDGES
-K = len(EDGES)
-CLASS = (np.searchsorted(EDGES, np.arange(1 << 16), side="right") - 1).astype(np.int32)
-SLOTS1, SLOTS2 = 256, 512
-#: Bounds of the classes, of 32768. A seen class pulls them so that it would have all but FLOOR for each other class.
-FLOOR = 128
-RISE = (np.arange(K) * FLOOR).astype(np.int16)[:, None]
-SPAN = np.int16(32768 - K * FLOOR)
-STEPS = np.arange(K, dtype=np.int32)[:, None]
+BITS = 21
+SCALE = 1 << BITS
+#: Slots of the tables of order 1 and 2, for each block. An entry is an id, a check of its context and a confidence.
+SLOTS1, SLOTS2 = 1024, 2048
+CHECK = np.uint32(255)
 ONE = np.uint64(1)
 MASK48 = np.uint64((1 << 48) - 1)
 U16, U32, U48 = np.uint64(16), np.uint64(32), np.uint64(48)
 LOW32 = np.uint64(1 << 32)
+SHIFT = np.uint64(BITS)
+#: First weights of order 2 and 1, of 65536, by confidence: none for an empty slot.
+FIRST = np.array([0, 20000, 30000, 40000, 48000, 52000, 56000, 58000], np.int32)
+
+
+def shares(ids: np.ndarray) -> np.ndarray:
+    """Shares of SCALE for ids that occur, at least 1 each, in proportion to their counts; 0 for the others."""
+    counts = np.bincount(ids).astype(np.int64)
+    there = counts > 0
+    found = np.where(there, np.maximum(counts * (SCALE - int(there.sum())) // max(int(counts.sum()), 1) + 1, 1), 0)
+    if len(found):
+        found[int(counts.argmax())] += SCALE - int(found.sum())  # what rounding left
+    return found.astype(np.uint32)
+
+
+class Static:
+    """The order-0 distribution: where each id's part of SCALE begins, and which id has a place."""
+
+    def __init__(self, share: np.ndarray):
+        self.share = np.append(share, 0).astype(np.uint64)
+        self.begin = (np.cumsum(self.share) - self.share).astype(np.uint64)
+        self.of = np.repeat(np.arange(len(share), dtype=np.int32), share)
 
 
 class Mixer:
-    """The predictors of some blocks, from their common first state; class bounds have a row for each class."""
+    """The predictors of some blocks, from their common first state."""
 
     def __init__(self, lanes: int):
-        self.n = self.wide = lanes
-        self.rows = np.arange(lanes)
-        self.t1, self.t2 = np.zeros(lanes * SLOTS1, np.int32), np.zeros(lanes * SLOTS2, np.int32)
-        self.w2, self.w1 = np.full(lanes * 64, 12000, np.int32), np.full(lanes * 64, 6000, np.int32)
-        self.cdf = np.repeat((np.arange(K) * (32768 // K)).astype(np.int16)[:, None], lanes, axis=1)
-        self.flat, self.bounds = self.cdf.reshape(-1), self.cdf
+        self.n = lanes
+        rows = np.arange(lanes)
+        self.t1, self.t2 = np.zeros(lanes * SLOTS1, np.uint32), np.zeros(lanes * SLOTS2, np.uint32)
+        # By confidence of order 2 and of order 1: order 1 speaks where order 2 does not, and little otherwise.
+        first2, first1 = np.repeat(FIRST, 8), np.concatenate([FIRST if k == 0 else FIRST // 16 for k in range(8)])
+        self.w2, self.w1 = np.tile(first2, lanes).astype(np.int32), np.tile(first1, lanes).astype(np.int32)
         self.before = self.last = np.zeros(lanes, np.uint32)
-        self.base1, self.base2, self.basew = self.rows * SLOTS1, self.rows * SLOTS2, self.rows * 64
+        self.base1, self.base2, self.basew = rows * SLOTS1, rows * SLOTS2, rows * 64
 
     def look(self):
-        """Predicted ids and the widths of their parts of 65536."""
-        here = self.last * np.uint32(40503)
-        self.at1 = self.base1 + (here >> 7 & SLOTS1 - 1)
-        here += self.before * np.uint32(30011)
-        self.at2 = self.base2 + (here >> 5 & SLOTS2 - 1)
+        """Predicted ids and the widths of their parts of 65536, in sum 65536 - 16 at most."""
+        h1 = self.last * np.uint32(2654435761)
+        h2 = (h1 ^ (self.before * np.uint32(2246822519))) * np.uint32(3266489917)
+        self.at1, self.at2 = self.base1 + (h1 >> 22), self.base2 + (h2 >> 21)
+        self.k1, self.k2 = h1 >> 4 & CHECK, h2 >> 4 & CHECK
         self.e1, self.e2 = self.t1[self.at1], self.t2[self.at2]
-        self.c1, self.c2 = self.e1 & 7, self.e2 & 7
-        self.p1, self.p2 = self.e1 >> 3, self.e2 >> 3
+        self.c1 = np.where(self.e1 >> 3 & CHECK == self.k1, self.e1 & 7, 0).astype(np.int32)
+        self.c2 = np.where(self.e2 >> 3 & CHECK == self.k2, self.e2 & 7, 0).astype(np.int32)
+        self.p1, self.p2 = np.where(self.c1 > 0, self.e1 >> 11, LIMIT).astype(np.int32), np.where(self.c2 > 0, self.e2 >> 11, LIMIT).astype(np.int32)
         self.atw = self.basew + (self.c2 << 3 | self.c1)
         self.v2, self.v1 = self.w2[self.atw], self.w1[self.atw]
-        return self.v2 - (self.v2 >> 3) + 16, self.v1 - (self.v1 >> 3) + 16
-
-    def part(self, cls, f0):
-        """From where to where the classes lie in the last part, which is f0 wide."""
-        at = cls * self.wide + self.rows
-        upper = np.where(cls == K - 1, 32768, self.flat[np.minimum(at + self.wide, len(self.flat) - 1)].astype(np.int32))
-        return f0 * self.flat[at].astype(np.int32) >> 15, np.minimum((f0.astype(np.int64) * upper >> 15).astype(np.int32), f0)
-
-    def learn(self, ids, hit2, hit1, cls):
-        new = ids << 3 | 1
-        for table, at, e, c, same in ((self.t1, self.at1, self.e1, self.c1, self.p1 == ids), (self.t2, self.at2, self.e2, self.c2, hit2)):
+        f2 = np.where(self.c2 > 0, np.minimum(self.v2, 64000) + 16, 0)
+        # The part that order 2 leaves is shared between order 1 and order 0.
+        f1 = np.where(self.c1 > 0, ((65536 - f2) * np.minimum(self.v1, 64000).astype(np.int64) >> 16).astype(np.int32) + 4, 0)
+        return f2, f1
+
+    def learn(self, ids, hit2, hit1):
+        for table, at, e, c, p, key in ((self.t1, self.at1, self.e1, self.c1, self.p1, self.k1), (self.t2, self.at2, self.e2, self.c2, self.p2, self.k2)):
+            same = p == ids
             # A prediction gains confidence when it holds and loses some when not; without any it is replaced.
-            table[at] = np.where(same, e + (c < 7), np.where(c > 1, e - 1, new))
+            new = ids.astype(np.uint32) << 11 | key << 3 | np.uint32(1)
+            table[at] = np.where(same, e + (c < 7).astype(np.uint32), np.where(c > 2, e - np.uint32(2), new))
         self.w2[self.atw] = self.v2 + ((hit2 * np.int32(65535) - self.v2) >> 5)
-        self.w1[self.atw] = self.v1 + ((hit1 * np.int32(65535) - self.v1) >> 5)
-        step = (STEPS > cls) * SPAN
-        step += RISE
-        step -= self.bounds
-        step >>= 5
-        self.bounds += step
-        self.before, self.last = self.last, ids.view(np.uint32)
+        self.w1[self.atw] = np.where(hit2, self.v1, self.v1 + ((hit1 * np.int32(65535) - self.v1) >> 5))
+        self.before, self.last = self.last, ids.astype(np.uint32) + np.uint32(1)
 
     def narrow(self, keep):
         """Only the first keep blocks go on."""
         self.n = keep
-        self.rows, self.base1, self.base2, self.basew = self.rows[:keep], self.base1[:keep], self.base2[:keep], self.basew[:keep]
-        self.bounds, self.before, self.last = self.cdf[:, :keep], self.before[:keep], self.last[:keep]
+        self.base1, self.base2, self.basew = self.base1[:keep], self.base2[:keep], self.basew[:keep]
+        self.before, self.last = self.before[:keep], self.last[:keep]
 
 
-def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
+def _encode_lanes(blocks: list[np.ndarray], static: Static) -> list[bytes]:
     """Words of blocks that are in descending order of length."""
     lengths = np.array([len(b) for b in blocks])
     ids = np.zeros((lengths[0], len(blocks)), np.int32)
@@ -121,17 +133,14 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
         f2, f1 = mix.look()
         hit2 = mix.p2 == sym
         hit1 = (mix.p1 == sym) & ~hit2
-        cls = CLASS[np.minimum(sym, 65535)]
+        # Parts of the range: order 2, order 1, then the distribution over what is left.
+        r = rg >> U16
         two = f2 + f1
-        a, b = mix.part(cls, 65536 - two)
-        start = np.where(hit2, 0, np.where(hit1, f2, two + a))
-        freq = np.where(hit2, f2, np.where(hit1, f1, b - a))
         miss = ~(hit2 | hit1)
-        size, off = np.where(miss, SIZES[cls], 1), np.where(miss, sym - EDGES[cls], 0)
-        r = rg >> U16
-        rr = r * freq.astype(np.uint64) // size.astype(np.uint64)
-        lo += r * start.astype(np.uint64) + rr * off.astype(np.uint64)
-        rg[:] = rr
+        start = r * np.where(hit2, 0, np.where(hit1, f2, two)).astype(np.uint64)
+        unit = r * (65536 - two).astype(np.uint64) >> SHIFT
+        lo += np.where(miss, start + unit * static.begin[sym], start)
+        rg[:] = np.where(miss, unit * static.share[sym], r * np.where(hit2, f2, f1).astype(np.uint64))
         over = lo > MASK48
         if over.any():
             carry(np.flatnonzero(over))
@@ -145,14 +154,14 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
             pos[short] += 1
             lo[short] = word << U16 & MASK48
             rg[short] <<= U16
-        mix.learn(sym, hit2, hit1, cls)
+        mix.learn(sym, hit2, hit1)
     for k in (32, 16, 0):
         flat[np.arange(n) * width + pos] = (low >> np.uint64(k)).astype(np.uint16)
         pos += 1
     return [out[k, : pos[k]].astype("<u2").tobytes() for k in range(n)]
 
 
-def _decode_lanes(words: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
+def _decode_lanes(words: list[np.ndarray], lengths: np.ndarray, static: Static) -> np.ndarray:
     """ids (step, block) of blocks that are in descending order of length."""
     n = len(words)
     width = max(map(len, words)) + 4
@@ -176,21 +185,14 @@ def _decode_lanes(words: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
         hit2 = v < f2
         miss = v >= two
         hit1 = ~(hit2 | miss)
-        f0 = 65536 - two
-        # The last class whose bound is not above v: bound * f0 >> 15 <= u just if bound <= ((u + 1 << 15) - 1) / f0.
-        u = np.maximum(v - two, 0).astype(np.int64)
-        most = np.minimum(((u + 1 << 15) - 1) // f0, 32767).astype(np.int16)
-        cls = np.add.reduce(mix.bounds <= most, axis=0, dtype=np.int8).astype(np.int32) - 1
-        a, b = mix.part(cls, f0)
-        start = np.where(hit2, 0, np.where(hit1, f2, two + a))
-        freq = np.where(hit2, f2, np.where(hit1, f1, b - a))
-        size = np.where(miss, SIZES[cls], 1).astype(np.uint64)
-        rr = r * freq.astype(np.uint64) // size
-        cd -= r * start.astype(np.uint64)
-        off = np.minimum(cd // rr, size - ONE)
-        cd -= rr * off
-        rg[:] = rr
-        sym = np.where(hit2, mix.p2, np.where(hit1, mix.p1, EDGES[cls] + off.astype(np.int32)))
+        unit = r * (65536 - two).astype(np.uint64) >> SHIFT
+        start = r * np.where(hit2, 0, np.where(hit1, f2, two)).astype(np.uint64)
+        cd -= start
+        at = np.where(miss, np.minimum(cd // np.maximum(unit, ONE), np.uint64(SCALE - 1)), np.uint64(0)).astype(np.int64)
+        zero = static.of[at]
+        sym = np.where(hit2, mix.p2, np.where(hit1, mix.p1, zero))
+        cd -= np.where(miss, unit * static.begin[zero], np.uint64(0))
+        rg[:] = np.where(miss, unit * static.share[zero], r * np.where(hit2, f2, f1).astype(np.uint64))
         ids[t, :m] = sym
         for _ in range(3):
             short = np.flatnonzero(rg < LOW32)
@@ -199,7 +201,7 @@ def _decode_lanes(words: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
             cd[short] = (cd[short] << U16 & MASK48) | flat[pos[short]]
             pos[short] += 1
             rg[short] <<= U16
-        mix.learn(sym, hit2, hit1, CLASS[np.minimum(sym, 65535)])
+        mix.learn(sym, hit2, hit1)
     return ids
 
 
@@ -209,29 +211,37 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     if len(ids) and int(ids.max()) >= LIMIT:
         raise ValueError(f"ids must be below {LIMIT}")
     blocks = [ids[k : k + block] for k in range(0, len(ids), block)]
-    coded = []
+    share = shares(ids)
+    static, coded = Static(share), []
     for k in range(0, len(blocks), LANES):
-        coded += _encode_lanes(blocks[k : k + LANES])  # only the last block may be shorter
-    head = MAGIC + struct.pack("<IIQ", block, len(blocks), len(ids))
+        coded += _encode_lanes(blocks[k : k + LANES], static)  # only the last block may be shorter
+    table = zlib.compress(share.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes(), 9)  # lowest bytes first
+    head = MAGIC + struct.pack("<IIQI", block, len(blocks), len(ids), len(table))
     counts = np.array([len(c) // 2 for c in coded], "<u4").tobytes()
     sums = np.array([zlib.crc32(b.tobytes()) for b in blocks], "<u4").tobytes()
-    return b"".join([head, counts, sums, *coded])
+    return b"".join([head, table, counts, sums, *coded])
 
 
 def decode(data: bytes) -> np.ndarray:
     """The ids of a file; ValueError if it is not one or a block's checksum does not hold."""
     if data[:4] != MAGIC:
         raise ValueError("not a file of ids")
-    block, n, total = struct.unpack_from("<IIQ", data, 4)
-    counts, sums = np.frombuffer(data, "<u4", n, 20), np.frombuffer(data, "<u4", n, 20 + 4 * n)
-    at = 20 + 8 * n + 2 * np.append(0, np.cumsum(counts, dtype=np.int64))
+    block, n, total, size = struct.unpack_from("<IIQI", data, 4)
+    try:
+        table = np.frombuffer(zlib.decompress(data[24 : 24 + size]), np.uint8).reshape(4, -1)
+    except zlib.error as e:
+        raise ValueError("the distribution is broken") from e
+    static = Static(np.ascontiguousarray(table.T).view("<u4").reshape(-1))
+    begin = 24 + size
+    counts, sums = np.frombuffer(data, "<u4", n, begin), np.frombuffer(data, "<u4", n, begin + 4 * n)
+    at = begin + 8 * n + 2 * np.append(0, np.cumsum(counts, dtype=np.int64))
     if n and at[-1] > len(data):
         raise ValueError("the file is cut short")
     out = np.empty(total, "<u4")
     for k in range(0, n, LANES):
         some = range(k, min(n, k + LANES))
         lengths = np.array([min(block, total - j * block) for j in some])
-        ids = _decode_lanes([np.frombuffer(data, "<u2", counts[j], at[j]) for j in some], lengths)
+        ids = _decode_lanes([np.frombuffer(data, "<u2", counts[j], at[j]) for j in some], lengths, static)
         for lane, j in enumerate(some):
             out[j * block : j * block + lengths[lane]] = ids[: lengths[lane], lane]
     for j in range(n):

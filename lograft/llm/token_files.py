@@ -25,7 +25,7 @@ SCHEMA = "part int, nth int, n_ids long, doc_ids array<long>, counts array<long>
 END = b"\0\0\0\0"
 
 
-def _files(path: str):
+def _files(path: str, file_ids: int):
     def run(batches):
         part, nth = TaskContext.get().partitionId(), 0
         encode = encoder(path).encode
@@ -39,10 +39,10 @@ def _files(path: str):
             return pa.RecordBatch.from_arrays(row, ["part", "nth", "n_ids", "doc_ids", "counts", "data"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = encode(text) + END
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = encode(text.as_py()) + END
                 n = len(found) // 4
-                if held and held + n > FILE_IDS:
+                if held and held + n > file_ids:
                     yield close()
                 ids.append(found)
                 docs.append(doc)
@@ -54,15 +54,16 @@ def _files(path: str):
     return run
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, file_ids: int = FILE_IDS) -> None:
     """Files of the ids of each row of docs (doc_id, text), an end id 0 after each, in ascending order of doc_id.
 
     Null texts count as empty; null doc_ids come first; rows with one doc_id stand next to each other; other columns are
-    not looked at; an empty table gives no files.
+    not looked at; an empty table gives no files. A text of any length is encoded whole and stands in one file, which is closed
+    after file_ids ids.
     """
     ship(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(_files(tokenizer or default_path()), SCHEMA).write.parquet(path)
+    ordered.mapInArrow(_files(tokenizer or default_path(), file_ids), SCHEMA).write.parquet(path)
 
 
 def _documents(batches):

@@ -268,11 +268,39 @@ def test_codec(ids, block):
 
 def test_checksums_hold():
     data = bytearray(idcodec.encode(np.arange(9000) % 4000))
-    data[20 + 8 * 3 + 40] ^= 16
+    data[-60] ^= 16
     with pytest.raises(ValueError):
         idcodec.decode(bytes(data))
 
 
+def test_codec_beats_the_entropy_of_order_0(encoder):
+    """A real corpus (sf0.01) takes fewer bits an id than its ids' frequencies alone would."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    ids = np.frombuffer(b"".join(encoder.encode(text_of(t)) + b"\0" * 4 for t in texts), "<u4")
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    data = idcodec.encode(ids)
+    assert (idcodec.decode(data) == ids).all()
+    assert 8 * len(data) / len(ids) < 0.95 * -(share * np.log2(share)).sum()
+
+
+def test_token_files_without_ids_and_several_to_a_task(spark, encoder, tmp_path):
+    """Rows without doc_id come first, rows with one doc_id stand together, and a task closes files as they fill."""
+    token_files.write(table(spark, AWKWARD), str(tmp_path / "ids"), file_ids=500)
+    files = spark.read.parquet(str(tmp_path / "ids"))
+    assert files.agg(F.max("nth")).first()[0] > 0
+    found = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read(spark, str(tmp_path / "ids")).collect()))
+    want = sorted(repr((i, len(x) // 4, zlib.crc32(x))) for i, x in ((i, encoder.whole(text_of(t)) + b"\0" * 4) for i, t in AWKWARD))
+    assert sorted(repr(r[1:]) for r in found) == want
+    ends = [0]
+    for start, _, n, _ in found:
+        assert start == ends[-1]
+        ends.append(start + n)
+    docs = [r[1] for r in found]
+    assert docs == sorted(docs, key=lambda i: (i is not None, i or 0))
+
+
 def test_token_files(spark, encoder, tmp_path, monkeypatch):
     rows = [r for r in AWKWARD if r[0] is not None]
     token_files.write(table(spark, rows), str(tmp_path / "ids"))
