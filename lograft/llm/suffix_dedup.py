@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, runs, ship, whole_text, written
+from .common import discard, load, runs, ship, whole_text, written
 
 GRAM = 32
 #: Bytes hashed at once; bytes sorted at once; different zones above which a group is dealt further before its sort.
@@ -404,6 +404,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), te
     classes = written(data.mapInArrow(_zones(window, digest, False), "akey long, digest long").groupBy("akey", "digest").agg(F.count("*").alias("n")), "zone-classes")
     shared = classes.groupBy("akey").agg(F.sum("n").alias("all")).where("all > 1").select("akey")
     shared = written(classes.join(shared, "akey"), "shared-classes")
+    discard(classes)
     zones = data.mapInArrow(_zones(window, digest, True), "akey long, digest long, rid long, at long, shape int")
     zones = written(zones.join(shared, ["akey", "digest"]), "zones")
 
@@ -420,7 +421,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), te
     span = lambda df: df.select("rid", F.col("at").alias("from"), (F.col("at") + size(F.col("shape"))).alias("to"))
     several = zones.where("n > 1")
     unclear = kinds.groupBy("akey", "digest").agg(F.count("*").alias("kinds")).where("kinds > 1").select("akey", "digest")
-    if unclear.isEmpty():
+    clear = unclear.isEmpty()
+    if clear:
         gone = span(several)
     else:
         unclear = written(unclear, "unclear")
@@ -429,7 +431,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), te
 
     anchors = kinds.groupBy("akey").agg(F.count("*").alias("kinds")).where("kinds > 1").select("akey")
     items = kinds.join(anchors, "akey").select(F.col("akey").alias("gkey"), F.lit(0).alias("low"), F.lit(window - GRAM).alias("high"), "shape", "rid", "at", (F.col("n") == 1).cast("int").alias("alone"), "bytes")
-    ready, settled = _dealt(written(items, "items"), window, crowd)
+    items = written(items, "items")
+    if clear:
+        discard(kinds)
+    ready, settled = _dealt(items, window, crowd)
     found = ready.repartition("gkey").sortWithinPartitions("gkey").mapInArrow(_sorted(window), "rid long, `from` long, `to` long")
     gone = gone.union(found) if settled is None else gone.union(found).union(settled)
     gone = gone.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("from", "to")).alias("_gone"))
