@@ -48,6 +48,12 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the shuffle files of finished jobs deleted: Spark does so once the driver's JVM has collected what refers to
+    them, which it would otherwise put off until its heap is full, while executors' disks fill up."""
+    spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **conf: str):
     """Session settings (dots as __) for the jobs that run inside the block."""

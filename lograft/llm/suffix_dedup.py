@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, load, runs, ship, whole_text, written
+from .common import discard, load, release, runs, ship, whole_text, written
 
 GRAM = 32
 #: Bytes hashed at once; bytes sorted at once; different zones above which a group is dealt further before its sort.
@@ -398,15 +398,18 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), te
     """
     if not GRAM < window <= 200:
         raise ValueError("the window is 33 to 200 bytes")
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     rows = written(docs.select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("_data"), *carry), "texts")
     data = rows.select(F.col("_rid").alias("rid"), F.col("_data").alias("data"))
     classes = written(data.mapInArrow(_zones(window, digest, False), "akey long, digest long").groupBy("akey", "digest").agg(F.count("*").alias("n")), "zone-classes")
     shared = classes.groupBy("akey").agg(F.sum("n").alias("all")).where("all > 1").select("akey")
     shared = written(classes.join(shared, "akey"), "shared-classes")
     discard(classes)
+    release(spark)
     zones = data.mapInArrow(_zones(window, digest, True), "akey long, digest long, rid long, at long, shape int")
     zones = written(zones.join(shared, ["akey", "digest"]), "zones")
+    release(spark)
 
     # The bytes of the zones: a row's list is bounded by its own text.
     lists = zones.groupBy("rid").agg(F.collect_list(F.struct("akey", "digest", "at", "shape")).alias("zones"))
@@ -416,6 +419,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), te
     cut = cut.select("rid", F.inline("z").alias("akey", "digest", "shape", "at", "bytes"))
     key = ["akey", "digest", "shape", "bytes"]
     kinds = written(cut.groupBy(*key).agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min("at").alias("at")), "zone-kinds")
+    release(spark)
 
     # Zones that occur more than once as a whole; a digest of several kinds says nothing.
     span = lambda df: df.select("rid", F.col("at").alias("from"), (F.col("at") + size(F.col("shape"))).alias("to"))
@@ -432,6 +436,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), te
     anchors = kinds.groupBy("akey").agg(F.count("*").alias("kinds")).where("kinds > 1").select("akey")
     items = kinds.join(anchors, "akey").select(F.col("akey").alias("gkey"), F.lit(0).alias("low"), F.lit(window - GRAM).alias("high"), "shape", "rid", "at", (F.col("n") == 1).cast("int").alias("alone"), "bytes")
     items = written(items, "items")
+    release(spark)
     if clear:
         discard(kinds)
     ready, settled = _dealt(items, window, crowd)
