@@ -129,8 +129,8 @@ def zone_digest(part: bytes, shape: int) -> int:
     return xxhash.xxh3_64_intdigest(part, seed=shape)
 
 
-def _zones(window: int, digest, with_place: bool):
-    """Texts -> the anchors and digests of their zones, and with_place also at and shape (offset of the anchor, windows)."""
+def _zones(window: int, digest):
+    """Texts -> the anchors and digests of their zones, their texts, places and shapes (offset of the anchor, windows)."""
 
     def run(batches):
         for batch in batches:
@@ -145,14 +145,10 @@ def _zones(window: int, digest, with_place: bool):
                     continue
                 shape = offset << 8 | count
                 digests = np.array([digest(buf[s : s + c + window - 1], x) for s, c, x in zip(first.tolist(), count.tolist(), shape.tolist(), strict=True)], np.uint64)
-                named = [pa.array(key), pa.array(digests.view(np.int64))]
-                if not with_place:
-                    yield pa.RecordBatch.from_arrays(named, ["akey", "digest"])
-                    continue
                 # Texts of no bytes share their start with the next one, which is the last with that start.
                 row = np.searchsorted(begin, first, side="right") - 1
                 at = first - begin[row] + np.array([r[2] for r in rows])[row]
-                cols = [*named, pa.array([rows[k][0] for k in row.tolist()], pa.int64()), pa.array(at), pa.array(shape.astype(np.int32))]
+                cols = [pa.array(key), pa.array(digests.view(np.int64)), pa.array([rows[k][0] for k in row.tolist()], pa.int64()), pa.array(at), pa.array(shape.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, ["akey", "digest", "rid", "at", "shape"])
 
     return run
@@ -402,13 +398,16 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), te
     ship(spark)
     rows = written(docs.select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("_data"), *carry), "texts")
     data = rows.select(F.col("_rid").alias("rid"), F.col("_data").alias("data"))
-    classes = written(data.mapInArrow(_zones(window, digest, False), "akey long, digest long").groupBy("akey", "digest").agg(F.count("*").alias("n")), "zone-classes")
+    every = written(data.mapInArrow(_zones(window, digest), "akey long, digest long, rid long, at long, shape int"), "all-zones")
+    classes = written(every.groupBy("akey", "digest").agg(F.count("*").alias("n")), "zone-classes")
+    release(spark)
     shared = classes.groupBy("akey").agg(F.sum("n").alias("all")).where("all > 1").select("akey")
     shared = written(classes.join(shared, "akey"), "shared-classes")
     discard(classes)
     release(spark)
-    zones = data.mapInArrow(_zones(window, digest, True), "akey long, digest long, rid long, at long, shape int")
-    zones = written(zones.join(shared, ["akey", "digest"]), "zones")
+    zones = written(every.join(shared, ["akey", "digest"]), "zones")
+    discard(every)
+    discard(shared)
     release(spark)
 
     # The bytes of the zones: a row's list is bounded by its own text.
