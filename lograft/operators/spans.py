@@ -132,6 +132,31 @@ def custom(name: str, pattern: str, priority: int = 1050) -> Extractor:
     return Extractor(name, max(priority, 1050), pattern)
 
 
+#: Named parts of an entity, each with what stands before it in the entity.
+PARTS = {
+    "timestamp": (("date", "", r"\d{4}-\d{2}-\d{2}"), ("time", ".{11}", r"\d{2}:\d{2}:\d{2}"), ("ms", r".{19}\.", r"\d{3,6}"), ("tz", r".{19}(?:\.\d{3,6})? ?", r"[A-Z]{2,4}|[+-]\d{2}:?\d{2}")),
+    "memory": (("value", "", r"\d+(?:\.\d+)?"), ("unit", r"\d+(?:\.\d+)?\s*", "[A-Za-z]+")),
+    "lsn": (("segment", "", "[0-9A-Fa-f]+"), ("offset", "[0-9A-Fa-f]+/", "[0-9A-Fa-f]+")),
+}
+
+
+def parts(found: DataFrame) -> DataFrame:
+    """Rows of spans (entity, start, end, text, ...), those of entities with parts replaced by one row per part that is there, named entity.part."""
+
+    def one(name: str, part: str, head: str, body: str) -> Column:
+        form = f"^({head})({body})"
+        start = F.col("start") + F.length(F.regexp_extract("text", form, 1))
+        value = F.regexp_extract("text", form, 2)
+        return F.struct(F.lit(f"{name}.{part}").alias("entity"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("text"))
+
+    rows = F.array(F.struct("entity", "start", "end", "text"))
+    for name, pieces in PARTS.items():
+        rows = F.when(F.col("entity") == name, F.array(*[one(name, *p) for p in pieces])).otherwise(rows)
+    kept = [c for c in found.columns if c not in ("entity", "start", "end", "text")]
+    out = found.select(*kept, F.explode(rows).alias("_part")).where("_part.text <> ''")
+    return out.select(*[F.col(c) if c in kept else F.col(f"_part.{c}") for c in found.columns])
+
+
 #: Stand around a match, and between it and its group, while a text is searched.
 MARK, INNER = "\x01", "\x02"
 

@@ -50,6 +50,11 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _base(spark, sf_dir).selectExpr("seq", "source_file", "at || ' UTC [' || pid || '] ' || level || ':  ' || message value")
 
 
+def logs_of(spark: SparkSession, sf_dir: str, message: str) -> DataFrame:
+    """The parsed rows of text lines with another message: SQL over the fields of the base rows."""
+    return parse(_base(spark, sf_dir).withColumn("clock", F.col("at")).selectExpr("seq", "source_file", f"at || ' UTC [' || pid || '] ' || level || ':  ' || {message} value"), "text")
+
+
 def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = {"log_time": "at || ' UTC'", "user_name": "user_name", "database_name": "database_name", "process_id": "pid", "error_severity": "level", "sql_state_code": "coalesce(sql_state, '')",
              "message": "'\"' || replace(message, '\"', '\"\"') || '\"'", "application_name": "coalesce(application_name, '')", "connection_from": "'10.0.0.1:' || (5000 + k)", "query_id": "seq * 1000000007"}

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from lograft import registry
+from lograft import entities, registry  # noqa: F401 (entities adds its queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
