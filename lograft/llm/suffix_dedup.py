@@ -361,13 +361,15 @@ ARROW = {"kept": pa.binary(), "removed": pa.list_(pa.list_(pa.int64())), "kept_t
 ITEMS = "gkey long, low int, high int, shape int, rid long, at long, alone int, bytes binary"
 
 
-def _dealt(items: DataFrame, window: int, crowd: int) -> tuple[DataFrame, DataFrame | None]:
+def _dealt(items: DataFrame, window: int, crowd: int, tables: list[DataFrame]) -> tuple[DataFrame, DataFrame | None]:
     """items (ITEMS), different within a gkey -> groups for the sort of crowd rows at most (more only where hashes of single windows
-    collide), and (rid, from, to) of what proved repeated on the way. Eight rounds at most, as each halves the offsets."""
+    collide), and (rid, from, to) of what proved repeated on the way. Eight rounds at most, as each halves the offsets. What it
+    writes is added to tables."""
     columns, key, ready, gone = [c.split()[0] for c in ITEMS.split(", ")], ["gkey", "low", "high", "shape", "bytes"], None, None
     while True:
         big = items.where("low < high").groupBy("gkey").agg(F.count("*").alias("kinds")).where(F.col("kinds") > crowd).select("gkey")
         big = written(big, "crowded")
+        tables.append(big)
         if big.isEmpty():
             return items if ready is None else ready.unionByName(items), gone
         small = items.join(big, "gkey", "left_anti").select(*columns)
@@ -375,6 +377,7 @@ def _dealt(items: DataFrame, window: int, crowd: int) -> tuple[DataFrame, DataFr
         split = written(items.join(big, "gkey", "left_semi").select(*columns).mapInArrow(_halved(window), ITEMS), "halves")
         kinds = split.groupBy(*key).agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min("at").alias("at"), F.min("alone").alias("alone"))
         kinds = written(kinds, "half-kinds")
+        tables += [split, kinds]
         equal = split.where("alone = 1").join(kinds.where("n > 1").select(*key), key)
         equal = equal.select("rid", F.col("at").alias("from"), (F.col("at") + F.col("shape").bitwiseAND(255) + (window - 1)).alias("to"))
         gone = equal if gone is None else gone.union(equal)
@@ -411,37 +414,50 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), te
     release(spark)
 
     # The bytes of the zones: a row's list is bounded by its own text.
-    lists = zones.groupBy("rid").agg(F.collect_list(F.struct("akey", "digest", "at", "shape")).alias("zones"))
+    lists = zones.groupBy("rid").agg(F.collect_list(F.struct("akey", "digest", "at", "shape", "n")).alias("zones"))
     size = lambda shape: shape.bitwiseAND(255) + F.lit(window - 1)
     part = lambda z: F.substring(F.col("data"), (z["at"] + 1).cast("int"), size(z["shape"]))
-    cut = data.join(lists, "rid").select("rid", F.transform("zones", lambda z: F.struct(z["akey"], z["digest"], z["shape"], z["at"], part(z).alias("bytes"))).alias("z"))
-    cut = cut.select("rid", F.inline("z").alias("akey", "digest", "shape", "at", "bytes"))
+    cut = data.join(lists, "rid").select("rid", F.transform("zones", lambda z: F.struct(z["akey"], z["digest"], z["shape"], z["at"], z["n"], part(z).alias("bytes"))).alias("z"))
+    # Written, so that the texts' shuffle files can go before the zones are shuffled.
+    cut = written(cut.select("rid", F.inline("z").alias("akey", "digest", "shape", "at", "n", "bytes")), "cut-zones")
+    release(spark)
     key = ["akey", "digest", "shape", "bytes"]
-    kinds = written(cut.groupBy(*key).agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min("at").alias("at")), "zone-kinds")
+    # A zone without another of its digest is a kind of its own; only the others are grouped by their bytes.
+    many = cut.where("n > 1").groupBy(*key).agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min("at").alias("at"))
+    many = written(many, "zone-kinds")
+    kinds = many.unionByName(cut.where("n = 1"))
     release(spark)
 
     # Zones that occur more than once as a whole; a digest of several kinds says nothing.
     span = lambda df: df.select("rid", F.col("at").alias("from"), (F.col("at") + size(F.col("shape"))).alias("to"))
     several = zones.where("n > 1")
-    unclear = kinds.groupBy("akey", "digest").agg(F.count("*").alias("kinds")).where("kinds > 1").select("akey", "digest")
+    unclear = many.groupBy("akey", "digest").agg(F.count("*").alias("kinds")).where("kinds > 1").select("akey", "digest")
     clear = unclear.isEmpty()
     if clear:
         gone = span(several)
     else:
         unclear = written(unclear, "unclear")
         gone = span(several.join(unclear, ["akey", "digest"], "left_anti"))
-        gone = gone.union(span(cut.join(unclear, ["akey", "digest"], "left_semi").join(kinds.where("n > 1").select(*key), key)))
+        gone = gone.union(span(cut.join(unclear, ["akey", "digest"], "left_semi").join(many.where("n > 1").select(*key), key)))
 
     anchors = kinds.groupBy("akey").agg(F.count("*").alias("kinds")).where("kinds > 1").select("akey")
     items = kinds.join(anchors, "akey").select(F.col("akey").alias("gkey"), F.lit(0).alias("low"), F.lit(window - GRAM).alias("high"), "shape", "rid", "at", (F.col("n") == 1).cast("int").alias("alone"), "bytes")
     items = written(items, "items")
-    release(spark)
+    tables = [zones, items]
     if clear:
-        discard(kinds)
-    ready, settled = _dealt(items, window, crowd)
+        discard(many)
+        discard(cut)
+    else:
+        tables += [many, cut, unclear]
+    release(spark)
+    ready, settled = _dealt(items, window, crowd, tables)
     found = ready.repartition("gkey").sortWithinPartitions("gkey").mapInArrow(_sorted(window), "rid long, `from` long, `to` long")
     gone = gone.union(found) if settled is None else gone.union(found).union(settled)
     gone = gone.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("from", "to")).alias("_gone"))
+    gone = written(gone, "gone")
+    for table in tables:
+        discard(table)
+    release(spark)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     extra = "".join(f", {c} {TEXTS[c]}" for c in texts) + "".join(f", `{c}` {types[c]}" for c in carry)
     final = rows.join(gone, "_rid", "left").select("doc_id", "_data", "_gone", *carry)
