@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_tools, exact_dedup, licenses, packing, quality, simhash, suffix_dedup, token_files, topk, turns
+from . import bpe, chat_tools, exact_dedup, licenses, packing, quality, simhash, suffix_dedup, token_files, topk, turns, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_topk": topk.op9_topk,
     "op10_simhash": simhash.op10_simhash,
+    "op12_warc": warc.op12_warc,
     "op13_repair": turns.op13_repair,
 }
 
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op7_chat_tools": chat_tools.OP7_SQL,
     "op9_topk": topk.OP9_SQL,
+    "op12_warc": warc.OP12_SQL,
 }
