@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_tools, exact_dedup, licenses, packing, quality, simhash, suffix_dedup, token_files, topk, turns, warc
+from . import align, bpe, chat_tools, exact_dedup, licenses, packing, quality, simhash, suffix_dedup, token_files, topk, turns, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_topk": topk.op9_topk,
     "op10_simhash": simhash.op10_simhash,
+    "op11_align": align.op11_align,
     "op12_warc": warc.op12_warc,
     "op13_repair": turns.op13_repair,
 }
