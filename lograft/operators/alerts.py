@@ -70,7 +70,10 @@ def matched(logs: DataFrame, rules: Rules, by: str | None = None) -> DataFrame:
     return out.select(*logs.columns, "rule", severity(F.col("level")).alias("severity"), body.alias("body"))
 
 
-def alerts(logs: DataFrame, rules: Rules, by: str, seconds: float = 5) -> DataFrame:
-    """Matches that the limiter of their source lets pass."""
+def alerts(logs: DataFrame, rules: Rules, by: str, seconds: float = 5, pause: float = 60) -> DataFrame:
+    """Matches that pass the one limiter of all sources, by arrival; what only a rate makes a match waits for the pause since the last such match first."""
     found = matched(logs, rules, by)
-    return found.join(allowed(found, by, seconds).select(by, "seq"), [by, "seq"], "left_semi")
+    if rules.errors_per_minute is not None:
+        rate = found.where("rule = 'rate'")
+        found = found.where("rule <> 'rate'").unionByName(rate.join(allowed(rate, None, pause).select("seq"), "seq", "left_semi"))
+    return found.join(allowed(found, None, seconds).select("seq"), "seq", "left_semi")

@@ -97,14 +97,7 @@ def _(spark, d):
     return e.groupBy("event_type").agg(F.count("*").alias("cnt")).select("event_type", "cnt", levels.normalised(word).alias("level"))
 
 
-@query("s4_interleave", f"SELECT seq, source_file, row_number() OVER (ORDER BY ts, source_file, seq) AS place FROM lg ORDER BY place LIMIT 500")
-def _(spark, d):
-    first = source.interleaved(text_logs(spark, d)).limit(500)
-    from pyspark.sql import Window
-
-    return first.select("seq", "source_file", F.row_number().over(Window.orderBy(F.col("timestamp").asc_nulls_first(), "source_file", "seq")).cast("bigint").alias("place"))
-
-
+@query("s4_interleave", "SELECT seq, source_file, row_number() OVER (ORDER BY ts, source_file, seq) AS place FROM lg")
 @query("s4_interleave_whole", "SELECT seq, source_file, row_number() OVER (ORDER BY ts, source_file, seq) AS place FROM lg")
 def _(spark, d):
     return source.placed(text_logs(spark, d)).select("seq", "source_file", "place")
@@ -493,15 +486,10 @@ def _(spark, d):
     return found.groupBy("entity", "class").agg(F.count("*").alias("cnt"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
-@query("x31_paths_in_pages", r"SELECT page_id, unnest(regexp_extract_all(substr(html, 1, 10240), '\$\d+')) AS text FROM pages", lg=False)
+@query("x31_paths_in_whole_pages", r"SELECT page_id, unnest(regexp_extract_all(replace(html, '</', ' /x/'), '\B/(?:[\w.-]+/)*[\w.-]+/[\w.-]+\b')) AS text FROM pages", lg=False)
 def _(spark, d):
-    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
-    return p.select("page_id", F.explode(spans.spans(spans.plain(F.col("html")), spans.custom("price", r"\$\d+"))).alias("s")).select("page_id", "s.text")
-
-
-@query("x31_paths_in_whole_pages", r"SELECT page_id, unnest(regexp_extract_all(html, '\B/(?:[\w.-]+/)+[\w.-]+\b')) AS text FROM pages", lg=False)
-def _(spark, d):
-    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
+    """Closing tags stand in for paths, as pages hold no others."""
+    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.replace("html", F.lit("</"), F.lit(" /x/")).alias("html"))
     return p.select("page_id", F.explode(spans.spans(spans.plain(F.col("html")), spans.BY_NAME["path"])).alias("s")).select("page_id", "s.text")
 
 
@@ -524,7 +512,14 @@ def _(spark, d):
     return alerts.matched(text_logs(spark, d), alerts.Rules().on("fatal").silent("8:00-18:30")).select("seq")
 
 
-@query("r9_limited_alerts")
+def limited(where: str, seconds: int, columns: str) -> str:
+    """SQL of a limiter over all rows of lg: a fold in the order of arrival."""
+    return f""", hit AS (SELECT list(struct_pack(s := seq, t := epoch_us(ts)) ORDER BY seq) AS l FROM lg WHERE {where}),
+    folded AS (SELECT list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN x[1].t - a[len(a)].t >= {seconds * 1_000_000} THEN list_concat(a, x) ELSE a END) AS out FROM hit),
+    gone AS (SELECT u.s AS seq FROM (SELECT unnest(out) AS u FROM folded)) SELECT {columns} FROM gone JOIN lg USING (seq)"""
+
+
+@query("r9_limited_alerts", limited("level = 'FATAL'", 600, "seq, source_file, 'level' AS rule, message AS body"))
 def _(spark, d):
     return alerts.alerts(text_logs(spark, d), alerts.Rules().on("fatal"), "source_file", 600).select("seq", "source_file", "rule", "body")
 
