@@ -52,9 +52,19 @@ def probe(message: Column) -> Column:
     return found
 
 
-def keywords(spark: SparkSession) -> list[str]:
-    """Spark's own table of SQL keywords."""
-    return sorted(r[0].upper() for r in spark.sql("SELECT keyword FROM sql_keywords()").collect())
+#: Words that the server knows besides those of Spark's own table; fixed values.
+SERVER_WORDS = """
+ABSOLUTE ACCESS ACTION ATTACH BACKWARD CLOSE COALESCE COMMITTED CONCURRENTLY CONFLICT CONNECT CONVERSION COPY CURSOR DEALLOCATE DEFERRABLE DEFERRED DETACH
+DIAGNOSTICS DISABLE DISCARD DOMAIN ELSIF ENABLE EXCEPTION EXCLUSIVE EXTENSION FORCE FOREACH FORWARD GET GREATEST GROUPS INHERITS INITIALLY ISNULL ISOLATION
+LABEL LEAST LISTEN LOCKED MOVE NEXT NOTHING NOTIFY NOTNULL NOWAIT NULLIF OPERATOR OVERRIDING OWNER PERFORM POLICY PREPARE PRIOR PRIVILEGES PUBLICATION
+RAISE READ REINDEX RELATIVE RELEASE REPLICA RETURNING RULE SAVEPOINT SEQUENCE SERIALIZABLE SESSION SHARE SIMILAR SKIP SUBSCRIPTION SYSTEM TABLESPACE
+TEMP TEMPORARY TIES TRIGGER UNCOMMITTED UNLISTEN UPSERT USAGE VACUUM VALID VIRTUAL WORK
+""".split()
+
+
+def keywords(spark: SparkSession, more: list[str] = SERVER_WORDS) -> list[str]:
+    """Spark's own table of SQL keywords and the server's further ones."""
+    return sorted({r[0].upper() for r in spark.sql("SELECT keyword FROM sql_keywords()").collect()} | set(more))
 
 
 def tokens(sql: Column, words: list[str]) -> Column:

@@ -50,6 +50,39 @@ def export_file(logs: DataFrame, path: str, fmt: str = "text", append: bool = Fa
     return n
 
 
+#: The folder of a followed export's header; it sorts before those of the batches.
+HEADER = "batch=-header"
+
+
+def followed(logs: DataFrame, path: str, checkpoint: str, fmt: str = "text", keep_markup: bool = True):
+    """A stream's rows as files in order, to be started: a folder for each batch, named by its number, whose files in the order of their names hold its rows in order of time, file and arrival.
+
+    A batch that is run again after a failure replaces its own folder only, so that all files read in order (in_sequence) have the same bytes however often the
+    stream was stopped. Executors write them; nothing passes through the driver.
+    """
+    if fmt == "csv":
+        _rows(logs, fmt, keep_markup)  # the columns are there
+    order = [F.col("timestamp").asc_nulls_first(), F.col("source_file").asc(), F.col("seq").asc()]
+
+    def each(batch: DataFrame, n: int) -> None:
+        if fmt == "csv" and n == 0:
+            head = batch.sparkSession.createDataFrame([(",".join(CSV_FIELDS),)], "value string")
+            head.coalesce(1).write.mode("overwrite").text(f"{path}/{HEADER}")
+        rows = _rows(batch.repartitionByRange(*order).sortWithinPartitions(*order), fmt, keep_markup)
+        writer = rows.write.mode("overwrite")
+        folder = f"{path}/batch={n:012d}"
+        writer.option("header", False).csv(folder) if fmt == "csv" else writer.text(folder)
+
+    return logs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
+def in_sequence(spark, path: str) -> DataFrame:
+    """(place, value): the lines of a followed export, ordered by place."""
+    meta = F.col("_metadata")
+    lines = spark.read.text(f"{path}/batch=*").select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
+    return lines.select(F.struct("file", "block", "at").alias("place"), "value")
+
+
 def check_options(follow: bool, append: bool, since: str | None) -> None:
     if follow and (append or since):
         raise ValueError("follow excludes append and since")
