@@ -78,3 +78,48 @@ def limited(logs: DataFrame, seconds: float = 5) -> DataFrame:
     """
     rows = logs.where("timestamp is not null").select("source_file", "seq", F.unix_micros("timestamp").alias("at"))
     return rows.groupBy("source_file").applyInPandasWithState(_limit(int(seconds * 1_000_000)), "source_file string, seq bigint, at bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+HELD = "at array<bigint>, source_file array<string>, seq array<bigint>, value array<string>, newest bigint, released bigint"
+
+
+def _reorder(delay_us: int, idle_ms: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["at", "source_file", "seq", "value"]
+        at, files, seqs, values, newest, released = state.get if state.exists else ([], [], [], [], None, None)
+        held = pd.DataFrame({"at": pd.array(list(at), "int64"), "source_file": list(files), "seq": pd.array(list(seqs), "int64"), "value": list(values)})
+        idle = state.hasTimedOut
+        fresh = [held] if len(held) else []
+        fresh += [] if idle else [b[columns] for b in batches]
+        rows = pd.concat(fresh) if fresh else held
+        if len(rows):
+            newest = max(int(rows["at"].max()), newest if newest is not None else int(rows["at"].max()))
+        rows = rows.sort_values(["at", "source_file", "seq"], kind="stable")
+        upto = newest if idle or newest is None else newest - delay_us
+        go = rows["at"] <= upto if upto is not None else rows["at"] < 0
+        out, rest = rows[go].copy(), rows[~go]
+        out["late"] = out["at"] < released if released is not None else False
+        if len(out):
+            released = max(int(out["at"].max()), released if released is not None else int(out["at"].max()))
+        state.update((*[rest[c].tolist() for c in columns], newest, released))
+        if len(rest):
+            state.setTimeoutDuration(idle_ms)
+        out.insert(0, "log", key[0])
+        out["place"] = range(len(out))
+        yield out
+
+    return run
+
+
+def reordered(logs: DataFrame, by: str | None = None, delay: float = 5, idle: float = 10) -> DataFrame:
+    """The lines of files that are written out of step, in order of time: log, at (microseconds), source_file, seq, value, late, place; append mode.
+
+    by: a column that tells servers apart, whose lines are ordered for themselves; without it all lines are one log. A line waits in
+    keyed state until one that is so many seconds younger has come, or for idle seconds if none comes. Rows of a batch are in the order of place,
+    and batches follow each other; a line behind what was released comes at once, marked late. Lines without a time count as the oldest.
+    State holds the lines of the last delay seconds of a server.
+    """
+    at = F.coalesce(F.unix_micros("timestamp"), F.lit(0)).alias("at")
+    rows = logs.select((F.col(by).cast("string") if by else F.lit("")).alias("log"), at, "source_file", "seq", F.col("raw").alias("value"))
+    out = "log string, at bigint, source_file string, seq bigint, value string, late boolean, place bigint"
+    return rows.groupBy("log").applyInPandasWithState(_reorder(int(delay * 1_000_000), int(idle * 1000)), out, HELD, "append", GroupStateTimeout.ProcessingTimeTimeout)
