@@ -5,22 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Words that a server puts before SQL, and whether the name of a prepared statement follows; fixed values.
-LEADS = (("statement", False), ("execute", True), ("parse", True), ("bind", True))
-#: How long a statement took, when that is logged before it.
-TOOK = r"duration:\s*[\d.]+\s*ms\s+"
-
-
-def _regions() -> list[str]:
-    """Patterns of all that stands before the SQL, the most specific first."""
-    words = "|".join(w for w, _ in LEADS)
-    found = [rf"{TOOK}(?:{words})\s*(?:\S+)?"] + [w + (r"\s+\S+" if named else "") for w, named in LEADS]
-    return [rf"(?is)^.*?{p}:\s*" for p in found] + [r"(?is)^DETAIL:\s*"]
-
-
-def _probes() -> list[str]:
-    """Patterns that end where the SQL of a message begins."""
-    return [rf"(?i)^{w}" + (r"\s+\w+" if named else "") + r":\s*" for w, named in LEADS] + [rf"(?i){TOOK}statement:\s*"]
+#: A statement as a server logs it: how long it took, if that is logged, then what was done, the name of a prepared one, a colon.
+TOOK = r"duration:\s*\d[\d.]*\s*ms\s+"
+DONE = r"(?:statement|(?:execute|parse|bind)(?:\s+\S+?)?)\s*:\s*"
+#: All that stands before the SQL of a message, and before that of one that begins with it.
+BEFORE = rf"(?is)^(?:.*?\b{DONE}|DETAIL:\s*)"
+AT_START = rf"(?is)^(?:{TOOK})?{DONE}"
 
 
 #: Kinds of tokens in the order in which they are tried.
@@ -33,36 +23,32 @@ TOKENS = (
 
 def region(message: Column) -> Column:
     """struct<prefix, sql, suffix> of the SQL in a message, null without any; the suffix is the white space at the end."""
-    found = F.lit(None).cast("struct<prefix:string,sql:string,suffix:string>")
-    for p in reversed(_regions()):
-        prefix = F.regexp_substr(message, F.lit(p))
-        rest = F.substring(message, F.length(prefix) + 1, F.length(message))
-        sql = F.regexp_replace(rest, r"\s+$", "")
-        here = F.struct(prefix.alias("prefix"), sql.alias("sql"), F.substring(rest, F.length(sql) + 1, F.length(rest)).alias("suffix"))
-        found = F.when(message.rlike(p), F.when(sql != "", here)).otherwise(found)
-    return found
+    prefix = F.regexp_substr(message, F.lit(BEFORE))
+    rest = F.substring(message, F.length(prefix) + 1, F.length(message))
+    sql = F.regexp_replace(rest, r"\s+$", "")
+    here = F.struct(prefix.alias("prefix"), sql.alias("sql"), F.substring(rest, F.length(sql) + 1, F.length(rest)).alias("suffix"))
+    return F.when(prefix.isNotNull() & (sql != ""), here)
 
 
 def probe(message: Column) -> Column:
     """struct<found, start>: whether a message begins like SQL, and where that SQL starts."""
-    found = F.struct(F.lit(False).alias("found"), F.lit(0).alias("start"))
-    for p in reversed(_probes()):
-        at = F.regexp_instr(message, F.lit(p)) - 1 + F.length(F.regexp_substr(message, F.lit(p)))
-        found = F.when(message.rlike(p), F.struct(F.lit(True).alias("found"), at.alias("start"))).otherwise(found)
-    return found
+    prefix = F.regexp_substr(message, F.lit(AT_START))
+    return F.struct(prefix.isNotNull().alias("found"), F.coalesce(F.length(prefix), F.lit(0)).alias("start"))
 
 
 #: Words that the server knows besides those of Spark's own table; fixed values.
-SERVER_WORDS = """
-ABSOLUTE ACCESS ACTION ATTACH BACKWARD CLOSE COALESCE COMMITTED CONCURRENTLY CONFLICT CONNECT CONVERSION COPY CURSOR DEALLOCATE DEFERRABLE DEFERRED DETACH
-DIAGNOSTICS DISABLE DISCARD DOMAIN ELSIF ENABLE EXCEPTION EXCLUSIVE EXTENSION FORCE FOREACH FORWARD GET GREATEST GROUPS INHERITS INITIALLY ISNULL ISOLATION
-LABEL LEAST LISTEN LOCKED MOVE NEXT NOTHING NOTIFY NOTNULL NOWAIT NULLIF OPERATOR OVERRIDING OWNER PERFORM POLICY PREPARE PRIOR PRIVILEGES PUBLICATION
-RAISE READ REINDEX RELATIVE RELEASE REPLICA RETURNING RULE SAVEPOINT SEQUENCE SERIALIZABLE SESSION SHARE SIMILAR SKIP SUBSCRIPTION SYSTEM TABLESPACE
-TEMP TEMPORARY TIES TRIGGER UNCOMMITTED UNLISTEN UPSERT USAGE VACUUM VALID VIRTUAL WORK
-""".split()
+SERVER_WORDS = (
+    "ABSOLUTE", "ACCESS", "ACTION", "ATTACH", "BACKWARD", "CLOSE", "COALESCE", "COMMITTED", "CONCURRENTLY", "CONFLICT", "CONNECT", "CONVERSION",
+    "COPY", "CURSOR", "DEALLOCATE", "DEFERRABLE", "DEFERRED", "DETACH", "DIAGNOSTICS", "DISABLE", "DISCARD", "DOMAIN", "ELSIF", "ENABLE", "EXCEPTION",
+    "EXCLUSIVE", "EXTENSION", "FORCE", "FOREACH", "FORWARD", "GET", "GREATEST", "GROUPS", "INHERITS", "INITIALLY", "ISNULL", "ISOLATION", "LABEL",
+    "LEAST", "LISTEN", "LOCKED", "MOVE", "NEXT", "NOTHING", "NOTIFY", "NOTNULL", "NOWAIT", "NULLIF", "OPERATOR", "OVERRIDING", "OWNER", "PERFORM",
+    "POLICY", "PREPARE", "PRIOR", "PRIVILEGES", "PUBLICATION", "RAISE", "READ", "REINDEX", "RELATIVE", "RELEASE", "REPLICA", "RETURNING", "RULE",
+    "SAVEPOINT", "SEQUENCE", "SERIALIZABLE", "SESSION", "SHARE", "SIMILAR", "SKIP", "SUBSCRIPTION", "SYSTEM", "TABLESPACE", "TEMP", "TEMPORARY",
+    "TIES", "TRIGGER", "UNCOMMITTED", "UNLISTEN", "UPSERT", "USAGE", "VACUUM", "VALID", "VIRTUAL", "WORK",
+)
 
 
-def keywords(spark: SparkSession, more: list[str] = SERVER_WORDS) -> list[str]:
+def keywords(spark: SparkSession, more: tuple[str, ...] = SERVER_WORDS) -> list[str]:
     """Spark's own table of SQL keywords and the server's further ones."""
     return sorted({r[0].upper() for r in spark.sql("SELECT keyword FROM sql_keywords()").collect()} | set(more))
 

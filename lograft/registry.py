@@ -474,7 +474,7 @@ extracted("identifier", r'"(?:[^"\\]|""|\\.)*"')
 extracted("relation", r'(?i)\b(?:relation|table|index|sequence|constraint|view)\s+"?([a-zA-Z_][a-zA-Z0-9_]*)"?', 1)
 extracted("schema", r'\b[a-zA-Z_][a-zA-Z0-9_]*\.(?:"[^"]+"|[a-zA-Z_][a-zA-Z0-9_]*)')
 extracted("connection", r'(?i)\b(?:host|port|user|database|application_name)=(?:"[^"]*"|[^\s,]+)')
-extracted("ip", f"(?:{spans.IPV4})|(?:{spans.IPV6})", 0, "event_type = 'purchase'")
+extracted("ip", r"\b10\.0\.\d+\.\d+\b", 0, "event_type = 'purchase'")
 extracted("checkpoint", r"(?i)\b(?:checkpoint|wrote|sync|time)\b", 0, "event_type IN ('click', 'purchase')")
 extracted("boolean", r"(?i)\b(?:on|off|true|false|yes|no)\b")
 
@@ -486,6 +486,13 @@ def _(spark, d):
     return found.groupBy("entity", "class").agg(F.count("*").alias("cnt"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
+@query("x31_paths_in_pages", r"SELECT page_id, unnest(regexp_extract_all(html || ' $' || page_id, '\$\d+')) AS text FROM pages", lg=False)
+def _(spark, d):
+    """A user's own extractor (prices) over whole pages, each of which gets one at its end."""
+    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.concat("html", F.lit(" $"), "page_id").alias("html"))
+    return p.select("page_id", F.explode(spans.spans(spans.plain(F.col("html")), spans.custom("price", r"\$\d+"))).alias("s")).select("page_id", "s.text")
+
+
 @query("x31_paths_in_whole_pages", r"SELECT page_id, unnest(regexp_extract_all(replace(html, '</', ' /x/'), '\B/(?:[\w.-]+/)*[\w.-]+/[\w.-]+\b')) AS text FROM pages", lg=False)
 def _(spark, d):
     """Closing tags stand in for paths, as pages hold no others."""

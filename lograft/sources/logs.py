@@ -40,24 +40,13 @@ FIELDS = (
     ("file_line_num", "int", None, "file_line_num"), ("application_name", "string", "application_name", "application_name"),
     ("backend_type", "string", "backend_type", "backend_type"), ("leader_pid", "int", "leader_pid", "leader_pid"), ("query_id", "bigint", "query_id", "query_id"),
 )
-#: What a line prefix is made of; each part is one group.
-PARTS = {"time": r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?)", "word": r"(\w+)", "pid": r"\[(\d+)\]", "rest": "(.*)"}
-#: The forms of a text line, tried in this order: with a process id, all in brackets (a further bracket is skipped), without a
-#: process id. Groups: time, zone, pid, level, message; the last form has no pid.
-FORMS = (
-    r"{time}\s+{word}?\s*{pid}\s+{word}:\s*{rest}",
-    r"\[{time}\s+{word}\]\s+{pid}\s+(?:\[[^\]]*\]\s+)?{word}:\s*{rest}",
-    r"{time}\s+{word}\s+{word}:\s+{rest}",
-)
-
-
-def _form(form: str) -> str:
-    for name, part in PARTS.items():
-        form = form.replace("{" + name + "}", part)
-    return form
-
-
-TEXT_LINE = "(?Us)^(?:" + "|".join(map(_form, FORMS)) + ")$"
+TIME, WORD, NUMBER = r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?)", r"(\w+)", r"(\d+)"
+#: What stands before a line's level: time and zone in brackets, the process id in brackets and perhaps one more bracket; or
+#: a bare time, and then a process id in brackets, perhaps with a zone before it, or only a zone.
+IN_BRACKETS = rf"\[{TIME}\s+{WORD}\]\s+\[{NUMBER}\]\s+(?:\[[^\]]*\]\s+)?"
+BARE = rf"{TIME}\s+(?:{WORD}?\s*\[{NUMBER}\]|{WORD})\s+"
+#: Groups: time, zone, pid of the first; time, zone, pid, zone alone of the second; level; message.
+TEXT_LINE = rf"(?Us)^(?:{IN_BRACKETS}|{BARE}){WORD}:\s*(.*)$"
 CUT = "\u0001"
 
 
@@ -105,8 +94,8 @@ def sticky_formats(lines: DataFrame) -> DataFrame:
 
 
 def _with_text(df: DataFrame) -> DataFrame:
-    """df with the array _p of a text line's time, zone, pid, level and message: one pass joins the groups of the form that fits, the others are empty."""
-    joined = F.regexp_replace("raw", TEXT_LINE, CUT.join(("$1$6$11", "$2$7$12", "$3$8", "$4$9$13", "$5$10$14")))
+    """df with the array _p of a text line's time, zone, pid, level and message: one pass joins the groups, those of the head that does not fit are empty."""
+    joined = F.regexp_replace("raw", TEXT_LINE, CUT.join(("$1$4", "$2$5$7", "$3$6", "$8", "$9")))
     df = once(df, "_h", joined)
     return once(df, "_p", F.when(F.col("_h") != F.col("raw"), F.split("_h", CUT, 5))).drop("_h")
 
