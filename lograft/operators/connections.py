@@ -67,6 +67,16 @@ def active_by(sessions: DataFrame) -> DataFrame:
     return named.select(pairs).groupBy("p.dimension", "p.value").agg(F.count("*").alias("cnt"))
 
 
+def summary(events: DataFrame, database: str | None = None, user: str | None = None, application: str | None = None) -> DataFrame:
+    """(section, name, cnt): connects, disconnects, failures and open sessions of all events, and the open sessions that match by database, user, application and host."""
+    kinds = {"connect": "connects", "disconnect": "disconnects", "failed": "failures"}
+    totals = counters(events).select(F.explode(F.array(*[F.struct(F.lit("total").alias("section"), F.lit(n).alias("name"), F.col(n).alias("cnt")) for n in kinds.values()])).alias("t")).select("t.*")
+    sessions = active(events).select(*DIMENSIONS)
+    is_open = sessions.agg(F.lit("total").alias("section"), F.lit("open").alias("name"), F.count("*").alias("cnt"))
+    some = active_by(matching(sessions, database, user, application)).select(F.col("dimension").alias("section"), F.col("value").alias("name"), "cnt")
+    return totals.unionByName(is_open).unionByName(some)
+
+
 def trend(events: DataFrame, as_of: Column, minutes: int = 60, bucket: int = 15) -> DataFrame:
     """bucket_idx (0 is the oldest), connects, disconnects; the future and failures do not count."""
     n = max(1, minutes // bucket)

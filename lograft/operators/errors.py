@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sqlstate
@@ -58,6 +58,24 @@ def examples(logs: DataFrame, code: str, k: int = 5) -> DataFrame:
     return last.select("seq", "timestamp", shortened(F.col("message"), 60).alias("message")).orderBy("seq")
 
 
+def code_summary(logs: DataFrame, code: str, k: int = 5) -> DataFrame:
+    """One row for a code: how often it came, when first and last, and its last k messages, oldest first and cut to 60 characters. Each task keeps k rows at most."""
+    some = tracked(logs).where(F.col("sql_state") == code)
+    total = some.agg(F.count("*").alias("cnt"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
+    last = examples(logs, code, k).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]).alias("messages"))
+    return total.crossJoin(last).select(F.lit(code).alias("code"), "cnt", "first_at", "last_at", "messages")  # of one row each
+
+
+def summary(logs: DataFrame, k: int = 10) -> DataFrame:
+    """(section, name, cnt): errors and warnings in all, each level, and the k most frequent codes (ties by name), from one pass over the rows."""
+    counts = tracked(logs).groupBy("level", F.coalesce("sql_state", F.lit("UNKNOWN")).alias("code")).agg(F.count("*").alias("n"))  # a row for each level and code
+    kind = F.when(F.col("level").isin(*ERRORS), "errors").otherwise("warnings")
+    parts = F.array(*[F.struct(F.lit(section).alias("section"), name.alias("name")) for section, name in (("total", kind), ("level", F.col("level")), ("code", F.col("code")))])
+    sums = counts.select("n", F.explode(parts).alias("p")).groupBy("p.section", "p.name").agg(F.sum("n").alias("cnt"))
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("cnt"), "name"))
+    return sums.withColumn("_place", place).where((F.col("section") != "code") | (F.col("_place") <= k)).select("section", "name", "cnt")
+
+
 def trend(logs: DataFrame, as_of: Column, minutes: int = 60) -> DataFrame:
     """minute_idx (0 is the oldest), cnt for every minute before as_of; ages are cut towards zero, so the last future minute counts as now."""
     age = ((F.unix_micros(as_of) - F.unix_micros("timestamp")) / 60_000_000).cast("int")

@@ -90,6 +90,34 @@ def server(logs: DataFrame, first: int = 50) -> DataFrame:
     return found.agg(F.expr("min_by(version, seq) FILTER (WHERE version IS NOT NULL)").alias("version"), F.expr("min_by(port, seq) FILTER (WHERE port IS NOT NULL)").alias("port"))
 
 
+def custom(names: list[str]) -> Column:
+    """The chosen fields that have a value, blank between them: the time as a clock, the pid in brackets, the level seven wide."""
+    own = {"timestamp": _clock(), "pid": F.when(F.col("pid") != 0, F.concat(F.lit("["), F.col("pid").cast("string"), F.lit("]"))), "level": F.rpad("level", 7, " ")}
+    return F.concat_ws(" ", *[own[n] if n in own else F.nullif(F.col(SHOWN[n]).cast("string"), F.lit("")) for n in names if n in SHOWN])
+
+
+def shown(mode: str = "compact", fmt: str = "text", names: list[str] | None = None) -> Column:
+    """A row as the display settings ask: JSON whatever the mode, else compact, full or custom (with names); other modes are compact."""
+    if fmt == "json":
+        return as_json()
+    if mode == "custom":
+        return custom(names or [])
+    return full() if mode == "full" else compact()
+
+
+def merged(spans: Column) -> Column:
+    """Spans of several patterns (arrays of struct with start and end, in any order) as the places that any of them covers: what overlaps or touches is one."""
+    place = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"))))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))
+        joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
+        return F.when((F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), joined).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(place, none, step)
+
+
 def highlighted(slow: Column, marked: Column, plain: Column) -> Column:
     """What a line is shown as: as a slow query if it is one, else with the user's marks if it has any, else plainly."""
     return F.coalesce(slow, marked, plain)

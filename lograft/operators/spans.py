@@ -214,10 +214,11 @@ def with_region(logs: DataFrame, depth: int | None = None) -> DataFrame:
     return once(once(df, "_low", F.lower("_text")), "_sql", region(F.col("_text")))
 
 
-def annotated(logs: DataFrame, extractors: tuple[Extractor, ...] = EXTRACTORS, depth: int | None = None) -> DataFrame:
-    """One row per span: seq, entity, start, end, text, class, priority."""
+def annotated(logs: DataFrame, extractors: tuple[Extractor, ...] = EXTRACTORS, depth: int | None = None, in_parts: bool = False) -> DataFrame:
+    """One row per span: seq, entity, start, end, text, class, priority. in_parts: entities that have named parts come as these (see parts)."""
     found = with_region(logs, depth).select("seq", "message", F.explode(chain(F.col("_text"), F.col("_sql"), extractors, F.col("_low"))).alias("s"))
-    return found.select("seq", "s.entity", "s.start", "s.end", _own_text(), "s.class", "s.priority")
+    out = found.select("seq", "s.entity", "s.start", "s.end", _own_text(), "s.class", "s.priority")
+    return parts(out) if in_parts else out
 
 
 def _own_text() -> Column:

@@ -13,7 +13,7 @@ from .functions.once import once
 from .operators import alerts, connections, durations, errors, render, spans, windows
 from .plans.spec import FilterSpec, Pattern, export_condition
 from .sources import logs as source
-from .testlog import csv_lines, csv_logs, json_lines, json_logs, mixed_lines, text_lines, text_logs, with_lg
+from .testlog import csv_lines, csv_logs, json_lines, json_logs, logs_of, mixed_lines, text_lines, text_logs, with_lg
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -577,3 +577,63 @@ def _(spark, d):
     from .testlog import _base
 
     return _base(spark, d).select("k").distinct().select("k", text.ago(F.col("k") * 97).alias("age"))
+
+
+@query("a4_summary", f", t AS (SELECT * FROM lg WHERE {TRACKED}) SELECT 'total' AS section, CASE level WHEN 'WARNING' THEN 'warnings' ELSE 'errors' END AS name, count(*) AS cnt FROM t GROUP BY ALL UNION ALL SELECT 'level', level, count(*) FROM t GROUP BY ALL UNION ALL SELECT * FROM (SELECT 'code', coalesce(sql_state, 'UNKNOWN') AS c, count(*) AS n FROM t GROUP BY ALL ORDER BY n DESC, c LIMIT 2)")
+def _(spark, d):
+    return errors.summary(csv_logs(spark, d), 2)
+
+
+@query("a5_code_summary", f", t AS (SELECT * FROM lg WHERE sql_state = '23505' AND {TRACKED}) SELECT '23505' AS code, count(*) AS cnt, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%g') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%g') AS last_at, (SELECT string_agg(CASE WHEN length(message) > 60 THEN substr(message, 1, 60) || '...' ELSE message END, '; ' ORDER BY seq) FROM (SELECT * FROM t ORDER BY seq DESC LIMIT 3)) AS messages FROM t")
+def _(spark, d):
+    found = errors.code_summary(csv_logs(spark, d), "23505", 3)
+    return found.select("code", "cnt", at("first_at").alias("first_at"), at("last_at").alias("last_at"), F.array_join("messages", "; ").alias("messages"))
+
+
+@query("a13_summary", ACTIVE + ", m AS (SELECT * FROM act WHERE database_name = 'db3') SELECT 'total' AS section, name, cnt FROM (SELECT count(*) FILTER (WHERE event_type = 'signup') AS connects, count(*) FILTER (WHERE event_type = 'purchase') AS disconnects, count(*) FILTER (WHERE level = 'FATAL') AS failures FROM lg) UNPIVOT (cnt FOR name IN (connects, disconnects, failures)) UNION ALL SELECT 'total', 'open', count(*) FROM act UNION ALL SELECT 'user', user_name, count(*) FROM m GROUP BY ALL UNION ALL SELECT 'database', database_name, count(*) FROM m GROUP BY ALL UNION ALL SELECT 'application', app, count(*) FROM m GROUP BY ALL UNION ALL SELECT 'host', 'unknown', count(*) FROM m HAVING count(*) > 0")
+def _(spark, d):
+    return connections.summary(connections.events(text_logs(spark, d)), database="db3")
+
+
+@query("p8_dispatch", f"SELECT seq, CASE seq % 4 WHEN 0 THEN {CLOCK} || ' [' || pid || '] ' || rpad(level, 7, ' ') || coalesce(' ' || sql_state, '') || ': ' || message WHEN 1 THEN {CLOCK} || ' [' || pid || '] ' || rpad(level, 7, ' ') || coalesce(' ' || sql_state, '') || ': ' || message || coalesce(chr(10) || '  Application: ' || application_name, '') || chr(10) || '  Database: ' || database_name || chr(10) || '  User: ' || user_name WHEN 2 THEN rpad(level, 7, ' ') || ' [' || pid || ']' || coalesce(' ' || application_name, '') || ' ' || message ELSE level END AS line FROM lg")
+def _(spark, d):
+    """Each row under one of the display settings; of a JSON line its level."""
+    k = F.col("seq") % 4
+    line = F.when(k == 0, render.shown()).when(k == 1, render.shown("full")).when(k == 2, render.shown("custom", names=["level", "pid", "application", "nonsense", "message"]))
+    return csv_logs(spark, d).select("seq", line.otherwise(F.get_json_object(render.shown("full", "json"), "$.level")).alias("line"))
+
+
+@query("p10_merged", "SELECT seq, replace(message, 'key value violates unique constraint \"pk_' || k || '\"', '«key value» «violates unique constraint \"pk_' || k || '»\"') AS line FROM lg WHERE level IN ('ERROR', 'WARNING')")
+def _(spark, d):
+    """Marks of several patterns, of which three overlap or touch."""
+    rows = text_logs(spark, d).where("level in ('ERROR', 'WARNING')").select("seq", "message")
+    m = spans.plain(F.col("message"))
+    found = F.concat(*[spans.spans(m, spans.custom(f"c{n}", p)) for n, p in enumerate(("unique constraint", r'constraint "pk', r"_\d+", "violates unique", "key value"))])
+    return once(rows, "s", render.merged(found)).select("seq", render.marked(F.col("message"), F.col("s")).alias("line"))
+
+
+@query("r13_replay", "SELECT seq, level, seq % 3 AS batch FROM lg WHERE level = 'ERROR'")
+def _(spark, d):
+    """A log stored in three batches: shown up to the second, shown again under another filter, then what came meanwhile."""
+    from .streaming import replay
+
+    path = source.scratch(spark, "stored")
+    arrived = text_logs(spark, d).select("seq", "timestamp", "level", "raw", F.col("seq").alias("place"))
+    view = replay.View(spark, path, FilterSpec().with_levels(["warning"]))
+    for n in range(3):
+        arrived.where(F.col("seq") % 3 == n).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        if n == 0:
+            view.poll()
+        if n == 1:
+            again = view.swap(FilterSpec().with_levels(["error"]))
+    return again.unionByName(view.poll()).select("seq", "level", F.col("batch").cast("bigint").alias("batch"))
+
+
+PART = "SELECT seq, 'timestamp.' || p.n AS entity, CAST(5 + p.o AS INT) AS start, substr(strftime(ts, '%Y-%m-%d %H:%M:%S.%g'), p.o + 1, p.l) AS text FROM lg, (VALUES ('date', 0, 10), ('time', 11, 8), ('ms', 20, 3)) p(n, o, l)"
+
+
+@query("x2_chain_parts", f"{PART} UNION ALL SELECT seq, 'duration', 34, k || ' ms' FROM lg")
+def _(spark, d):
+    """Parts of entities inside the chain of all extractors."""
+    logs = logs_of(spark, d, "'from ' || clock || ' took ' || k || ' ms'")
+    return spans.annotated(logs, in_parts=True).select("seq", "entity", "start", "text")

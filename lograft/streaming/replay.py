@@ -54,6 +54,8 @@ class View:
         return self.spec.apply(self.spark.read.option("basePath", self.path).parquet(*paths))
 
     def _none(self) -> DataFrame:
+        if self.newest() < 0:
+            raise ValueError(f"nothing is stored in {self.path} yet")
         return self.spark.read.parquet(f"{self.path}/batch=0").withColumn("batch", F.lit(0)).where("false")
 
     def poll(self) -> DataFrame:
