@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,11 @@ class Vocabulary:
         pre = spec.get("pre_tokenizer") or {}
         if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("only plain byte-level BPE vocabularies are understood")
+        model, added = spec["model"], spec.get("added_tokens", [])
+        if not pre.get("use_regex", True) or model.get("ignore_merges") or model.get("dropout") or model.get("byte_fallback"):
+            raise ValueError("vocabularies without the usual split, or whose merges are skipped or left to chance, are not understood")
+        if any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+            raise ValueError("added tokens that hold or take white space, or that are whole words only, are not understood")
         vocab = spec["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.size = max(vocab.values()) + 1

@@ -3,8 +3,8 @@
 The stream's keyed state is on disk (RocksDB) and never expires. For each digest of a normalised text it
 keeps the smallest identifier seen, the number of rows and the locator of the file that holds the keeper.
 A hit, a row whose digest is in the state already, counts as a copy only after its full text has been compared
-with the keeper's, which is opened by its locator; rows whose texts differ in spite of one digest are grouped again by
-the text itself.
+with the keeper's: once the stream has ended, the rows of digests that came more than once are grouped again by digest and full
+text. The locator tells which row of which file is the keeper; no file is opened by it.
 """
 
 from __future__ import annotations

@@ -505,3 +505,21 @@ def test_simhash_pieces(monkeypatch):
     whole = simhash.fingerprint(t)
     monkeypatch.setattr(simhash, "PIECE", 100)
     assert simhash.fingerprint(t) == whole == brute_fingerprint(t)
+
+
+@pytest.mark.parametrize(
+    "change",
+    [{"pre_tokenizer": {"use_regex": False}}, {"model": {"ignore_merges": True}}, {"model": {"dropout": 0.1}}, {"added_tokens": [{"content": "<a b>"}]}, {"added_tokens": [{"content": "<a>", "lstrip": True}]}, {"normalizer": {"type": "NFC"}}],
+)
+def test_bpe_refuses_what_it_cannot_split(tmp_path, change):
+    import json
+
+    spec = json.load(open(tokens.default_path(), encoding="utf-8"))
+    for name, value in change.items():
+        if name == "added_tokens":
+            spec[name].append({"id": 50257, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} | value[0])
+        else:
+            spec[name] = (spec.get(name) or {}) | value
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="understood"):
+        bpe.Vocabulary(str(tmp_path / "v.json"))
