@@ -123,3 +123,56 @@ def reordered(logs: DataFrame, by: str | None = None, delay: float = 5, idle: fl
     rows = logs.select((F.col(by).cast("string") if by else F.lit("")).alias("log"), at, "source_file", "seq", F.col("raw").alias("value"))
     out = "log string, at bigint, source_file string, seq bigint, value string, late boolean, place bigint"
     return rows.groupBy("log").applyInPandasWithState(_reorder(int(delay * 1_000_000), int(idle * 1000)), out, HELD, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+CHANGES = "pid int, change int, seq bigint, user string, database string, application string, host string"
+
+
+def _session(forget_ms: int | None):
+    fields = ["user", "database", "application", "host"]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = state.get if state.exists else None  # last seq, whether open, fields
+        if state.hasTimedOut:
+            state.remove()
+            gone = [(key[0], -1, before[0], *before[2:])] if before and before[1] else []
+            yield pd.DataFrame(gone, columns=["pid", "change", "seq", *fields])
+            return
+        rows = pd.concat(list(batches)).astype(object)
+        last = rows.loc[rows["seq"].astype("int64").idxmax()]
+        if before is not None and last["seq"] < before[0]:
+            return  # all older than what is known
+        now = (int(last["seq"]), last["event_type"] == "connect", *[None if pd.isna(last[f]) else last[f] for f in fields])
+        out = [(key[0], -1, now[0], *before[2:])] if before and before[1] else []
+        out += [(key[0], 1, now[0], *now[2:])] if now[1] else []
+        state.update(now)
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
+        yield pd.DataFrame(out, columns=["pid", "change", "seq", *fields])
+
+    return run
+
+
+def session_changes(logs: DataFrame, forget: float | None = None) -> DataFrame:
+    """Sessions that open (change 1) and close (-1) as a stream, append mode: a process's session is open while its last event but failures is a connect.
+
+    State is one row per process. forget: seconds after which a process without events is dropped, and its session closed, so that state does
+    not grow with all processes that ever were. A batch's changes of a process are its net change.
+    """
+    some = connections.events(logs).where("pid is not null and event_type <> 'failed'").select("pid", "seq", "event_type", *connections.DIMENSIONS)
+    known = "seq bigint, open boolean, user string, database string, application string, host string"
+    some = some.select("pid", "seq", "event_type", "user", "database", "application", "host")
+    timeout = GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.ProcessingTimeTimeout
+    return some.groupBy("pid").applyInPandasWithState(_session(None if forget is None else int(forget * 1000)), CHANGES, known, "append", timeout)
+
+
+def by_batch(rows: DataFrame, path: str, checkpoint: str):
+    """The stream that stores each batch of rows as a folder of its own, which a repeated batch replaces; to be started."""
+    return rows.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", checkpoint)
+
+
+def open_by(changes: DataFrame) -> DataFrame:
+    """(dimension, value, cnt) of the sessions that are open after all these changes: sums that are taken before the shuffle."""
+    named = changes.select("change", *[F.coalesce(F.nullif(F.col(d), F.lit("")), F.lit("unknown")).alias(d) for d in connections.DIMENSIONS])
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in connections.DIMENSIONS])).alias("p")
+    return named.select("change", pairs).groupBy("p.dimension", "p.value").agg(F.sum("change").alias("cnt")).where("cnt > 0")

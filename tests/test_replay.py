@@ -48,3 +48,47 @@ def test_swaps_and_pauses(spark, tmp_path):
         q.stop()
     again = replay.View(spark, store, FilterSpec().with_levels(["warning"]))  # later, from the store alone
     assert shown(again.poll()) == [p for p, level, _ in everything if level == "WARNING"]
+
+
+def test_open_sessions_equal_batch_after_each_batch(spark, tmp_path):
+    import random
+
+    from lograft.operators import connections
+    from lograft.sources import logs as source
+
+    r, log, second = random.Random(4), tmp_path / "s.log", 0
+    log.write_text("")
+    changes = jobs.session_changes(jobs.tailed(spark, str(log), position="earliest"))
+    q = jobs.by_batch(changes, str(tmp_path / "changes"), str(tmp_path / "c")).start()
+    try:
+        for _ in range(4):
+            with log.open("a") as f:
+                for _ in range(25):
+                    pid, user, db = r.randint(1, 8), r.choice("ab"), r.choice("xyz")
+                    text = r.choice([f"connection authorized: user={user} database={db} application_name=app", f"disconnection: session time: 0:00:02.000 user={user} database={db} host=h", "password authentication failed"])
+                    f.write(line(pid, "FATAL" if text.startswith("pass") else "LOG", text, second % 60))
+                    second += 1
+            q.processAllAvailable()
+            found = jobs.open_by(spark.read.schema(jobs.CHANGES).parquet(str(tmp_path / "changes")))
+            whole = source.parse(spark.read.text(str(log)).selectExpr("value", "'s.log' source_file", "monotonically_increasing_id() seq"), "text")
+            want = connections.active_by(connections.active(connections.events(whole)))
+            assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        q.stop()
+
+
+def test_forgotten_processes(spark, tmp_path):
+    import time
+
+    log = tmp_path / "f.log"
+    log.write_text(line(1, "LOG", "connection authorized: user=a database=d"))
+    q = jobs.by_batch(jobs.session_changes(jobs.tailed(spark, str(log), position="earliest"), forget=2), str(tmp_path / "changes"), str(tmp_path / "c")).start()
+    try:
+        for _ in range(80):
+            time.sleep(0.5)
+            found = [x.change for x in spark.read.schema(jobs.CHANGES).parquet(str(tmp_path / "changes")).collect()] if (tmp_path / "changes").exists() else []
+            if len(found) == 2:
+                break
+        assert sorted(found) == [-1, 1]
+    finally:
+        q.stop()
