@@ -82,16 +82,17 @@ class FilterSpec:
         return anchor or FilterSpec()
 
     def condition(self) -> Column:
+        """For where: terms joined by AND, in which null drops a row; comparisons stay bare, so that Spark pushes them into stored tables."""
         terms = []
         if self.since is not None:
-            terms.append(F.coalesce(F.col("timestamp") >= utc(self.since), F.lit(False)))
+            terms.append(F.col("timestamp") >= utc(self.since))
         if self.until is not None:
-            terms.append(F.coalesce(F.col("timestamp") <= utc(self.until), F.lit(False)))
+            terms.append(F.col("timestamp") <= utc(self.until))
         if self.levels is not None:
             terms.append(F.col("level").isin(*sorted(self.levels)))
         for column, value in self.fields:
             same = F.col(column).cast("string") == value if column == "pid" else F.lower(column) == value.lower()
-            terms.append(F.coalesce(same, F.lit(False)))
+            terms.append(same)
         if self.include:
             terms.append(reduce(lambda a, b: a | b, [p.of(F.col("raw")) for p in self.include]))
         terms += [~p.of(F.col("raw")) for p in self.exclude] + [p.of(F.col("raw")) for p in self.every]

@@ -187,3 +187,13 @@ def test_files_of_one_name_have_formats_of_their_own(spark, tmp_path):
     (tmp_path / "b" / "x.log").write_text('{"timestamp":"2024-01-15 10:30:45.123 UTC","error_severity":"ERROR","message":"json line"}\n')
     found = logs.parse_logs(logs.read_lines(spark, [str(tmp_path / "a"), str(tmp_path / "b")])).collect()
     assert {(r.source_file, r.format, r.level, r.message) for r in found} == {("x.log", "text", "LOG", "text line"), ("x.log", "json", "ERROR", "json line")}
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    """Times, levels and fields of a filter are pushed into a stored log."""
+    logs.parse(lines(spark, ["2024-01-15 10:30:45 UTC [1] ERROR:  x", "no time"]), "text").write.parquet(str(tmp_path / "t"))
+    spec = FilterSpec().with_time("2024-01-15T00:00:00Z").with_levels(["error"]).with_field("pid", "1").with_pattern("-/y/")
+    found = spec.apply(spark.read.parquet(str(tmp_path / "t")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(timestamp" in plan and "EqualTo(level,ERROR)" in plan
+    assert [r.message for r in found.collect()] == ["x"]
