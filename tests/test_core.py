@@ -192,8 +192,10 @@ def test_files_of_one_name_have_formats_of_their_own(spark, tmp_path):
 def test_filters_reach_the_scan(spark, tmp_path):
     """Times, levels and fields of a filter are pushed into a stored log."""
     logs.parse(lines(spark, ["2024-01-15 10:30:45 UTC [1] ERROR:  x", "no time"]), "text").write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     spec = FilterSpec().with_time("2024-01-15T00:00:00Z").with_levels(["error"]).with_field("pid", "1").with_pattern("-/y/")
     found = spec.apply(spark.read.parquet(str(tmp_path / "t")))
     plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(timestamp" in plan and "EqualTo(level,ERROR)" in plan
     assert [r.message for r in found.collect()] == ["x"]
