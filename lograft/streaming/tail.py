@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import glob
 import os
+import stat
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -39,6 +40,21 @@ def state_of(path: str) -> dict | None:
         return None
 
 
+def expand(pattern: str) -> list[str]:
+    """The files of a glob, those written last first (ties by path); a path without *, ? or [ as it is. Files that vanish meanwhile are left out."""
+    if not glob.has_magic(pattern):
+        return [os.path.abspath(pattern)]
+    found = []
+    for path in glob.glob(pattern, recursive=True):
+        try:
+            s = os.stat(path)
+        except OSError:
+            continue
+        if stat.S_ISREG(s.st_mode):
+            found.append((-s.st_mtime_ns, os.path.abspath(path)))
+    return [path for _, path in sorted(found)]
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.pattern = options["path"]
@@ -46,8 +62,7 @@ class TailReader(DataSourceStreamReader):
         self.newcomers_latest = options.get("newfiles", "latest" if self.latest else "earliest") == "latest"
 
     def _now(self) -> dict:
-        paths = sorted(glob.glob(self.pattern, recursive=True)) if glob.has_magic(self.pattern) else [self.pattern]
-        found = {os.path.abspath(p): state_of(p) for p in paths}
+        found = {p: state_of(p) for p in expand(self.pattern)}
         return {p: s for p, s in found.items() if s is not None}
 
     def initialOffset(self) -> dict:

@@ -125,6 +125,17 @@ def test_stream_over_a_switch(spark, tmp_path):
     assert found == sorted(["a1", "a2", *[f"{k}{x}" for k in range(3) for x in "xyz"]])
 
 
+def test_globs_are_newest_first(tmp_path):
+    from lograft.streaming.tail import expand
+
+    for k, name in enumerate(["b.log", "a.log", "c.log", "d.txt"]):
+        add(tmp_path / name, "x")
+        os.utime(tmp_path / name, (100 + k // 2, 100 + k // 2))
+    (tmp_path / "e.log").mkdir()
+    assert [os.path.basename(p) for p in expand(str(tmp_path / "*.log"))] == ["c.log", "a.log", "b.log"]
+    assert expand(str(tmp_path / "gone.log")) == [str(tmp_path / "gone.log")]
+
+
 def test_status(spark, tmp_path, monkeypatch):
     path = tmp_path / "s.log"
     reader = follow.StatusReader({"path": str(path)})
