@@ -7,6 +7,7 @@ move it hundreds of times over, so only suffixes that can meet are sorted:
    equal offsets. Successive windows with one anchor form a zone, about one per 85 bytes. Anchors that occur once are
    dropped. The other zones are counted by a digest, and Spark groups them by all their bytes to check it: two equal
    zones repeat each other as a whole. Digests that stand for different bytes are looked up by the bytes instead.
+   Text of a short period gives one equal zone after the other; such a run, compared by its bytes, is one row.
 2. The different zones that share an anchor are brought together, and the suffixes at their window starts are sorted by
    a mergesort. Two suffixes are compared by the longest common extension, found by binary search over prefix polynomial
    hashes, and the byte after it. Neighbours with a common extension of a whole window repeat each other, after their
@@ -31,6 +32,8 @@ from .common import discard, load, release, runs, ship, whole_text, written
 GRAM = 32
 #: Bytes hashed at once; bytes sorted at once; different zones above which a group is dealt further before its sort.
 CHUNK, SORTED, CROWD = 1 << 19, 1 << 18, 2048
+#: Bytes of a text whose zones are cut in one row.
+BLOCK = 1 << 17
 BASE = 0x9E3779B97F4A7C15
 WINDOW = 200
 
@@ -129,8 +132,18 @@ def zone_digest(part: bytes, shape: int) -> int:
     return xxhash.xxh3_64_intdigest(part, seed=shape)
 
 
+def run_starts(buf: bytes, key, digests, shape, row, first, counts, window: int) -> np.ndarray:
+    """Which zones begin a run: those that do not equal the zone just before them in their text, byte for byte."""
+    new = np.ones(len(key), bool)
+    alike = (key[1:] == key[:-1]) & (digests[1:] == digests[:-1]) & (shape[1:] == shape[:-1]) & (row[1:] == row[:-1]) & (first[1:] == first[:-1] + counts[:-1])
+    for k in (np.flatnonzero(alike) + 1).tolist():
+        a, b, n = int(first[k - 1]), int(first[k]), int(counts[k]) + window - 1
+        new[k] = buf[a : a + n] != buf[b : b + n]
+    return new
+
+
 def _zones(window: int, digest):
-    """Texts -> the anchors and digests of their zones, their texts, places and shapes (offset of the anchor, windows)."""
+    """Texts -> the anchors and digests of their zones, their texts, places, shapes (offset of the anchor, windows) and how many equal ones follow each other."""
 
     def run(batches):
         for batch in batches:
@@ -148,8 +161,11 @@ def _zones(window: int, digest):
                 # Texts of no bytes share their start with the next one, which is the last with that start.
                 row = np.searchsorted(begin, first, side="right") - 1
                 at = first - begin[row] + np.array([r[2] for r in rows])[row]
-                cols = [pa.array(key), pa.array(digests.view(np.int64)), pa.array([rows[k][0] for k in row.tolist()], pa.int64()), pa.array(at), pa.array(shape.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["akey", "digest", "rid", "at", "shape"])
+                head = np.flatnonzero(run_starts(buf, key, digests, shape, row, first, count, window))
+                times = np.diff(np.append(head, len(key)))
+                rids = pa.array([rows[k][0] for k in row[head].tolist()], pa.int64())
+                cols = [pa.array(key[head]), pa.array(digests.view(np.int64)[head]), rids, pa.array(at[head]), pa.array(shape[head].astype(np.int32)), pa.array(times.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, ["akey", "digest", "rid", "at", "shape", "times"])
 
     return run
 
@@ -391,7 +407,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), te
 
     Texts are UTF-8 bytes, null ones empty; matches never cross documents. Every row is a document of its own, whatever
     its doc_id. Repeated rows repeat each other, so all their bytes within windows go; shorter texts stay as they are, and
-    long ones are read in overlapping parts. Columns named like those of the result cannot be carried; others are not
+    long ones are read in overlapping parts and cut in blocks, those of one byte or a short period too. Columns named like those of the result cannot be carried; others are not
     looked at. An empty table gives an empty result. The window is 33 to 200 bytes. crowd: different zones of a group above
     which it is dealt further; digest: (bytes, shape) to 64 bits; both change the work only.
     """
@@ -401,8 +417,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), te
     ship(spark)
     rows = written(docs.select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("_data"), *carry), "texts")
     data = rows.select(F.col("_rid").alias("rid"), F.col("_data").alias("data"))
-    every = written(data.mapInArrow(_zones(window, digest), "akey long, digest long, rid long, at long, shape int"), "all-zones")
-    classes = written(every.groupBy("akey", "digest").agg(F.count("*").alias("n")), "zone-classes")
+    every = written(data.mapInArrow(_zones(window, digest), "akey long, digest long, rid long, at long, shape int, times long"), "all-zones")
+    classes = written(every.groupBy("akey", "digest").agg(F.sum("times").alias("n")), "zone-classes")
     release(spark)
     shared = classes.groupBy("akey").agg(F.sum("n").alias("all")).where("all > 1").select("akey")
     shared = written(classes.join(shared, "akey"), "shared-classes")
@@ -413,23 +429,26 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = (), te
     discard(shared)
     release(spark)
 
-    # The bytes of the zones: a row's list is bounded by its own text.
-    lists = zones.groupBy("rid").agg(F.collect_list(F.struct("akey", "digest", "at", "shape", "n")).alias("zones"))
+    # The bytes of the zones, block by block of the texts, so that no row's list grows with its text.
+    block = lambda col: F.floor(col / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), block(F.length("data"))), lambda k: F.struct(k.alias("block"), F.substring(F.col("data"), k * BLOCK + 1, F.lit(BLOCK + 2 * window)).alias("data")))
+    lists = zones.groupBy("rid", block(F.col("at")).alias("block")).agg(F.collect_list(F.struct("akey", "digest", "at", "shape", "times", "n")).alias("zones"))
     size = lambda shape: shape.bitwiseAND(255) + F.lit(window - 1)
-    part = lambda z: F.substring(F.col("data"), (z["at"] + 1).cast("int"), size(z["shape"]))
-    cut = data.join(lists, "rid").select("rid", F.transform("zones", lambda z: F.struct(z["akey"], z["digest"], z["shape"], z["at"], z["n"], part(z).alias("bytes"))).alias("z"))
+    part = lambda z: F.substring(F.col("data"), (z["at"] % BLOCK + 1).cast("int"), size(z["shape"]))
+    cut = data.select("rid", F.inline(blocks)).join(lists, ["rid", "block"])
+    cut = cut.select("rid", F.transform("zones", lambda z: F.struct(z["akey"], z["digest"], z["shape"], z["at"], z["times"], z["n"], part(z).alias("bytes"))).alias("z"))
     # Written, so that the texts' shuffle files can go before the zones are shuffled.
-    cut = written(cut.select("rid", F.inline("z").alias("akey", "digest", "shape", "at", "n", "bytes")), "cut-zones")
+    cut = written(cut.select("rid", F.inline("z").alias("akey", "digest", "shape", "at", "times", "n", "bytes")), "cut-zones")
     release(spark)
     key = ["akey", "digest", "shape", "bytes"]
     # A zone without another of its digest is a kind of its own; only the others are grouped by their bytes.
-    many = cut.where("n > 1").groupBy(*key).agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min("at").alias("at"))
+    many = cut.where("n > 1").groupBy(*key).agg(F.sum("times").alias("n"), F.min("rid").alias("rid"), F.min("at").alias("at"))
     many = written(many, "zone-kinds")
-    kinds = many.unionByName(cut.where("n = 1"))
+    kinds = many.unionByName(cut.where("n = 1").drop("times"))
     release(spark)
 
     # Zones that occur more than once as a whole; a digest of several kinds says nothing.
-    span = lambda df: df.select("rid", F.col("at").alias("from"), (F.col("at") + size(F.col("shape"))).alias("to"))
+    span = lambda df: df.select("rid", F.col("at").alias("from"), (F.col("at") + F.col("shape").bitwiseAND(255) * F.col("times") + (window - 1)).alias("to"))
     several = zones.where("n > 1")
     unclear = many.groupBy("akey", "digest").agg(F.count("*").alias("kinds")).where("kinds > 1").select("akey", "digest")
     clear = unclear.isEmpty()
