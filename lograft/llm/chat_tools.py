@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, ship, written
+from .common import load, scratch, ship, written
 
 ITEMS = "conv_id long, turn long, kind string, role string, call_id string, name string, arguments string, content string, after array<string>"
 TYPES = {
@@ -127,40 +127,53 @@ def _serialised(schemas: dict[str, dict]):
     return run
 
 
+#: More than any chain is long; lengths around a cycle stop growing here.
+FAR = 1 << 60
+
+
 def _ordered(calls: DataFrame) -> DataFrame:
     """calls (conv_id, call_id, turn, after), one row per id -> (conv_id, call_id, at_turn, at_step): behind all that they depend on.
 
-    Calls that wait for none are placed first and set those free that wait for them only, round by round: as many rounds as
-    the longest chain. What is left at the end stands on a cycle or behind one, and keeps its own place.
+    A call's place is the greatest of its own and, for each call it needs, that one's place and a step. Every round doubles
+    the pointers: what a call needs is replaced by what that one needs, if that is one call, and settled if that needs none;
+    pointers that then agree become one. A chain of n calls takes about log2(n) rounds, and so do trees and chains of diamonds; only
+    where calls keep needing several different ones is a round needed for each of them in a row. Rows never become more. A round
+    that saves no pointer ends it: what is left stands on a cycle or behind one, and keeps its own place.
     """
-    columns = ["conv_id", "call_id", "at_turn", "at_step"]
-    calls = calls.select("conv_id", "call_id", F.col("turn").alias("at_turn"), F.lit(0).cast("long").alias("at_step"), "after")
-    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("on")).where("on is not null and on <> call_id")
-    edges = written(edges.join(calls.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"]), "call-edges")  # unknown identifiers bind nobody
-    if edges.isEmpty():
-        return calls.select(*columns)
-    key = ["conv_id", "call_id"]
-    waiting = written(calls.select(*columns).join(edges.groupBy(*key).agg(F.count("*").alias("missing")), key), "calls-waiting")
-    ready = written(calls.select(*columns).join(edges.select(*key), key, "left_anti"), "calls-ready")
-    placed = ready
+    spark = calls.sparkSession
+    key, columns = ["conv_id", "call_id"], ["conv_id", "call_id", "at_turn", "at_step"]
+    schema = "conv_id long, call_id string, turn long, at struct<turn:long,step:long>, needs array<struct<on:string,steps:long>>"
+    edges = calls.select(*key, F.explode(F.array_distinct("after")).alias("on")).where("on is not null and on <> call_id")
+    edges = edges.join(calls.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"])  # unknown identifiers bind nobody
+    needs = edges.groupBy(*key).agg(F.collect_list(F.struct("on", F.lit(1).cast("long").alias("steps"))).alias("needs"))
+    at = F.struct(F.col("turn"), F.lit(0).cast("long").alias("step")).alias("at")
+    state = calls.select(*key, "turn", at).join(needs, key, "left").withColumn("needs", F.coalesce("needs", F.array().cast("array<struct<on:string,steps:long>>")))
+    root, last, k = scratch(spark, "calls"), None, 0
     while True:
-        # What the calls placed last mean to those that wait for them.
-        freed = edges.join(ready.select("conv_id", F.col("call_id").alias("on"), F.struct("at_turn", "at_step").alias("theirs")), ["conv_id", "on"])
-        freed = freed.groupBy(*key).agg(F.count("*").alias("met"), F.max("theirs").alias("behind"))
-        now = waiting.join(freed, key, "left")
-        later = F.col("behind") >= F.struct("at_turn", "at_step")
-        now = written(
-            now.select(
-                *key, F.when(later, F.col("behind.at_turn")).otherwise(F.col("at_turn")).alias("at_turn"), F.when(later, F.col("behind.at_step") + 1).otherwise(F.col("at_step")).alias("at_step"),
-                (F.col("missing") - F.coalesce("met", F.lit(0))).alias("missing"),
-            ),
-            "calls-waiting",
-        )
-        ready, waiting = now.where("missing = 0").select(*columns), now.where("missing > 0")
-        if ready.isEmpty():
-            stuck = waiting.select(*key).join(calls.select(*columns), key)
-            return placed.unionByName(stuck)
-        placed = placed.unionByName(ready)
+        # A round's file holds the calls that still waited before it: those that need none now have found their place.
+        state.write.parquet(f"{root}/round={k}")
+        state = spark.read.schema(schema).parquet(f"{root}/round={k}")
+        left = state.agg(F.sum(F.size("needs")).alias("n")).first().n or 0
+        if left == 0 or left == last:
+            break
+        last = left
+        waiting = state.where("size(needs) > 0")
+        known = spark.read.schema(f"{schema}, round int").parquet(root).where(f"size(needs) = 0 or round = {k}")
+        theirs = known.select("conv_id", F.col("call_id").alias("on"), F.col("at").alias("their_at"), F.col("needs").alias("their_needs"))
+        pointers = waiting.select(*key, F.inline("needs").alias("on", "steps")).join(theirs, ["conv_id", "on"])
+        few = F.size("their_needs") < 2
+        far = lambda x: F.least(x, F.lit(FAR))
+        gained = F.when(few, F.struct(F.col("their_at.turn").alias("turn"), far(F.col("their_at.step") + F.col("steps")).alias("step")))
+        to = F.when(few, F.get("their_needs", F.lit(0))["on"]).otherwise(F.col("on"))
+        steps = F.when(few, far(F.get("their_needs", F.lit(0))["steps"] + F.col("steps"))).otherwise(F.col("steps"))
+        moved = pointers.select(*key, to.alias("on"), steps.alias("steps"), gained.alias("gained"))
+        moved = moved.groupBy(*key, "on").agg(F.max("steps").alias("steps"), F.max("gained").alias("gained"))
+        moved = moved.groupBy(*key).agg(F.collect_list(F.when(F.col("on").isNotNull(), F.struct("on", "steps"))).alias("now"), F.max("gained").alias("gained"))
+        state = waiting.join(moved, key).select(*key, "turn", F.greatest("at", "gained").alias("at"), F.col("now").alias("needs"))
+        k += 1
+    placed = spark.read.schema(schema).parquet(root).where("size(needs) = 0").select(*key, F.col("at.turn").alias("at_turn"), F.col("at.step").alias("at_step"))
+    stuck = state.where("size(needs) > 0").select(*key, F.col("turn").alias("at_turn"), F.lit(0).cast("long").alias("at_step"))
+    return placed.select(*columns).unionByName(stuck)
 
 
 def link(items: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -168,7 +181,7 @@ def link(items: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
     items has the columns of ITEMS; kind is call, result or message. A call links to the earliest result with its id, a
     result to the earliest call; null ids or conversations never link. Of several calls with one id the earliest counts for
-    links, and the others keep their places. Calls on a cycle of dependences, or behind one, keep theirs. valid is null but
+    links, and the others keep their places. Calls on a cycle of dependences, or behind one, keep theirs, as do calls without a turn. valid is null but
     for calls; a name without schema, text that is no JSON, repeated keys, lone surrogates, numbers out of range and
     nesting beyond DEPTH levels are not valid, and such text is kept as a string. Long texts are kept whole. Repeated rows
     give repeated rows; an empty table gives an empty result.

@@ -407,6 +407,19 @@ def test_chat_order_is_topological(spark):
     assert [found[i] for i in ("p", "q", "s", "self")] == [(50, 0), (51, 0), (52, 0), (53, 0)]
 
 
+def test_chat_rounds_grow_with_the_logarithm(spark, monkeypatch, tmp_path):
+    """A chain of 2,000 calls, one of 500 diamonds, a cycle of three with a tail of 100, all in one conversation; and nulls."""
+    monkeypatch.setattr(chat_tools, "scratch", lambda spark, name: f"file://{tmp_path}/{name}")
+    calls = [(k, f"n{k}", "{}", [f"n{k + 1}"]) for k in range(2000)]
+    calls += [(3000 + k, f"d{k}", "{}", [f"d{k + 1}a", f"d{k + 1}b"]) for k in range(500)] + [(4000 + k, f"d{k}{x}", "{}", [f"d{k}"]) for k in range(1, 501) for x in "ab"]
+    calls += [(6000 + k, f"c{k}", "{}", [f"c{k + 1}" if k < 102 else "c100"]) for k in range(103)] + [(None, "no turn", "{}", ["n1999"])]
+    found = {x.call_id: (x.order_turn, x.order_step) for x in chat_tools.link(chat(spark, calls), {}).collect()}
+    assert all(found[f"n{k}"] == (1999, 1999 - k) for k in range(2000)) and found["no turn"] == (None, 0)
+    assert found["d0"] == (4500, 999) and found["d499"] == (4500, 1) and found["d250a"] == (4500, 500) and found["d500a"] == found["d500b"] == (4500, 0)
+    assert all(found[f"c{k}"] == (6000 + k, 0) for k in range(103))
+    assert len(list((tmp_path / "calls").glob("round=*"))) < 15
+
+
 # 9
 
 
