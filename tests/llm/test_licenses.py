@@ -66,3 +66,28 @@ def test_score_is_the_share_of_what_is_detected(spark):
         base = sum(len(p) * low.count(p) for p, _ in licenses.BASE)
         assert r.score == pytest.approx(min(1, max(sum(inside), base) / max(1, len(low)))), r.text
         assert (r.doc_id == 3) == (r.score == 0)
+
+
+def test_own_words_stand_in_every_match_and_are_shared_by_few_rules():
+    import re
+    from collections import Counter
+
+    table = licenses.signatures()
+    guarded = Counter((r.keyword, r.own) for r in table)
+    assert max(guarded.values()) <= 20, guarded.most_common(3)
+    assert len(licenses.CLAUSES) + len(licenses.SHORT) >= 200
+    for r in table:
+        # What a match cannot do without, written down from the pattern: its words outside optional parts.
+        plain = re.sub(r"\\(.)", r"\1", r.pattern)
+        assert r.own in plain and r.keyword in plain.replace("licen[sc]", "licen"), r
+
+
+CLAUSE_TEXTS = [" ".join(words.replace("~", "x y").split()) for _, words in licenses.CLAUSES]
+
+
+def test_every_clause_is_found_in_a_text_of_its_own(spark):
+    """Upper case, line ends and marks between the words, as in licence headers."""
+    texts = [t.upper().replace(" ", ",\n * ", 2) for t in CLAUSE_TEXTS]
+    found = {r.doc_id: r for r in licenses.scan(table(spark, list(enumerate(texts)))).collect()}
+    for k, (label, words) in enumerate(licenses.CLAUSES):
+        assert label in found[k].labels, words
