@@ -1,5 +1,6 @@
 """The near stage's links against brute-force Jaccard of five-word shingles."""
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -71,3 +72,26 @@ def test_pieces_of_any_width(monkeypatch):
     whole = similar.shingles(t).tolist()
     monkeypatch.setattr("lograft.llm.simhash.PIECE", 100)
     assert similar.shingles(t).tolist() == whole and len(whole) == len(sets(t))
+
+
+def test_fingerprints_are_majorities():
+    found = similar.shingles(words(7, 700))
+    first = int(similar.fingerprint(found)[0])
+    assert [first >> k & 1 for k in range(64)] == [int(2 * sum(int(h) >> k & 1 for h in found) > len(found)) for k in range(64)]
+    assert len(found) > similar.COUNTED and not similar.fingerprint(found[:0]).any()
+
+
+@pytest.mark.parametrize("room", [1 << 16, 16])
+def test_candidates_are_fingerprints_within_the_radius(spark, monkeypatch, room):
+    monkeypatch.setattr(similar, "ROOM", room)
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 2, (40, 256))
+    for k in range(20):  # 10 + 5 k bits flipped: those of up to 75 are near
+        bits[20 + k] = bits[k]
+        bits[20 + k, rng.choice(256, 10 + 5 * k, replace=False)] ^= 1
+    signed = np.packbits(bits, axis=1).view(np.int64)
+    rows = spark.createDataFrame([(k, *map(int, w)) for k, w in enumerate(signed)], "fp long, s0 long, s1 long, s2 long, s3 long")
+    found = {(r.a, r.b) for r in similar.near_links(rows).collect()}
+    near = {(k, 20 + k) for k in range(20) if 10 + 5 * k <= similar.RADIUS and (bits[k] ^ bits[20 + k])[:128].sum() <= similar.HALF}
+    buckets = [{(w, j, int(s) >> 7 * j & 127) for w, s in enumerate(x.view(np.uint64)) for j in range(9)} for x in signed]
+    assert found == {(a, b) for a, b in near if buckets[a] & buckets[b]} and len(found) > 8
