@@ -21,7 +21,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"LGI2"
-BLOCK = 4096
+BLOCK = 2048
 #: Blocks coded side by side; bounds the memory of the tables.
 LANES = 2048
 #: Ids below LIMIT can be coded; the distribution's shares sum to SCALE.

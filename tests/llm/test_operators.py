@@ -266,6 +266,13 @@ def test_codec(ids, block):
         idcodec.encode(np.array([idcodec.LIMIT]))
 
 
+def test_blocks_are_short_and_longer_ones_are_read():
+    """A file of 100,000 ids has 49 blocks to be coded side by side; files of the former 4096 ids a block are read too."""
+    ids = np.random.default_rng(4).integers(0, 50_000, 100_000)
+    assert int.from_bytes(idcodec.encode(ids)[8:12], "little") == 49
+    assert (idcodec.decode(idcodec.encode(ids, 4096)) == ids).all()
+
+
 def test_checksums_hold():
     data = bytearray(idcodec.encode(np.arange(9000) % 4000))
     data[-60] ^= 16
