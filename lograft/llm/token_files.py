@@ -22,32 +22,39 @@ from .tokens import default_path, encoder
 #: Ids after which a file is closed; a document never spans two files.
 FILE_IDS = 8 << 20
 SCHEMA = "part int, nth int, n_ids long, doc_ids array<long>, counts array<long>, data binary"
-END = b"\0\0\0\0"
+END = 0
 
 
 def _files(path: str, file_ids: int):
     def run(batches):
         part, nth = TaskContext.get().partitionId(), 0
-        encode = encoder(path).encode
+        encode = encoder(path).encode_column
         ids, docs, counts, held = [], [], [], 0
 
         def close():
             nonlocal ids, docs, counts, held, nth
-            data = idcodec.encode(np.frombuffer(b"".join(ids), "<u4"))
+            data = idcodec.encode(np.concatenate(ids))
             row = [pa.array([x], t) for x, t in ((part, pa.int32()), (nth, pa.int32()), (held, pa.int64()), (docs, pa.list_(pa.int64())), (counts, pa.list_(pa.int64())), (data, pa.binary()))]
             ids, docs, counts, held, nth = [], [], [], 0, nth + 1
             return pa.RecordBatch.from_arrays(row, ["part", "nth", "n_ids", "doc_ids", "counts", "data"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = encode(text.as_py()) + END
-                n = len(found) // 4
+            found, sizes = encode(batch.column(1))
+            found = np.insert(found, np.cumsum(sizes), END)
+            names, sizes = batch.column(0).to_pylist(), (sizes + 1).tolist()
+            begin = at = first = 0  # what of found, and which document of the batch, the open file begins with
+            for k, n in enumerate(sizes):
                 if held and held + n > file_ids:
+                    ids.append(found[begin:at])
+                    docs += names[first:k]
+                    counts += sizes[first:k]
                     yield close()
-                ids.append(found)
-                docs.append(doc)
-                counts.append(n)
+                    begin, first = at, k
                 held += n
+                at += n
+            ids.append(found[begin:])
+            docs += names[first:]
+            counts += sizes[first:]
         if docs:
             yield close()
 
@@ -69,14 +76,14 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, file_ids: in
 def _documents(batches):
     for batch in batches:
         for k in range(batch.num_rows):
-            docs, counts = (np.array(batch[c][k].as_py(), dtype=object if c == "doc_ids" else np.int64) for c in ("doc_ids", "counts"))
-            ids = idcodec.decode(batch["data"][k].as_buffer().to_pybytes()).tobytes()
+            docs, counts = batch["doc_ids"][k].values, batch["counts"][k].values.to_numpy()
+            ids = memoryview(idcodec.decode(batch["data"][k].as_buffer().to_pybytes())).cast("B")
             ends = np.cumsum(counts)
             starts = ends - counts
             sums = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             n = len(docs)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, batch["part"][k].as_py(), np.int32)), pa.array(np.full(n, batch["nth"][k].as_py(), np.int32)), pa.array(docs.tolist(), pa.int64()), pa.array(starts), pa.array(counts), pa.array(sums, pa.int64())],
+                [pa.array(np.full(n, batch["part"][k].as_py(), np.int32)), pa.array(np.full(n, batch["nth"][k].as_py(), np.int32)), docs, pa.array(starts), pa.array(counts), pa.array(sums, pa.int64())],
                 ["part", "nth", "doc_id", "inside", "n_tokens", "ids_crc32"],
             )
 

@@ -15,6 +15,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks kept per worker, in each of two generations.
 KEEP = 200_000
+#: Distinct pieces kept by encode_column, in each of two generations.
+KEEP_PIECES = 400_000
 #: Blanks with no white space on either side.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Bytes that may begin white space other than blanks and line feeds.
@@ -27,6 +29,25 @@ MARKS = """!"#$%&()*+,-./:;<=>?@[]^_`{|}~"""
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Kinds of bytes for encode_column: any byte whose meaning is not plain from itself is ODD. Bytes from 0x80 to 0xBF and 0xC3
+#: are letters, since what another first byte begins is odd anyway; the two marks among 0xC3's characters are looked for.
+BLANK, FEED, LETTER, DIGIT, MARK, ODD = range(6)
+
+
+def _kind(b: int) -> int:
+    c = chr(b)
+    if c in " \n":
+        return BLANK if c == " " else FEED
+    if 0x80 <= b < 0xC0 or b == 0xC3 or (b < 0x80 and c.isalpha()):
+        return LETTER
+    return DIGIT if c.isascii() and c.isdigit() else MARK if c in MARKS and c != "'" else ODD
+
+
+KINDS = bytes(map(_kind, range(256)))
+#: Bytes that begin no white space: of visible ASCII, and first bytes but 0xC2 and 0xE1 to 0xE3.
+FULL = bytes(0x20 < b < 0x7F or (b >= 0xC3 and not 0xE1 <= b <= 0xE3) for b in range(256))
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -61,6 +82,8 @@ class Encoder:
         self.feed = self._pretoken("\n") if self.bytewise else b""
         self.later: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # the generation before
+        self.pieces: dict[bytes, bytes] = {}
+        self.old_pieces: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         import numpy as np
@@ -125,6 +148,116 @@ class Encoder:
         return head + b"".join(found)
 
 
+    def _cut(self, data: bytes, begins):
+        """Where pieces of texts begin that stand in data one after the other, and which are pretokens, by kinds of bytes.
+
+        A pretoken begins at every blank with a character behind it that is no white space. From one such blank to the next,
+        a piece is a pretoken, or all of it where something in it is odd: white space of other forms, an apostrophe, another
+        script, a special token.
+        """
+        import numpy as np
+
+        raw, kind = np.frombuffer(data, np.uint8), np.frombuffer(bytearray(data.translate(KINDS)), np.uint8)
+        lead = np.flatnonzero(raw[:-1] == 0xC3)
+        kind[lead[(raw[lead + 1] == 0x97) | (raw[lead + 1] == 0xB7)]] = ODD
+        for t in self.added:
+            at = data.find(t.encode())
+            while at >= 0:
+                kind[at] = ODD
+                at = data.find(t.encode(), at + 1)
+        n = len(raw)
+        start = np.zeros(n + 1, bool)
+        start[begins] = True
+        first, last = start[:n], start[1:].copy()  # of a text
+        last[n - 1] = True
+        inner = kind == FEED
+        inner &= ~(first | last)
+        blanks = np.flatnonzero(kind == BLANK)
+        cuts = blanks[~last[blanks]]
+        cuts = cuts[np.frombuffer(FULL, bool)[raw[cuts + 1]]]
+        start[cuts] = True
+        chunks = np.flatnonzero(first)
+        # Odd chunks: those with an odd byte or a blank that is no cut.
+        kind[blanks] = ODD
+        kind[cuts] = BLANK
+        odd = np.zeros(len(chunks), bool)
+        odd[np.searchsorted(chunks, np.flatnonzero(kind == ODD), "right") - 1] = True
+        # Pretokens begin where the kind changes, but behind a blank; the last of several line feeds is one of its own.
+        inside = kind[1:] != kind[:-1]
+        inside &= kind[:-1] != BLANK
+        feeds = np.flatnonzero(inner)
+        inside[feeds[(kind[feeds - 1] == FEED) & (kind[feeds + 1] > FEED)] - 1] = True
+        odd = np.repeat(odd, np.diff(chunks, append=n))
+        inside &= ~odd[1:]
+        first[1:] |= inside
+        where = np.flatnonzero(first)
+        return where, ~odd[where]
+
+    def _found(self, names: list[bytes], plain) -> list[bytes]:
+        """ids of each of the pieces."""
+        import numpy as np
+
+        found = list(map(self.pieces.get, names))
+        new = []
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            found[k] = self.old_pieces.get(names[k])
+            if found[k] is None and plain[k]:
+                new.append(k)
+            else:
+                if found[k] is None:
+                    found[k] = self.whole(names[k].decode())
+                if len(names[k]) < 64:
+                    self.pieces[names[k]] = found[k]
+        if new:
+            text, tokenize = b"".join([names[k] for k in new]).decode("latin-1").translate(self.chars), self.model.tokenize
+            ids, ends, end = [], [0], 0
+            for k in new:
+                begin, end = end, end + len(names[k])
+                ids += [x.id for x in tokenize(text[begin:end])]
+                ends.append(4 * len(ids))
+            ids = np.array(ids, "<u4").tobytes()
+            for k, begin, end in zip(new, ends, ends[1:]):
+                found[k] = ids[begin:end]
+                if len(names[k]) < 64:
+                    self.pieces[names[k]] = found[k]
+        return found
+
+    def encode_column(self, texts):
+        """ids of all texts (an Arrow array of strings without nulls) one after the other, and how many each text has.
+
+        The texts are cut into pieces in numpy, and the library encodes each different piece once, as long as it is kept.
+        """
+        import numpy as np
+        import pyarrow as pa
+
+        if not self.bytewise:
+            found = [self.whole(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        texts = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        begins = offsets - offsets[0]
+        if not begins[-1]:
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        data = texts.buffers()[2][int(offsets[0]) : int(offsets[-1])].to_pybytes()
+        where, plain = self._cut(data, begins)
+        bounds = pa.py_buffer(np.append(where, len(data)).astype(np.int64))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(where), [None, bounds, pa.py_buffer(data)]).dictionary_encode()
+        at = pieces.indices.to_numpy()
+        plain_one = np.zeros(len(pieces.dictionary), bool)
+        plain_one[at] = plain
+        ends, different = np.frombuffer(pieces.dictionary.buffers()[1], np.int64)[: len(pieces.dictionary) + 1].tolist(), pieces.dictionary.buffers()[2].to_pybytes()
+        if len(self.pieces) > KEEP_PIECES:
+            self.old_pieces, self.pieces = self.pieces, {}
+        names = [different[a:b] for a, b in zip(ends, ends[1:])]
+        found = self._found(names, plain_one.tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # Each piece's ids, from where they stand among those of the different pieces.
+        n = sizes[at]
+        ends = np.append(0, np.cumsum(n))
+        ids = np.frombuffer(b"".join(found), "<u4").take(np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], n) + np.arange(ends[-1]))
+        return ids, np.diff(ends[np.searchsorted(where, begins)])
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

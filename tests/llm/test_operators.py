@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -292,6 +293,58 @@ def test_codec_beats_the_entropy_of_order_0(encoder):
     assert 8 * len(data) / len(ids) < 0.95 * -(share * np.log2(share)).sum()
 
 
+def test_columns_are_encoded_as_by_the_library(encoder):
+    """Pieces cut by kinds of bytes: blanks, line feeds, marks, scripts and special tokens in any order, at the ends of texts, and in a slice."""
+    r = random.Random(2)
+    bits = ["a", "b", " ", "  ", "\n", "\n\n", "'s", "'", "1", "0", "é", "ß", "×", "÷", "º", ",", "!!", ".\n", "&&&", "\t", "\x00", "\x1c", "\x85", "\xa0", "\u3000", "\u2028", "<|endoftext|>", "<|", "the", "aaaa", "日", "“", "слово", "😀"]
+    texts = ODD + ["", "", " a", "a ", "\n", "a\n\n b", "a\n\n", "a\u3000 b", "слово два  три"] + ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(3000)]
+    for some in (pa.array(texts), pa.array(texts).slice(7, 100), pa.array([], pa.string()), pa.array(["", ""])):
+        ids, counts = encoder.encode_column(some)
+        ends = np.append(0, np.cumsum(counts))
+        assert len(counts) == len(some) and ends[-1] == len(ids)
+        for t, a, b in zip(some.to_pylist(), ends, ends[1:]):
+            assert ids[a:b].tobytes() == encoder.whole(t), repr(t)
+
+
+def test_each_piece_goes_to_the_library_once(monkeypatch):
+    """A word with another mark or line behind it is no new word, and the kept pieces are bounded."""
+    encoder, seen = tokens.Encoder(tokens.default_path()), []
+
+    class Model:
+        def tokenize(self, piece, model=encoder.model):
+            seen.append(piece)
+            return model.tokenize(piece)
+
+    encoder.model = Model()
+    monkeypatch.setattr(encoder, "whole", None)
+    texts = [f"one{m} two{m}\nthree{m} two" for m in ("", ".", ",", "!?", ";")]
+    for _ in range(2):
+        ids, _ = encoder.encode_column(pa.array(texts))
+        assert encoder.tok.decode(ids.tolist(), skip_special_tokens=False) == "".join(texts)
+    assert len(seen) == len(set(seen)) == 8  # one, two behind its blank, three, four marks, the line feed
+    monkeypatch.setattr(tokens, "KEEP_PIECES", 20)
+    for k in range(50):
+        encoder.encode_column(pa.array([words(k, 30)]))
+        assert len(encoder.pieces) + len(encoder.old_pieces) < 120
+
+
+def test_codec_with_all_ids_and_with_carries():
+    """Every id once, so that each has the least share; and long runs that narrow the range slowly, with rare others, so that carries run through words."""
+    r = np.random.default_rng(6)
+    ids = r.permutation(idcodec.LIMIT).astype(np.uint32)
+    assert (idcodec.decode(idcodec.encode(ids)) == ids).all()
+    for n in (1, 2047, 2048, 2049, 60_000):
+        ids = np.where(r.random(n) < 0.002, r.integers(0, 30_000, n), 30_000).astype(np.uint32)
+        assert (idcodec.decode(idcodec.encode(ids)) == ids).all()
+
+
+def test_a_file_is_coded_in_one_pass():
+    """All blocks of a full file stand side by side, and their tables take 4 KB a block at most."""
+    assert idcodec.LANES * idcodec.BLOCK >= token_files.FILE_IDS
+    mix = idcodec.Mixer(100)
+    assert sum(t.nbytes for t in (mix.t1, mix.t2, mix.weights)) <= 4096 * 100
+
+
 def test_token_files_without_ids_and_several_to_a_task(spark, encoder, tmp_path):
     """Rows without doc_id come first, rows with one doc_id stand together, and a task closes files as they fill."""
     token_files.write(table(spark, AWKWARD), str(tmp_path / "ids"), file_ids=500)
