@@ -30,7 +30,7 @@ STEPS = 32
 LIMIT = 1 << 20
 LEAST, MOST = 16, 21
 #: Slots of the tables of order 1 and 2, for each block: 2^LOG1 and 2^LOG2. An entry is an id, a check of its context and a confidence.
-LOG1, LOG2 = 8, 9
+LOG1, LOG2 = 7, 8
 FOUND = np.uint32(0x7FF)  # check and confidence
 TOP = np.uint32(7)
 K1, K2, K3 = np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)
@@ -82,6 +82,12 @@ def contexts(last, before):
     return h1 >> np.uint32(32 - LOG1), h2 >> np.uint32(32 - LOG2), h1 & FOUND & ~TOP, h2 & FOUND & ~TOP
 
 
+def chosen(f2, f1, begin, size, not2, miss):
+    """Begin and size of the part that the id has: f2, f1 behind it, or what order 0 gives behind both. Sums instead of
+    choices, which numpy makes slower; where they wrap around they come back."""
+    return f2 * not2 + (f1 + begin) * miss, f2 + (f1 - f2) * not2 + (size - f1) * miss
+
+
 class Mixer:
     """The predictors of some blocks, from their common first state."""
 
@@ -116,8 +122,14 @@ class Mixer:
             hit = (e ^ want) - np.uint32(1) < TOP
             # A prediction gains confidence when it holds and loses some when not; without any it is replaced.
             new = want + np.uint32(1)
-            np.copyto(new, e - np.uint32(2), where=c > 2)
-            np.copyto(new, e + (c < TOP), where=hit)
+            keep = (c > 2) | hit
+            gain = (c < TOP) + np.uint32(2)
+            gain *= hit
+            gain += e
+            gain -= np.uint32(2)
+            gain -= new
+            gain *= keep
+            new += gain
             table[at] = new
             hits.append(hit)
         hit1, hit2 = hits
@@ -131,18 +143,19 @@ def _encode_lanes(ids: np.ndarray, block: int, static: Static) -> list[bytes]:
     """Words of the blocks of ids, of which the last may be shorter."""
     n, steps = -(-len(ids) // block), min(block, len(ids))
     last = len(ids) - (n - 1) * block
-    table = np.zeros((steps + 2, n), np.uint32)  # ids + 1, behind two rows of none
-    padded = np.zeros(n * steps, np.uint32)
-    padded[: len(ids)] = ids
-    table[2:] = padded.reshape(n, steps).T + np.uint32(1)
+    padded = np.zeros((n, steps), np.uint32)  # ids + 1
+    padded.reshape(-1)[: len(ids)] = ids
+    padded += np.uint32(1)
+    before = np.zeros((2, n), np.uint32)
     mix = Mixer(n)
     low, rng = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    width = 2 * steps + 4
+    width = 2 * steps + 16
     # What carries add to a word may take it beyond 16 bits until the end.
     out, pos = np.zeros((n, width), np.uint32), np.arange(n) * width
     flat = out.reshape(-1)
     for first in range(0, steps, STEPS):
-        some = table[first : first + STEPS + 2]
+        some = np.concatenate([before, padded[:, first : first + STEPS].T])
+        before = some[-2:]
         sym = some[2:] - np.uint32(1)
         at1, at2, key1, key2 = contexts(some[1:-1], some[:-2])
         want1, want2 = sym << np.uint32(11) | key1, sym << np.uint32(11) | key2
@@ -155,11 +168,10 @@ def _encode_lanes(ids: np.ndarray, block: int, static: Static) -> list[bytes]:
         # Parts of 2^32: order 2, order 1, then the distribution over what is left.
         f2 <<= U16
         f1 <<= U16
-        hit1 &= ~hit2
+        not2 = ~hit2
+        miss = not2 & ~hit1
         begin, size = static.part(static.index.take(sym), ALL - f2 - f1 >> U16)
-        miss = ~(hit1 | hit2)
-        begin = (begin + f1) * miss + f2 * ~hit2
-        size = size * miss + f1 * hit1 + f2 * hit2
+        begin, size = chosen(f2, f1, begin, size, not2.astype(np.uint64), miss.astype(np.uint64))
         for k in range(len(sym)):
             m = n if first + k < last else n - 1
             lo, rg, at = low[:m], rng[:m], pos[:m]
@@ -217,22 +229,20 @@ def _decode_lanes(words: list[np.ndarray], total: int, block: int, static: Stati
         at1, at2, key1, key2 = contexts(now[:m], before[:m])
         f2, f1 = mix.look(at1, at2, key1, key2)
         r = rg >> U32
-        v = np.minimum(cd // r, MASK32)
+        v = cd // r
         f2, f1 = f2.astype(np.uint64) << U16, f1.astype(np.uint64) << U16
         two = f2 + f1
         rest = ALL - two >> U16
         not2, miss = v >= f2, v >= two
-        hit1 = not2 ^ miss
         # Where order 0 did not speak, what this gives is not used.
         v -= two
         place = ((v + U1 << static.shift) - U1) // rest
         zero = static.of.take(place.view(np.int64), mode="clip").astype(np.intp)
-        begin, size = static.part(zero, rest)
         before, now = now, ids[t, :m]
-        # Sums instead of choices, which numpy makes slower.
-        begin = (begin + f1) * miss + f2 * not2
-        size = size * miss + f1 * hit1 + f2 * ~not2
-        sym = static.id.take(zero) * miss + (mix.e1 >> np.uint32(11)) * hit1 + (mix.e2 >> np.uint32(11)) * ~not2
+        begin, size = chosen(f2, f1, *static.part(zero, rest), not2.astype(np.uint64), miss.astype(np.uint64))
+        not2, miss = not2.astype(np.uint32), miss.astype(np.uint32)
+        p2, p1 = mix.e2 >> np.uint32(11), mix.e1 >> np.uint32(11)
+        sym = p2 + (p1 - p2) * not2 + (static.id.take(zero) - p1) * miss
         cd -= r * begin
         np.multiply(r, size, out=rg)
         short = rg < LOW48

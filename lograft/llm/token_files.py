@@ -23,6 +23,21 @@ from .tokens import default_path, encoder
 FILE_IDS = 8 << 20
 SCHEMA = "part int, nth int, n_ids long, doc_ids array<long>, counts array<long>, data binary"
 END = 0
+#: Bytes of rows that are encoded together.
+GATHER = 6 << 20
+
+
+def gathered(batches):
+    """Batches put together up to GATHER bytes: fewer pieces of texts are new in each."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHER:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if size:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def _files(path: str, file_ids: int):
@@ -38,7 +53,7 @@ def _files(path: str, file_ids: int):
             ids, docs, counts, held, nth = [], [], [], 0, nth + 1
             return pa.RecordBatch.from_arrays(row, ["part", "nth", "n_ids", "doc_ids", "counts", "data"])
 
-        for batch in batches:
+        for batch in gathered(batches):
             found, sizes = encode(batch.column(1))
             found = np.insert(found, np.cumsum(sizes), END)
             names, sizes = batch.column(0).to_pylist(), (sizes + 1).tolist()

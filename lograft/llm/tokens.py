@@ -198,28 +198,22 @@ class Encoder:
         import numpy as np
 
         found = list(map(self.pieces.get, names))
-        new = []
-        for k in [k for k, ids in enumerate(found) if ids is None]:
-            found[k] = self.old_pieces.get(names[k])
-            if found[k] is None and plain[k]:
-                new.append(k)
-            else:
-                if found[k] is None:
-                    found[k] = self.whole(names[k].decode())
-                if len(names[k]) < 64:
-                    self.pieces[names[k]] = found[k]
-        if new:
-            text, tokenize = b"".join([names[k] for k in new]).decode("latin-1").translate(self.chars), self.model.tokenize
-            ids, ends, end = [], [0], 0
-            for k in new:
-                begin, end = end, end + len(names[k])
-                ids += [x.id for x in tokenize(text[begin:end])]
-                ends.append(4 * len(ids))
-            ids = np.array(ids, "<u4").tobytes()
-            for k, begin, end in zip(new, ends, ends[1:]):
-                found[k] = ids[begin:end]
-                if len(names[k]) < 64:
-                    self.pieces[names[k]] = found[k]
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        older = list(map(self.old_pieces.get, map(names.__getitem__, missing)))
+        new = [k for k, ids in zip(missing, older) if ids is None and plain[k]]
+        text, tokenize = b"".join(map(names.__getitem__, new)).decode("latin-1").translate(self.chars), self.model.tokenize
+        ids, ends, end = [], [0], 0
+        for k in new:
+            begin, end = end, end + len(names[k])
+            ids += [x.id for x in tokenize(text[begin:end])]
+            ends.append(len(ids))
+        ids = np.array(ids, "<u4").tobytes()
+        for k, begin, end in zip(new, ends, ends[1:]):
+            found[k] = ids[4 * begin : 4 * end]
+        for k, old in zip(missing, older):
+            if found[k] is None:
+                found[k] = self.whole(names[k].decode()) if old is None else old
+        self.pieces.update((names[k], found[k]) for k in missing if len(names[k]) < 64)
         return found
 
     def encode_column(self, texts):
