@@ -345,6 +345,15 @@ def test_a_file_is_coded_in_one_pass():
     assert sum(t.nbytes for t in (mix.t1, mix.t2, mix.weights)) <= 4096 * 100
 
 
+def test_gathered_batches_keep_all_rows(monkeypatch):
+    monkeypatch.setattr(token_files, "GATHER", 300)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k, None], "text": ["x" * k, ""]}) for k in range(1, 40)]
+    batches.insert(3, batches[0].slice(0, 0))
+    found = list(token_files.gathered(iter(batches)))
+    assert 1 < len(found) < 39 and pa.Table.from_batches(found).equals(pa.Table.from_batches(batches))
+    assert list(token_files.gathered(iter([]))) == []
+
+
 def test_token_files_without_ids_and_several_to_a_task(spark, encoder, tmp_path):
     """Rows without doc_id come first, rows with one doc_id stand together, and a task closes files as they fill."""
     token_files.write(table(spark, AWKWARD), str(tmp_path / "ids"), file_ids=500)
