@@ -80,13 +80,17 @@ def status(shown: DataFrame) -> DataFrame:
     return shown.agg(F.count_if(F.col("level").isin("ERROR", "FATAL", "PANIC")).alias("e"), F.count_if(F.col("level") == "WARNING").alias("w"), F.count("*").alias("total"))
 
 
+def head(rows: DataFrame, first: int = 50) -> DataFrame:
+    """The first rows of a log, parsed or not."""
+    return rows.orderBy(F.col("seq").asc_nulls_last()).limit(first)
+
+
 def server(logs: DataFrame, first: int = 50) -> DataFrame:
-    """version and port that the first rows of a log tell."""
-    head = logs.orderBy("seq").limit(first)
+    """version and port that the first rows of a log tell. Of a long log, parse the head only."""
     m = F.col("message")
     version = F.nullif(F.regexp_extract(m, r"(?i)starting PostgreSQL (\d+(?:\.\d+)?)", 1), F.lit(""))
     port = F.coalesce(F.nullif(F.regexp_extract(m, r"listening on .*port (\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(m, r"\.s\.PGSQL\.(\d+)", 1), F.lit("")))
-    found = head.select("seq", version.alias("version"), port.try_cast("int").alias("port"))
+    found = head(logs, first).select("seq", version.alias("version"), port.try_cast("int").alias("port"))
     return found.agg(F.expr("min_by(version, seq) FILTER (WHERE version IS NOT NULL)").alias("version"), F.expr("min_by(port, seq) FILTER (WHERE port IS NOT NULL)").alias("port"))
 
 

@@ -13,7 +13,7 @@ from .functions.once import once
 from .operators import alerts, connections, durations, errors, render, spans, windows
 from .plans.spec import FilterSpec, Pattern, export_condition
 from .sources import logs as source
-from .testlog import csv_lines, csv_logs, json_lines, json_logs, logs_of, mixed_lines, text_lines, text_logs, with_lg
+from .testlog import csv_lines, csv_logs, json_lines, json_logs, logs_of, mixed_lines, started_lines, text_lines, text_logs, with_lg
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -204,8 +204,7 @@ def _(spark, d):
 
 @query("a17_server", "SELECT CAST(max(k) AS VARCHAR) AS version, 5432 AS port FROM (SELECT k FROM lg ORDER BY seq LIMIT 1)")
 def _(spark, d):
-    first = text_logs(spark, d).withColumn("message", F.when(F.col("seq") == 0, F.concat(F.lit("starting PostgreSQL "), F.regexp_extract("message", r"pk_(\d+)", 1))).when(F.col("seq") == 3, F.lit('listening on IPv4 address "0.0.0.0", port 5432')).otherwise(F.col("message")))
-    return render.server(first)
+    return render.server(source.parse(render.head(started_lines(spark, d)), "text"))
 
 
 # -- errors

@@ -50,6 +50,16 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _base(spark, sf_dir).selectExpr("seq", "source_file", "at || ' UTC [' || pid || '] ' || level || ':  ' || message value")
 
 
+def started_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """text_lines behind two lines of the server's start, which stand there without any rows too: the version is k of the first row (none where k is null), the port is fixed."""
+    first = _base(spark, sf_dir).orderBy(F.col("seq").asc_nulls_last()).limit(1).agg(F.max("at").alias("at"), F.max("k").alias("k"))  # a row even of none
+    messages = """array(concat_ws(' ', 'starting PostgreSQL', k), 'listening on IPv4 address "0.0.0.0", port 5432')"""
+    start = first.selectExpr("at", f"posexplode({messages}) as (n, message)").selectExpr(
+        "-9223372036854775808L + n seq", "'log0' source_file", "coalesce(at, '2024-01-01 00:00:00.000') || ' UTC [1] LOG:  ' || message value"
+    )
+    return start.unionByName(text_lines(spark, sf_dir))
+
+
 def logs_of(spark: SparkSession, sf_dir: str, message: str) -> DataFrame:
     """The parsed rows of text lines with another message: SQL over the fields of the base rows."""
     return parse(_base(spark, sf_dir).withColumn("clock", F.col("at")).selectExpr("seq", "source_file", f"at || ' UTC [' || pid || '] ' || level || ':  ' || {message} value"), "text")
